@@ -72,8 +72,10 @@ def days_from_civil(y: Column, m: Column, d: Column) -> Column:
     return (era * 146097 + doe - 719468).cast("bigint")
 
 
-def _zones() -> list[str]:
-    return sorted(z for z in zoneinfo.available_timezones() if "/" in z and not z.startswith(("posix/", "right/", "SystemV/")))
+def _known_zone(zone: Column) -> Column:
+    """The zone if it is an IANA name; one search in a constant text, since an unknown name would fail the conversion."""
+    names = sorted(z for z in zoneinfo.available_timezones() if "/" in z and not z.startswith(("posix/", "right/", "SystemV/")))
+    return F.when(F.contains(F.lit(" " + " ".join(names) + " "), F.concat(F.lit(" "), zone, F.lit(" "))), zone)
 
 
 def local_to_utc(seconds: Column, zone: Column) -> Column:
@@ -143,8 +145,7 @@ def parsed(value: Column, default_zone: Column) -> Column:
 
     def place(p: Column) -> Column:
         zone = F.coalesce(p["zone"], default_zone)
-        known = F.when(zone.isin(_zones()), zone)
-        utc = F.when(p["epoch"].isNotNull(), p["epoch"]).when(p["offset"].isNotNull(), p["wall"] - p["offset"] * 60).otherwise(local_to_utc(p["wall"], known))
+        utc = F.when(p["epoch"].isNotNull(), p["epoch"]).when(p["offset"].isNotNull(), p["wall"] - p["offset"] * 60).otherwise(local_to_utc(p["wall"], _known_zone(zone)))
         return F.struct(p["day"].alias("day"), utc.alias("utc"))
 
     # Each step is bound once through a one-element array, so no component is computed twice.
