@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import found, found_sql
+from palimpsest.plans import found, found_sql, projections, temporal
 
-QUERIES = {**found.QUERIES}
-SQL = {**found_sql.SQL}
+_REGISTERS = [temporal.register, projections.register]
+
+QUERIES = dict(found.QUERIES)
+SQL = dict(found_sql.SQL)
+for _register in _REGISTERS:
+    QUERIES |= _register.queries
+    SQL |= _register.sql
