@@ -20,6 +20,8 @@ from palimpsest.session import cut_lineage
 
 CAPACITY = 2048
 _GAP, _ITEM = 0, 1
+#: The placements of this many steps are gathered into one table, so that the plan stays small over many rounds.
+_COMPACT = 16
 _SPREAD = 1 << 33  # monotonically_increasing_id numbers a partition's rows from its number times this
 
 
@@ -117,6 +119,8 @@ def best_fit(items: DataFrame, capacity: int, partitions: int) -> DataFrame:
             gaps = gaps.unionByName(opened.select("id", (F.lit(capacity) - F.col("size")).alias("size")))
             rest = rest.join(opened.select("id"), "id", "left_anti")
         waiting = rest
+        if len(placed) >= _COMPACT:
+            placed = [cut_lineage(reduce(DataFrame.unionByName, placed).coalesce(partitions))]
     return reduce(DataFrame.unionByName, placed)
 
 
