@@ -22,12 +22,17 @@ COMPLETE, CUT, OPEN_SENTENCE, FRAGMENT = 0, 1, 2, 3
 
 #: A source limits its field if this share of its values lies within the last tenth below the length of 99 % of them.
 PILE_SHARE = 0.05
+#: ... but not nearly all of them, which are then simply of one length.
+WHOLE_SHARE = 0.9
 PILE_BAND = 0.9
 #: A source that ends fewer of its short values with terminators than this does not write sentences.
 TERMINATED_SHARE = 0.5
+#: So many values tell how a source writes; with fewer it is taken to write sentences.
+TELLING_VALUES = 20
 
 _STRUCTURE = re.compile(r"[„“”‚«»\"()\[\]{}<]")
 _TAG = re.compile(r"<(/?)([A-Za-z]\w*)?[^<>]*(/?)(>?)")
+_CLOSING_TAGS = re.compile(r"(?:\s*</\w+\s*>)+$")
 _VOID = {"br", "hr", "img", "p", "li", "td", "tr", "th", "input", "meta", "col"}
 #: The longest ending that the patterns below look at.
 _ENDING = 120
@@ -91,12 +96,14 @@ def left_open(text: str) -> bool:
 def judge(text: str) -> int:
     """COMPLETE, CUT, OPEN_SENTENCE or FRAGMENT of one value that is neither null nor blank."""
     whole = text.rstrip()
-    end = whole[-_ENDING:]
-    stop = end[-1] == "." and end[-2:] != ".."
+    # Closing tags at the end are part of a complete document; the text before them is judged.
+    said = _CLOSING_TAGS.sub("", whole) if whole[-1] == ">" else whole
+    end = said[-_ENDING:]
+    stop = end[-1:] == "." and end[-2:] != ".."
     if not stop:
         if _BROKEN_END.search(end):
             return CUT
-        if _FRAGMENT.fullmatch(whole):
+        if _FRAGMENT.fullmatch(said):
             return FRAGMENT
         if _OMISSION_END.search(end):
             return CUT
@@ -104,7 +111,7 @@ def judge(text: str) -> int:
         return CUT
     if stop or _TERMINATOR.search(end):
         return CUT if _NO_STOP.search(end) else COMPLETE
-    return FRAGMENT if _QUOTED_RULE.search(whole) else OPEN_SENTENCE
+    return FRAGMENT if _QUOTED_RULE.search(said) else OPEN_SENTENCE
 
 
 _JUDGED = "id bigint, source string, field string, verdict int, chars int, bytes int"
@@ -150,14 +157,14 @@ def baselines(values: DataFrame) -> DataFrame:
             .withColumn("top", top)
             .groupBy("source")
             .agg(F.first("top").alias("top"), (F.sum(F.when(F.col(unit) >= F.col("top") * PILE_BAND, F.col("n")).otherwise(0)) / F.sum("n")).alias("pile"))
-            .select("source", F.when(F.col("pile") >= PILE_SHARE, F.col("top")).alias(f"{unit}_limit"))
+            .select("source", F.when(F.col("pile").between(PILE_SHARE, WHOLE_SHARE), F.col("top")).alias(f"{unit}_limit"))
         )
 
     limits = limit("chars").join(limit("bytes"), "source")
     short = values.join(limits, "source").where(~_at_limit())
-    ends = short.groupBy("source").agg(F.avg((F.col("verdict") == COMPLETE).cast("double")).alias("terminated"))
+    ends = short.groupBy("source").agg(F.avg((F.col("verdict") == COMPLETE).cast("double")).alias("terminated"), F.count("*").alias("n"))
     return limits.join(ends, "source", "left").select(
-        "source", "chars_limit", "bytes_limit", F.coalesce(F.col("terminated") >= TERMINATED_SHARE, F.lit(True)).alias("writes_sentences")
+        "source", "chars_limit", "bytes_limit", F.coalesce((F.col("terminated") >= TERMINATED_SHARE) | (F.col("n") < TELLING_VALUES), F.lit(True)).alias("writes_sentences")
     )
 
 
