@@ -140,7 +140,7 @@ def html_text(fragment: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(fragment, r"(?i)<br\s*/?>|</p>", "\n"), r"<[^<>]*>", "")
     for entity, character in _ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(character))
-    return F.trim(F.regexp_replace(text, r"[ \t]+", " "))
+    return F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"^\s+|\s+$", "")
 
 
 # German month names.

@@ -35,11 +35,12 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def drop_collisions(rows: DataFrame, *key_sets: list[str]) -> DataFrame:
-    """Only rows that are alone under each of the key sets; every member of a collision goes."""
+    """Only rows that are alone among all rows under each of the key sets; every member of any collision goes."""
+    kept = rows
     for keys in key_sets:
         alone = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") == 1).drop("_n")
-        rows = rows.join(alone, keys, "left_semi")
-    return rows
+        kept = kept.join(alone, keys, "left_semi")
+    return kept.select(*rows.columns)
 
 
 def precedence_merge(preferred: DataFrame, other: DataFrame, *key_sets: list[str]) -> DataFrame:

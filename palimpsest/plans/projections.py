@@ -182,9 +182,8 @@ def cumulative_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) = 1), x AS (SELECT l.* FROM lineitem l SEMI JOIN a ON l.l_orderkey = a.l_orderkey AND l.l_linenumber = a.l_linenumber),
-b AS (SELECT l_partkey, l_suppkey FROM x GROUP BY 1, 2 HAVING count(*) = 1)
-SELECT x.l_orderkey, x.l_linenumber FROM x SEMI JOIN b ON x.l_partkey = b.l_partkey AND x.l_suppkey = b.l_suppkey"""
+    """WITH c AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS a, count(*) OVER (PARTITION BY l_partkey, l_suppkey) AS b FROM lineitem)
+SELECT l_orderkey, l_linenumber FROM c WHERE a = 1 AND b = 1"""
 )
 def collision_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that are alone under both of two keys."""

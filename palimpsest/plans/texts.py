@@ -66,7 +66,7 @@ def german_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH h AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)<br\\s*/?>|</p>', '\n', 'g'), '<[^<>]*>', '', 'g') AS t FROM documents WHERE text LIKE '%<%'),
 e AS (SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&sect;', '§'), '&auml;', 'ä'), '&ouml;', 'ö'), '&uuml;', 'ü'), '&Auml;', 'Ä'), '&Ouml;', 'Ö'), '&Uuml;', 'Ü'), '&szlig;', 'ß'), '&amp;', '&') AS t FROM h)
-SELECT doc_id, sha256(trim(regexp_replace(t, '[ \\t]+', ' ', 'g'))) AS body FROM e"""
+SELECT doc_id, sha256(regexp_replace(regexp_replace(t, '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')) AS body FROM e"""
 )
 def html_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """text of HTML fragments, by digest."""

@@ -18,41 +18,62 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import ArrayType, StringType
 
-_LAW = "norm array<struct<jurabk:string,builddate:string,doknr:string,enbez:string,titel:string,gliederung:string,text:string>>"
+from palimpsest.functions.text import html_text, squeeze
+
+# The elements of the official statute XML, tables of contents and RSS.
+_LAW = (
+    "_builddate string, _doknr string, norm array<struct<_doknr:string,metadaten:struct<jurabk:string,langue:string,enbez:string,titel:string,"
+    "gliederungseinheit:struct<gliederungsbez:string,gliederungstitel:string>,standangabe:array<struct<standtyp:string,standkommentar:string>>>,"
+    "textdaten:struct<text:struct<Content:string>>>>"
+)
 _FEED = "channel struct<item:array<struct<title:string,link:string,guid:string,pubDate:string,category:string,description:string>>>"
 _TOC = "item array<struct<title:string,link:string>>"
 
 
+def _plain(markup: Column) -> Column:
+    """Text of mixed content: tags as blanks, white space squeezed."""
+    return squeeze(F.regexp_replace(html_text(F.regexp_replace(markup, r"<(?!br|/p)[^<>]*>", " ")), r"<[^<>]*>", " "))
+
+
 def parse_law(documents: DataFrame, key: str, xml: str) -> tuple[DataFrame, DataFrame]:
-    """Acts (key, jurabk, builddate, doknr, norm_count) and norms (key, norm_index, enbez, titel, gliederung, text).
+    """Acts (key, jurabk, long_title, stand, builddate, doknr, norm_count) and norms (key, norm_index, jurabk, enbez, titel, gliederung, text, doknr).
 
-    Norms without a label are no rows, but their structural heading is carried forward to those that follow (W9).
-    Broken XML gives an act of nulls with no norms.
+    Norms without a label are no rows, but their structural heading is carried forward to those that follow (W9), and the
+    first abbreviation names the act. Broken XML gives an act of nulls without norms.
     """
-    parsed = documents.select(key, F.from_xml(F.col(xml), _LAW, {"rowTag": "dokumente", "mode": "PERMISSIVE"}).alias("x"))
-    rows = parsed.select(key, F.posexplode_outer("x.norm").alias("norm_index", "n")).select(key, "norm_index", "n.*")
+    parsed = documents.select(key, F.from_xml(F.col(xml), _LAW, {"mode": "PERMISSIVE"}).alias("x"))
+    norm = F.posexplode_outer("x.norm").alias("norm_index", "n")
+    rows = parsed.select(key, F.col("x._builddate").alias("builddate"), F.col("x._doknr").alias("act_doknr"), norm)
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    unit = F.col("n.metadaten.gliederungseinheit")
+    rows = rows.select(
+        key, "builddate", "act_doknr", F.coalesce("norm_index", F.lit(0)).alias("norm_index"), filled(F.col("n.metadaten.jurabk")).alias("jurabk"), filled(F.col("n.metadaten.langue")).alias("long_title"),
+        filled(F.col("n.metadaten.enbez")).alias("enbez"), F.coalesce(F.trim("n.metadaten.titel"), F.lit("")).alias("titel"),
+        F.when(unit.isNotNull(), F.concat_ws(" ", filled(unit["gliederungsbez"]), filled(unit["gliederungstitel"]))).alias("gliederung"),
+        F.array_join(F.transform("n.metadaten.standangabe", lambda a: F.concat(F.trim(a["standtyp"]), F.lit(": "), F.trim(a["standkommentar"]))), " | ").alias("stand"),
+        _plain(F.coalesce("n.textdaten.text.Content", F.lit(""))).alias("text"), F.col("n._doknr").alias("doknr"),
+    )
     along = Window.partitionBy(key).orderBy("norm_index").rowsBetween(Window.unboundedPreceding, 0)
-    norms = rows.withColumn("gliederung", F.last("gliederung", True).over(along)).where(F.col("enbez").isNotNull() & (F.trim("enbez") != ""))
-    acts = rows.groupBy(key).agg(
-        F.min_by("jurabk", F.when(F.col("jurabk").isNotNull(), F.col("norm_index"))).alias("jurabk"),
-        F.min_by("builddate", F.when(F.col("builddate").isNotNull(), F.col("norm_index"))).alias("builddate"),
-        F.min_by("doknr", F.when(F.col("doknr").isNotNull(), F.col("norm_index"))).alias("doknr"),
-        F.count_if(F.col("enbez").isNotNull() & (F.trim("enbez") != "")).alias("norm_count"),
-    )
-    return acts, norms.select(key, "norm_index", "enbez", "titel", "gliederung", "text")
+    norms = rows.withColumn("gliederung", F.coalesce(F.last("gliederung", True).over(along), F.lit(""))).withColumn("jurabk", F.coalesce("jurabk", F.first("jurabk", True).over(along)))
+    first = lambda c: F.min_by(c, F.when(F.col("jurabk").isNotNull(), F.col("norm_index"))).alias(c)
+    acts = rows.groupBy(key).agg(first("jurabk"), first("long_title"), first("stand"), F.max("builddate").alias("builddate"), F.max("act_doknr").alias("doknr"), F.count("enbez").alias("norm_count"))
+    return acts, norms.where(F.col("enbez").isNotNull()).select(key, "norm_index", "jurabk", "enbez", "titel", "gliederung", "text", "doknr")
 
 
-def parse_toc(documents: DataFrame, xml: str) -> DataFrame:
-    """(slug, title, link) of a table of contents; of a slug listed twice the first entry counts."""
-    rows = documents.select(F.monotonically_increasing_id().alias("d"), F.from_xml(F.col(xml), _TOC, {"rowTag": "items"}).alias("x")).select("d", F.posexplode("x.item").alias("i", "t"))
-    slug = F.regexp_extract("t.link", r"/([^/]+)/[^/]*$", 1)
-    return rows.where(slug != "").groupBy(slug.alias("slug")).agg(F.min(F.struct("d", "i", "t")).alias("r")).select("slug", F.trim("r.t.title").alias("title"), "r.t.link")
+def parse_toc(documents: DataFrame, key: str, xml: str) -> DataFrame:
+    """(slug, title, link) of tables of contents; of a slug listed twice the first entry counts, entries without title or path none."""
+    rows = documents.select(key, F.from_xml(F.col(xml), _TOC).alias("x")).select(key, F.posexplode("x.item").alias("place", "t"))
+    slug = F.lower(F.nullif(F.regexp_extract("t.link", r"/([^/?]+)/xml\.zip(?:$|\?)", 1), F.lit("")))
+    title = F.nullif(squeeze(F.col("t.title")), F.lit(""))
+    found = rows.select(key, "place", slug.alias("slug"), title.alias("title"), F.regexp_replace("t.link", r"\?.*$", "").alias("link")).where(F.col("slug").isNotNull() & F.col("title").isNotNull())
+    return found.groupBy("slug").agg(F.min(F.struct(key, "place", "title", "link")).alias("r")).select("slug", "r.title", "r.link")
 
 
 def parse_feed(documents: DataFrame, key: str, xml: str, id_pattern: str) -> tuple[DataFrame, DataFrame]:
     """(key, item_id, title, link, day) of the RSS items whose id can be read, and the rejected ones."""
-    rows = documents.select(key, F.from_xml(F.col(xml), _FEED, {"rowTag": "rss"}).alias("x")).select(key, F.posexplode("x.channel.item").alias("place", "i"))
+    rows = documents.select(key, F.from_xml(F.col(xml), _FEED, {"mode": "PERMISSIVE"}).alias("x")).select(key, F.posexplode("x.channel.item").alias("place", "i"))
     ident = F.nullif(F.regexp_extract(F.coalesce("i.guid", "i.link"), id_pattern, 1), F.lit(""))
     written = F.regexp_extract(F.col("i.pubDate"), r"(\d{1,2}) (\w{3}) (\d{4})", 0)
     day = F.try_to_timestamp(F.regexp_replace(written, r"^(\d) ", "0$1 "), F.lit("dd MMM yyyy")).cast("date")
@@ -121,7 +142,7 @@ def unzip_texts(files: DataFrame) -> DataFrame:
 def mixed_text(xml: Column, element: str) -> Column:
     """array<string>: the text of every ``element`` with its mixed content, tails included."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(ArrayType(StringType()))
     def run(texts: pd.Series) -> pd.Series:
         pattern = re.compile(rf"<{element}\b[^>]*>(.*?)</{element}>", re.S)
         return texts.map(lambda t: None if t is None else [" ".join(html.unescape(_TAGS.sub(" ", m)).split()) for m in pattern.findall(t)])
