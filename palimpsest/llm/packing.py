@@ -86,42 +86,67 @@ def match_round(state: DataFrame, partitions: int) -> DataFrame:
     return matched.unionByName(unplaced)
 
 
+def _histogram(state: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
+    """Numbers of gaps and of items by size; bounded by the capacity, whatever the corpus."""
+    counts: tuple[dict[int, int], dict[int, int]] = ({}, {})
+    for r in state.groupBy("kind", "size").agg(F.count("*").alias("n")).collect():
+        counts[r["kind"]][r["size"]] = r["n"]
+    return counts
+
+
+def _largest(items: dict[int, int], n: int) -> tuple[int, float]:
+    """(size, share): the sizes above it and that share of the items of it are about the ``n`` largest items.
+
+    The share is drawn by a hash of the ids; it is at least 64 items, so that the draw is never empty.
+    """
+    for size in sorted(items, reverse=True):
+        if n <= items[size]:
+            return size, min(1.0, max(n, 64) / items[size])
+        n -= items[size]
+    return 0, 1.0
+
+
+def _to_open(gaps: dict[int, int], items: dict[int, int], capacity: int) -> int:
+    """How many containers to open now: for the volume that the usable gaps lack, and for the items that no gap holds."""
+    smallest, widest = min(items), max(gaps, default=0)
+    room = sum(s * n for s, n in gaps.items() if s >= smallest)
+    volume, homeless = sum(s * n for s, n in items.items()), sum(s * n for s, n in items.items() if s > widest)
+    return min(sum(items.values()), max(0, -(-(volume - room) // capacity), -(-homeless // capacity)))
+
+
 def best_fit(items: DataFrame, capacity: int, partitions: int) -> DataFrame:
     """(id, bin): a container for every (id, size) with 0 < size <= capacity, never above the capacity of any.
 
-    A container is named by the first item it holds. Rounds end when no item waits; every round places at least its
-    largest item, and a round's driver work is bounded by the capacity.
+    A container is named by the first item it holds. Each round opens the containers that the waiting volume lacks, by the
+    largest items, then matches the other items in one sweep. Rounds end when no item waits; every round places at
+    least its largest item, and a round's driver work is bounded by the capacity.
     """
     placed: list[DataFrame] = []
-    openers = items.where(F.col("size") * 2 > capacity)
-    placed.append(openers.select("id", F.col("id").alias("bin")))
-    gaps = openers.select("id", (F.lit(capacity) - F.col("size")).alias("size"))
-    waiting = items.where(F.col("size") * 2 <= capacity)
+    gaps = items.limit(0).select("id", "size")
+    waiting = items.select("id", "size")
+    tagged = lambda g, w: g.select(F.lit(_GAP).alias("kind"), "id", "size").unionByName(w.select(F.lit(_ITEM).alias("kind"), "id", "size"))
     while True:
-        count, total, smallest, largest = waiting.agg(F.count("*"), F.sum("size"), F.min("size"), F.max("size")).first()
-        if not count:
+        gap_counts, item_counts = _histogram(tagged(gaps, waiting))
+        if not item_counts:
             break
-        gaps = gaps.where(F.col("size") >= smallest)
-        state = gaps.select(F.lit(_GAP).alias("kind"), "id", "size").unionByName(waiting.select(F.lit(_ITEM).alias("kind"), "id", "size"))
-        result = cut_lineage(match_round(state, partitions))
+        n = _to_open(gap_counts, item_counts, capacity)
+        if n:
+            size, share = _largest(item_counts, n)
+            lot = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))
+            opens = (F.col("size") > size) | ((F.col("size") == size) & (lot if item_counts[size] > 1000 else F.lit(True)))
+            opened = waiting.where(opens)
+            placed.append(opened.select("id", F.col("id").alias("bin")))
+            gaps = gaps.unionByName(opened.select("id", (F.lit(capacity) - F.col("size")).cast("bigint").alias("size")))
+            waiting = waiting.where(~opens)
+        usable = gaps.where(F.col("size") >= min(item_counts))
+        result = cut_lineage(match_round(tagged(usable, waiting), partitions))
         item, unplaced = F.col("kind") == _ITEM, F.col("bin").isNull()
         placed.append(result.where(item & ~unplaced).select("id", "bin"))
         gaps = result.where(F.col("left").isNotNull()).select(F.col("bin").alias("id"), F.col("left").alias("size"))
-        rest = result.where(item & unplaced).select("id", "size")
-        widest = gaps.agg(F.max("size")).first()[0] or 0
-        # Items that no gap holds now will find none later: their largest open new containers.
-        homeless = rest.where(F.col("size") > widest)
-        needed, volume = homeless.agg(F.count("*"), F.sum("size")).first()
-        if needed:
-            opened = homeless.orderBy(F.desc("size"), "id").limit(max(1, min(needed, -(-volume // capacity))))
-            opened = cut_lineage(opened)
-            placed.append(opened.select("id", F.col("id").alias("bin")))
-            gaps = gaps.unionByName(opened.select("id", (F.lit(capacity) - F.col("size")).alias("size")))
-            rest = rest.join(opened.select("id"), "id", "left_anti")
-        waiting = rest
+        waiting = result.where(item & unplaced).select("id", "size")
         if len(placed) >= _COMPACT:
             placed = [cut_lineage(reduce(DataFrame.unionByName, placed).coalesce(partitions))]
-    return reduce(DataFrame.unionByName, placed)
+    return reduce(DataFrame.unionByName, placed, items.limit(0).select("id", F.col("id").alias("bin")))
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, partitions: int | None = None) -> DataFrame:
