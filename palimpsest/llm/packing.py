@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -94,16 +94,28 @@ def _histogram(state: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
     return counts
 
 
-def _largest(items: dict[int, int], n: int) -> tuple[int, float]:
-    """(size, share): the sizes above it and that share of the items of it are about the ``n`` largest items.
+#: Ties at the boundary of the largest items: up to so many are told apart by their ids, more are drawn by a hash.
+_TIES = 1000
 
-    The share is drawn by a hash of the ids; it is at least 64 items, so that the draw is never empty.
+
+def _largest(waiting: DataFrame, items: dict[int, int], n: int) -> Column:
+    """The condition of about the ``n`` largest items (exactly n, unless more than _TIES share the boundary size).
+
+    A draw is at least 64 items, so that it is never empty.
     """
     for size in sorted(items, reverse=True):
         if n <= items[size]:
-            return size, min(1.0, max(n, 64) / items[size])
+            break
         n -= items[size]
-    return 0, 1.0
+    tied = F.col("size") == size
+    if n == items[size]:
+        return F.col("size") >= size
+    if items[size] > _TIES:
+        drawn = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(min(1.0, max(n, 64) / items[size]) * 1_000_000))
+    else:
+        # At most _TIES ids come to the driver.
+        drawn = F.col("id").isin([r["id"] for r in waiting.where(tied).select("id").orderBy("id").limit(n).collect()])
+    return (F.col("size") > size) | (tied & drawn)
 
 
 def _to_open(gaps: dict[int, int], items: dict[int, int], capacity: int) -> int:
@@ -131,9 +143,7 @@ def best_fit(items: DataFrame, capacity: int, partitions: int) -> DataFrame:
             break
         n = _to_open(gap_counts, item_counts, capacity)
         if n:
-            size, share = _largest(item_counts, n)
-            lot = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))
-            opens = (F.col("size") > size) | ((F.col("size") == size) & (lot if item_counts[size] > 1000 else F.lit(True)))
+            opens = _largest(waiting, item_counts, n)
             opened = waiting.where(opens)
             placed.append(opened.select("id", F.col("id").alias("bin")))
             gaps = gaps.unionByName(opened.select("id", (F.lit(capacity) - F.col("size")).cast("bigint").alias("size")))
