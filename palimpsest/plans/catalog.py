@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import found, found_sql, ledgers, projections, retrieval, temporal, texts
+from palimpsest.plans import found, found_sql, ledgers, listings, projections, retrieval, temporal, texts
 
-_REGISTERS = [temporal.register, projections.register, texts.register, retrieval.register, ledgers.register]
+_REGISTERS = [temporal.register, projections.register, texts.register, retrieval.register, ledgers.register, listings.register]
 
 QUERIES = dict(found.QUERIES)
 SQL = dict(found_sql.SQL)
