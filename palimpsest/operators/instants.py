@@ -34,19 +34,19 @@ _MONTH = "|".join(sorted("|".join(_MONTHS).split("|"), key=len, reverse=True))
 _WEEKDAY = r"(?:\p{L}{2,10}\.?,?\s+)?"
 _DATE = "|".join(
     [
-        r"(?<ya>\d{4})(?:-(?<ma>\d{1,2})-|/(?<mb>\d{1,2})/|\.(?<mc>\d{1,2})\.)(?<da>\d{1,2})",
-        r"(?<yb>\d{4})(?<md>\d{2})(?<db>\d{2})(?:[T ]?(?<hb>\d{2})(?<ib>\d{2})(?<sb>\d{2})?(?:[.,]\d+)?)?",
-        r"(?<dc>\d{1,2})(?:\.\s?(?<me>\d{1,2})\.\s?|/(?<mf>\d{1,2})/|-(?<mg>\d{1,2})-)(?<yc>\d{4})",
-        rf"{_WEEKDAY}(?<dd>\d{{1,2}})(?:\.|st|nd|rd|th|er)?[\s-]*(?:of\s+)?(?<na>{_MONTH})\.?,?[\s-]*(?<yd>\d{{4}})",
-        rf"{_WEEKDAY}(?<nb>{_MONTH})\.?\s+(?<de>\d{{1,2}})(?:st|nd|rd|th)?,?\s+(?<ye>\d{{4}})",
+        r"(?<ya>[0-9]{4})(?:-(?<ma>[0-9]{1,2})-|/(?<mb>[0-9]{1,2})/|\.(?<mc>[0-9]{1,2})\.)(?<da>[0-9]{1,2})",
+        r"(?<yb>[0-9]{4})(?<md>[0-9]{2})(?<db>[0-9]{2})(?:[T ]?(?<hb>[0-9]{2})(?<ib>[0-9]{2})(?<sb>[0-9]{2})?(?:[.,][0-9]+)?)?",
+        r"(?<dc>[0-9]{1,2})(?:\.\s?(?<me>[0-9]{1,2})\.\s?|/(?<mf>[0-9]{1,2})/|-(?<mg>[0-9]{1,2})-)(?<yc>[0-9]{4})",
+        rf"{_WEEKDAY}(?<dd>[0-9]{{1,2}})(?:\.|st|nd|rd|th|er)?[\s-]*(?:of\s+)?(?<na>{_MONTH})\.?,?[\s-]*(?<yd>[0-9]{{4}})",
+        rf"{_WEEKDAY}(?<nb>{_MONTH})\.?\s+(?<de>[0-9]{{1,2}})(?:st|nd|rd|th)?,?\s+(?<ye>[0-9]{{4}})",
     ]
 )
-_TIME = r"(?:(?:\s*T\s*|,?\s+(?:um\s+|at\s+|à\s+)?)(?<ha>\d{1,2})[:.h](?<ia>\d{2})(?:[:.](?<sa>\d{2})(?:[.,]\d+)?)?(?:\s*(?:Uhr|h))?)?"
+_TIME = r"(?:(?:\s*T\s*|,?\s+(?:um\s+|at\s+|à\s+)?)(?<ha>[0-9]{1,2})[:.h](?<ia>[0-9]{2})(?:[:.](?<sa>[0-9]{2})(?:[.,][0-9]+)?)?(?:\s*(?:Uhr|h))?)?"
 _ZONE = (
-    rf"(?:\s*(?:(?:UTC|GMT)?(?<os>[+\-−])(?<oh>\d{{2}})(?::?(?<om>\d{{2}}))?|(?<ab>{'|'.join(sorted(_ABBREVIATIONS, key=len, reverse=True))})"
+    rf"(?:\s*(?:(?:UTC|GMT)?(?<os>[+\-−])(?<oh>[0-9]{{2}})(?::?(?<om>[0-9]{{2}}))?|(?<ab>{'|'.join(sorted(_ABBREVIATIONS, key=len, reverse=True))})"
     r"|(?<za>[A-Za-z_]+(?:/[A-Za-z0-9_+\-]+)+)))?(?:\s*\[(?<zb>[A-Za-z0-9_+\-/]+)\])?"
 )
-_EPOCH = r"(?<ea>\d{9,10})(?:[.,]\d+)?|(?<eb>\d{12,13})"
+_EPOCH = r"(?<ea>[0-9]{9,10})(?:[.,][0-9]+)?|(?<eb>[0-9]{12,13})"
 _PATTERN = rf"(?iuU)^\s*(?:(?:{_DATE}){_TIME}{_ZONE}|{_EPOCH})\s*$"
 _PARTS = {
     "y": "ya yb yc yd ye", "m": "ma mb mc md me mf mg", "n": "na nb", "d": "da db dc dd de", "h": "ha hb", "i": "ia ib", "s": "sa sb",

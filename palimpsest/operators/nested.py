@@ -225,6 +225,25 @@ def array_children(texts: list[str | None], value_key: str, field: str | None =
     return found
 
 
+#: So many bytes of text are indexed at once; the index takes some hundred times their size in memory.
+INDEX_BYTES = 1 << 21
+
+
+def _portions(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list]]:
+    """(parents, texts) in portions of about INDEX_BYTES; a longer text makes a portion of its own."""
+    for batch in batches:
+        parents, bodies, total = [], [], 0
+        for parent, body in zip(batch["parent"].astype(object), batch["body"]):
+            if bodies and total + len(body) > INDEX_BYTES:
+                yield parents, bodies
+                parents, bodies, total = [], [], 0
+            parents.append(parent)
+            bodies.append(body)
+            total += len(body)
+        if bodies:
+            yield parents, bodies
+
+
 _CHILD = "parent_id string, child_path string, child_pos bigint, child_value string"
 
 
@@ -235,9 +254,8 @@ def keyed_children(frame: DataFrame, parent: str, json_text: str, path: str, arr
     """
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parents = batch["parent"].astype(object).tolist()
-            entries = object_entries(batch["body"].tolist())
+        for parents, bodies in _portions(batches):
+            entries = object_entries(bodies)
             rows = [(parents[i], path, 0, key) for i, key, _ in entries]
             links = [f"{parents[i]}/{key}" for i, key, _ in entries]
             children = array_children([text for *_, text in entries], value_key, array_field)
@@ -252,9 +270,8 @@ def list_children(frame: DataFrame, parent: str, json_text: str, path: str, valu
     """Children of JSON arrays: one row per element with a value under ``value_key``. One pass, no shuffle."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parents = batch["parent"].astype(object).tolist()
-            children = array_children(batch["body"].tolist(), value_key)
+        for parents, bodies in _portions(batches):
+            children = array_children(bodies, value_key)
             yield pd.DataFrame([(parents[i], path, p, v) for i, p, v in children], columns=["parent_id", "child_path", "child_pos", "child_value"])
 
     slim = frame.select(F.col(parent).cast("string").alias("parent"), F.col(json_text).alias("body"))

@@ -185,7 +185,7 @@ _CASES = [
     ("2024-02-29T24:00:00Z", None, None), ("2024-02-29T23:60:00Z", None, None), ("2021-03-03 07:55:09", None, None), ("unbekannt", "Europe/Berlin", None), ("", "Europe/Berlin", None), (None, "Europe/Berlin", None),
     ("x" * 100_000, "Europe/Berlin", None),
     ("2001-03-09", "Europe/Berlin", "day 2001-03-09"), ("05.11.2001", "Europe/Berlin", "day 2001-11-05"), ("20030902", None, "day 2003-09-02"), ("1/10/2018", None, "day 2018-10-01"),
-    ("29. Februar 2023", None, None), ("29 février 2024", None, "day 2024-02-29"), ("1er août 2012", None, "day 2012-08-01"), ("14 June 2022", None, "day 2022-06-14"), ("June 14, 2022", None, "day 2022-06-14"), ("2018", None, None), ("August 2012", None, None),
+    ("٢٠٢٣-٠٦-٠٩", None, None), ("29. Februar 2023", None, None), ("29 février 2024", None, "day 2024-02-29"), ("1er août 2012", None, "day 2012-08-01"), ("14 June 2022", None, "day 2022-06-14"), ("June 14, 2022", None, "day 2022-06-14"), ("2018", None, None), ("August 2012", None, None),
 ]
 
 
