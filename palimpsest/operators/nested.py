@@ -76,6 +76,8 @@ class StructuralIndex:
                 json.loads(raw[i])
             except ValueError:
                 balanced[i] = False
+            except RecursionError:
+                pass  # nested beyond the reader's depth: its balance is all that is known
         self.well_formed = balanced
         self.members = self._spans(doc_of, opens, closes, (b == _COMMA) & ~inside, (b == _COLON) & ~inside, depth, balanced)
 

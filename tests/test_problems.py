@@ -137,6 +137,12 @@ def test_structural_index_of_random_json():
             assert parsed == (doc if isinstance(doc, list) else list(doc.values()))
 
 
+def test_very_deep_and_very_long_json(spark, rows):
+    deep, long_text = "[" * 5000 + "]" * 5000, json.dumps([{"role": "x" * 3_000_000}, {"role": "y"}])
+    got = rows(nested.list_children(spark.createDataFrame([("d", deep), ("l", long_text)], "id string, c string"), "id", "c", "chain", "role"))
+    assert [(r[0], r[2], len(r[3])) for r in got] == [("l", 0, 3_000_000), ("l", 1, 1)]
+
+
 def test_struct_children(spark, rows):
     data = [("d1", [("A ", ["1", None, "2"]), None, (None, None), ("b", [])]), ("d2", None), ("d3", [])]
     frame = spark.createDataFrame(data, "id string, effects array<struct<act_id string, paras array<string>>>")
