@@ -22,7 +22,7 @@ _WHOLE = [
 _CUT = [
     "Die zuständige Behörde prüft Lehrpl", "Der Anspruch ruht, solange Kosten nicht", "hemmt dadurch den Vollzug nicht, unbeschadet der Befu-", "hinreichend bestimmt sein (vgl. Rn.", "die vor dem 22.", "ab dem 25.07.",
     "Nach Maßgabe des § 5 Abs.", "Auf Antrag werden …", "Eine Buße von höchstens 5 000 [...]", "Die Kammer hat...", "Satz 3 gilt sinngem�", "Die Länderkammer äußert</", "Die Mitteilung enthä<p cla", "legt das Ministeriu <td>",
-    "der Ansp&sec", "in angemessene&#8", "das Wort „kann", "das ist \\u00", "Die Behörde (mit Sitz in", "<b>Fetter Text.",
+    "der Ansp&sec", "in angemessene&#8", "das Wort „kann", "das ist \\u00", "Die Behörde (mit Sitz in", "<b>Fetter Text.", "§ 12 gilt entsprechend, wenn", "Artikel 5 findet keine Anwen",
 ]
 
 
