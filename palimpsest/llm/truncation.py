@@ -49,7 +49,8 @@ _NO_STOP = re.compile(
 # Closed fragments that whole values consist of: headings, list items, notes in brackets, ranges, dashes, commands.
 _FRAGMENT = re.compile(
     r"(?:[-–—]|\([^()]{1,40}\)|(?:\(\d+\w?\)|§ ?\d+\w?|\d+\.?)(?: bis | und |, | to | and |–|-)(?:\(\d+\w?\)|§ ?\d+\w?|\d+\.?) ?(?:…|\.\.\.)"
-    r"|(?:Abschnitt|Unterabschnitt|Kapitel|Teil|Titel|Buch|Anlage|Anhang|Artikel|Art\.|§§?|Section|Chapter|Part|Annex|Article|Titre|Chapitre|Annexe) ?\d+\w?(?:[ :.–-]+[A-ZÄÖÜÉ„(][^.!?]{0,120}|[.:])?"
+    r"|(?:Abschnitt|Unterabschnitt|Kapitel|Teil|Titel|Buch|Anlage|Anhang|Section|Chapter|Part|Annex|Titre|Chapitre|Annexe) ?\d+\w?(?:[ :.–-][^.!?]{0,120})?"
+    r"|(?:Artikel|Art\.|§§?|Article) ?\d+\w?(?:[ :.–-]+[A-ZÄÖÜÉ„(][^.!?]{0,120}|[.:])?"
     r"|(?:\d{1,3}\w?[.)]|\(?[a-z]{1,2}\)) [^.!?]{1,120}(?:[,;]|[,;]? (?:und|oder|and|or|et|ou))"
     r"|(?:Das|Die) (?:Wort|Wörter|Angabe|Angaben|Zahl) „[^“]*“ (?:wird|werden) [^.!?]{0,200}(?:ersetzt|gestrichen|eingefügt|angefügt|aufgehoben))$"
 )

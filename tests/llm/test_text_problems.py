@@ -17,7 +17,7 @@ needs_tokenizer = pytest.mark.skipif(not os.path.exists(os.path.join(FOLDER, "by
 _WHOLE = [
     "Satz 2 gilt sinngemäß.", "(entfällt)", "–", "(1) bis (5) …", "3. Steuerfristen,", "a) Beschuldigte oder", "Abschnitt 8 Rentenpflichten", "Anlage 3 Gebühren für Kautionen: 66,50 €",
     "Das Wort „alt“ wird durch die Angabe „neu“ ersetzt", "Der Antrag ruht. Satz 2 […] bleibt unberührt (vgl. § 47)", "Unberührt bleibt § 5 Abs. 4 Nr. 4.", "Die Absätze 2 bis 4 werden die Absätze 4 bis 71.",
-    "Er sagte: „Nein!“", "<p>Ganzer Text.</p>", "Ist das so?", "Gilt ab dem 1. Januar 2024.", "a) Der Antrag (Anlage 1) ruht.",
+    "Er sagte: „Nein!“", "<p>Ganzer Text.</p>", "Ist das so?", "Gilt ab dem 1. Januar 2024.", "a) Der Antrag (Anlage 1) ruht.", "Abschnitt 7 wildlebende Vögel", "§ 4 Begriffe",
 ]
 _CUT = [
     "Die zuständige Behörde prüft Lehrpl", "Der Anspruch ruht, solange Kosten nicht", "hemmt dadurch den Vollzug nicht, unbeschadet der Befu-", "hinreichend bestimmt sein (vgl. Rn.", "die vor dem 22.", "ab dem 25.07.",
