@@ -9,6 +9,7 @@ matter in the text. Areas are assigned above thresholds calibrated on the hand l
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import re
@@ -35,20 +36,27 @@ MIN_SHARE = 0.12
 MAIN_SHARE = 0.5
 
 _TAG = re.compile(r"<[^<>]{0,200}>")
-_HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
-_FOREIGN = re.compile("[^\n\x20-\u024f\u1e00-\u1eff\u2000-\u206f]")
-_GERMAN = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "’": "'", "‘": "'", "œ": "oe", "æ": "ae"})
-_SENTENCE = re.compile(r"[.!?;]+\s+|\n+")
-_SPACE = re.compile(r"\s+")
+_BOUNDARY = re.compile(r"[.!?;\n](?:(?<=\n)|(?=\s))")
+_RUN = re.compile(r"[^\S\n]{2,}|[\t\r\x0b\x0c\x1c-\x1f]")
+# Letters that fold to two; all other marks fall with the decomposition.
+_TWO = [("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"), ("œ", "oe"), ("æ", "ae"), ("’", "'"), ("‘", "'"), ("\u2028", " "), ("\x85", " ")]
 
 
 def fold(text: str) -> str:
-    """Lower case without markup, entities, accents, hidden characters and other scripts; umlauts as two letters."""
-    text = _HIDDEN.sub("", html.unescape(_TAG.sub(" ", text)))
-    text = _FOREIGN.sub("", unicodedata.normalize("NFC", text)).lower().translate(_GERMAN)
+    """Lower-case ASCII without markup, entities, accents, hidden characters and other scripts; umlauts as two letters.
+
+    Lines stay apart; other white space is single blanks.
+    """
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    if "&" in text:
+        text = html.unescape(text)
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    return text
+        text = unicodedata.normalize("NFC", text).lower()
+        for a, b in _TWO:
+            text = text.replace(a, b)
+        text = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode("ascii")
+    return _RUN.sub(" ", text.lower())
 
 
 def read_terms() -> list[tuple[str, str, str]]:
@@ -68,7 +76,7 @@ def automaton() -> ahocorasick.Automaton:
     for area, kind, term in read_terms():
         patterns = [term + m + last for m in _MIDDLE for last in _LAST] if kind == "stem" else [term]
         for p in patterns:
-            folded = _SPACE.sub(" ", fold(p))
+            folded = fold(p)
             found.add_word(folded, (area, term, len(folded)))
     found.make_automaton()
     return found
@@ -76,15 +84,16 @@ def automaton() -> ahocorasick.Automaton:
 
 def sentence_hits(text: str) -> list[tuple[int, str, str]]:
     """(number of the sentence, area, term), each at most once per sentence, of whole words only."""
-    machine = automaton()
-    hits: dict[tuple[int, str, str], None] = {}
-    for number, sentence in enumerate(_SENTENCE.split(fold(text))):
-        sentence = _SPACE.sub(" ", sentence)
-        for end, (area, term, length) in machine.iter_long(sentence):
-            before = end - length
-            if not sentence[end + 1 : end + 2].isalpha() and not (before >= 0 and sentence[before].isalpha()):
-                hits[(number, area, term)] = None
-    return list(hits)
+    folded = fold(text)
+    found = []
+    for end, (area, term, length) in automaton().iter_long(folded):
+        before = end - length
+        if not folded[end + 1 : end + 2].isalpha() and not (before >= 0 and folded[before].isalpha()):
+            found.append((end, area, term))
+    if not found:
+        return []
+    ends = [m.start() for m in _BOUNDARY.finditer(folded)]
+    return list(dict.fromkeys((bisect.bisect_left(ends, end), area, term) for end, area, term in found))
 
 
 _HITS = "doc_id bigint, area string, term string, sentences array<int>"
