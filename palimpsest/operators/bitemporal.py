@@ -54,14 +54,32 @@ def overlaps(assertions: DataFrame, key: str, months: int = 1) -> DataFrame:
 
 
 def segments(observations: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """Islands of adjacent equal values along ``at``: (key, segment, value, first_at, last_at, observations)."""
-    along = Window.partitionBy(key).orderBy(at)
-    fresh = (~F.col(value).eqNullSafe(F.lag(value).over(along)) | (F.row_number().over(along) == 1)).cast("int")
+    """Islands of adjacent equal values along ``at``: (key, segment, value, first_at, last_at, observations).
+
+    Sequences run within (key, month); one summary row per (key, month) carries the last value and the number of
+    islands so far into the months after it, so that no task orders the whole history of a hot key. ``at`` is a date,
+    a timestamp or ISO text, unique per key; null values are values of their own.
+    """
+    month = F.substring(F.col(at).cast("string"), 1, 7)
+    row = observations.select(F.col(key).alias("key"), F.col(at).alias("at"), F.struct(F.col(value).alias("value")).alias("state"), month.alias("month"))
+    along = Window.partitionBy("key").orderBy("month")
+    last = row.groupBy("key", "month").agg(F.max(F.struct("at", "state")).alias("last"))
+    entering = last.select("key", "month", F.lag("last").over(along).alias("last")).where(F.col("last").isNotNull()).select("key", "month", F.lit(0).alias("rank"), F.col("last.at").alias("at"), F.col("last.state").alias("state"))
+    within = Window.partitionBy("key", "month").orderBy("rank", "at")
+    marked = (
+        row.withColumn("rank", F.lit(1))
+        .unionByName(entering)
+        .withColumn("fresh", (~F.col("state").eqNullSafe(F.lag("state").over(within))).cast("int"))
+        .where("rank = 1")
+        .withColumn("within", F.sum("fresh").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    )
+    so_far = marked.groupBy("key", "month").agg(F.sum("fresh").alias("n")).select(
+        "key", "month", F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")
+    )
     return (
-        observations.withColumn("fresh", fresh)
-        .withColumn("segment", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"))
-        .groupBy(key, "segment", value)
-        .agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count("*").alias("observations"))
+        marked.join(so_far, ["key", "month"])
+        .groupBy(F.col("key").alias(key), (F.col("base") + F.col("within")).cast("bigint").alias("segment"), F.col("state.value").alias(value))
+        .agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count("*").alias("observations"))
     )
 
 

@@ -25,21 +25,41 @@ def watch_ledger(rows: DataFrame, key: str, at: str, tie: str, status: str, stag
     """(key, at, kind, from_status, to_status, event_id): one row per change of each key, none for unchanged rows.
 
     A row without status means that the source lacked the record; comparison is with the last row that had one. A key is
-    frozen with its first terminal row: later rows count no more. ``event_id`` depends on the content only, so a
+    frozen with its first terminal row: later rows count no more. ``at`` is a timestamp or ISO text. ``event_id`` depends on the content only, so a
     repeated run appends nothing (see :func:`append_events`).
     """
-    along = Window.partitionBy(key).orderBy(at, tie)
-    before = along.rowsBetween(Window.unboundedPreceding, -1)
-    missing = F.col(status).isNull()
-    frozen = F.coalesce(F.max((F.col(terminal) & ~missing).cast("int")).over(before), F.lit(0)) == 1
-    real = F.when(~missing, F.struct(F.col(status).alias("status"), F.col(stage).alias("stage"), F.col(terminal).alias("terminal"), F.col(evidence).alias("evidence")))
-    live = rows.withColumn("_frozen", frozen).where(~F.col("_frozen")).withColumn("_now", real)
-    state = live.withColumn("_last", F.last("_now", True).over(before)).withColumn("_n", F.row_number().over(along)).withColumn("_was_missing", F.lag(status).over(along).isNull() & (F.col("_n") > 1))
-    differs = lambda c: ~F.col(f"_now.{c}").eqNullSafe(F.col(f"_last.{c}"))
-    kind = event_kind(F.col("_n") == 1, missing, F.col("_was_missing"), F.coalesce(F.col("_now.terminal"), F.lit(False)), differs("status") | differs("stage"), differs("evidence"))
+    row = rows.select(
+        F.col(key).alias("key"), F.col(at).alias("at"), F.col(tie).alias("tie"), F.substring(F.col(at).cast("string"), 1, 7).alias("period"), F.col(status).isNull().alias("missing"),
+        F.struct(F.col(status).alias("status"), F.col(stage).alias("stage"), F.coalesce(terminal, F.lit(False)).alias("terminal"), F.col(evidence).alias("evidence")).alias("now"),
+    )
+    place, real = F.struct("at", "tie"), F.when(~F.col("missing"), F.struct("at", "tie", "now"))
+    # One row per (key, month) carries what the months after it need; a key's whole history never meets in one task.
+    months = row.groupBy("key", "period").agg(F.max(F.struct("at", "tie", "missing")).alias("last_row"), F.max(real).alias("last_real"), F.min(F.when(F.col("now.terminal") & ~F.col("missing"), place)).alias("ended"))
+    earlier = Window.partitionBy("key").orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
+    carried = months.select(
+        "key", "period", F.last("last_row").over(earlier).alias("last_row"), F.last("last_real", True).over(earlier).alias("last_real"), F.min("ended").over(earlier).alias("ended_before")
+    )
+    entering = carried.where(F.col("last_row").isNotNull()).select(
+        "key", "period", F.lit(0).alias("rank"), F.col("last_row.at").alias("at"), F.col("last_row.tie").alias("tie"), F.col("last_row.missing").alias("missing"), F.col("last_real.now").alias("seen"), F.lit(None).cast(row.schema["now"].dataType).alias("now"),
+        F.col("ended_before").isNotNull().alias("ends"),
+    )
+    own = row.select("key", "period", F.lit(1).alias("rank"), "at", "tie", "missing", F.when(~F.col("missing"), F.col("now")).alias("seen"), "now", (F.col("now.terminal") & ~F.col("missing")).alias("ends"))
+    within = Window.partitionBy("key", "period").orderBy("rank", "at", "tie")
+    before = within.rowsBetween(Window.unboundedPreceding, -1)
+    state = (
+        own.unionByName(entering)
+        .withColumn("last", F.last("seen", True).over(before))
+        .withColumn("was_missing", F.lag("missing").over(within))
+        .withColumn("frozen", F.coalesce(F.bool_or("ends").over(before), F.lit(False)))
+        .where((F.col("rank") == 1) & ~F.col("frozen"))
+    )
+    differs = lambda c: ~F.col(f"now.{c}").eqNullSafe(F.col(f"last.{c}"))
+    first, missing = F.col("was_missing").isNull(), F.col("missing")
+    kind = event_kind(first, missing, F.coalesce("was_missing", F.lit(False)), F.col("now.terminal"), differs("status") | differs("stage"), differs("evidence"))
     events = state.withColumn("kind", kind).where(F.col("kind").isNotNull())
-    identity = typed_id("watch-", F.col(key), F.col(at).cast("string"), F.col("_last.status"), F.col("_last.stage"), F.col("_now.status"), F.col("_now.stage"))
-    return events.select(key, at, "kind", F.col("_last.status").alias("from_status"), F.col(status).alias("to_status"), identity.alias("event_id"))
+    shown = lambda c: F.when(~missing, F.col(f"now.{c}"))
+    identity = typed_id("watch-", F.col("key"), F.col("at").cast("string"), F.col("last.status"), F.col("last.stage"), shown("status"), shown("stage"))
+    return events.select(F.col("key").alias(key), F.col("at").alias(at), "kind", F.col("last.status").alias("from_status"), F.col("now.status").alias("to_status"), identity.alias("event_id"))
 
 
 def append_events(history: DataFrame, events: DataFrame) -> DataFrame:
