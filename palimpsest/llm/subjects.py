@@ -38,6 +38,7 @@ MAIN_SHARE = 0.5
 _TAG = re.compile(r"<[^<>]{0,200}>")
 _BOUNDARY = re.compile(r"[.!?;\n](?:(?<=\n)|(?=\s))")
 _RUN = re.compile(r"[^\S\n]{2,}|[\t\r\x0b\x0c\x1c-\x1f]")
+_CONTROLS = dict.fromkeys([*range(9), *range(14, 28), 127])
 # Letters that fold to two; all other marks fall with the decomposition.
 _TWO = [("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"), ("œ", "oe"), ("æ", "ae"), ("’", "'"), ("‘", "'"), ("\u2028", " "), ("\x85", " ")]
 
@@ -56,7 +57,7 @@ def fold(text: str) -> str:
         for a, b in _TWO:
             text = text.replace(a, b)
         text = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode("ascii")
-    return _RUN.sub(" ", text.lower())
+    return _RUN.sub(" ", text.lower().translate(_CONTROLS))
 
 
 def read_terms() -> list[tuple[str, str, str]]:
