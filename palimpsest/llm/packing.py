@@ -20,6 +20,8 @@ from palimpsest.session import cut_lineage
 
 CAPACITY = 2048
 _GAP, _ITEM = 0, 1
+#: At most so many items wait for each gap; beyond it containers are opened although the volume does not ask for them.
+ITEMS_PER_GAP = 16
 #: The placements of this many steps are gathered into one table, so that the plan stays small over many rounds.
 _COMPACT = 16
 _SPREAD = 1 << 33  # monotonically_increasing_id numbers a partition's rows from its number times this
@@ -119,11 +121,17 @@ def _largest(waiting: DataFrame, items: dict[int, int], n: int) -> Column:
 
 
 def _to_open(gaps: dict[int, int], items: dict[int, int], capacity: int) -> int:
-    """How many containers to open now: for the volume that the usable gaps lack, and for the items that no gap holds."""
-    smallest, widest = min(items), max(gaps, default=0)
-    room = sum(s * n for s, n in gaps.items() if s >= smallest)
-    volume, homeless = sum(s * n for s, n in items.items()), sum(s * n for s, n in items.items() if s > widest)
-    return min(sum(items.values()), max(0, -(-(volume - room) // capacity), -(-homeless // capacity)))
+    """How many containers to open now: the most that, over all sizes s, the items of at least s lack beside the gaps of at least s."""
+    need = volume = room = 0
+    wide = sorted(gaps, reverse=True)
+    for size in sorted(items, reverse=True):
+        volume += size * items[size]
+        while wide and wide[0] >= size:
+            room += wide[0] * gaps[wide.pop(0)]
+        need = max(need, -(-(volume - room) // capacity))
+    # A gap takes one item a round: with too few gaps for the items that wait, the rounds would not end soon.
+    waiting, usable = sum(items.values()), sum(n for s, n in gaps.items() if s >= min(items))
+    return min(waiting, max(need, -(-waiting // ITEMS_PER_GAP) - usable))
 
 
 def best_fit(items: DataFrame, capacity: int, partitions: int) -> DataFrame:
