@@ -5,7 +5,8 @@ stack: a gap is pushed, an item takes the gap on top, which is the smallest gap
 the stack is a prefix sum, so the sweep runs in parallel: every partition's runs of equal sizes are counted, the few counts
 (sizes are at most the capacity) give each run the depth it starts at, and an item is matched with the last gap pushed at its
 depth. All takers of one gap thus differ in rank, and each round is a conflict-free matching. Gaps shrink and the
-round repeats with the items left; what no gap holds opens as few new containers as its total size needs.
+round repeats with the items left; what no gap holds opens as few new containers as its total size needs. Once only small
+items wait, and many for each gap, a round lays all of them along all gaps and a gap takes every item that falls inside it.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from palimpsest.session import cut_lineage
 
 CAPACITY = 2048
 _GAP, _ITEM = 0, 1
-#: At most so many items wait for each gap; beyond it containers are opened although the volume does not ask for them.
-ITEMS_PER_GAP = 16
+#: If more items than this wait for each gap and none is above a sixteenth of the capacity, gaps take runs of items.
+_RUN_ITEMS, _SMALL = 4, 16
 #: The placements of this many steps are gathered into one table, so that the plan stays small over many rounds.
 _COMPACT = 16
 _SPREAD = 1 << 33  # monotonically_increasing_id numbers a partition's rows from its number times this
@@ -53,14 +54,19 @@ def _runs(ordered: DataFrame) -> list[tuple[int, int, int, int, int]]:
     return sorted(((r["p"], r["size"], r["kind"], r["first"], r["n"]) for r in rows), key=lambda r: r[3])
 
 
+def _ordered(state: DataFrame, partitions: int) -> DataFrame:
+    """The state range-sorted from large to small, gaps first, with the place ``at``."""
+    return cut_lineage(
+        state.repartitionByRange(partitions, F.desc("size"), "kind", "id").sortWithinPartitions(F.desc("size"), "kind", "id").withColumn("at", F.monotonically_increasing_id())
+    )
+
+
 def match_round(state: DataFrame, partitions: int) -> DataFrame:
     """One sweep over (kind, id, size): adds ``bin`` and ``left``, the container and remaining gap of each matched item.
 
     Gaps keep their id as ``bin`` and get ``left`` null if they are taken, their size if not.
     """
-    ordered = cut_lineage(
-        state.repartitionByRange(partitions, F.desc("size"), "kind", "id").sortWithinPartitions(F.desc("size"), "kind", "id").withColumn("at", F.monotonically_increasing_id())
-    )
+    ordered = _ordered(state, partitions)
     depth, starts = 0, []
     for p, size, kind, first, n in _runs(ordered):
         starts.append((p, size, kind, first, depth))
@@ -88,6 +94,57 @@ def match_round(state: DataFrame, partitions: int) -> DataFrame:
     return matched.unionByName(unplaced)
 
 
+def _segments(gaps: dict[int, int], items: dict[int, int]) -> list[tuple[int, int, int, int, int]]:
+    """(item size, gap size, first, end, base): the items of a size, by number, that begin in the gaps of a size when both lie
+    end to end from large to small; item j begins at base + j * size of those gaps. At most one segment per item and gap size."""
+    wide, result, w, room, offset = sorted(gaps, reverse=True), [], 0, 0, 0
+    for size in sorted(items, reverse=True):
+        end = offset + size * items[size]
+        while w < len(wide):
+            begin, over = room, room + wide[w] * gaps[wide[w]]
+            first, last = max(0, -(-(begin - offset) // size)), min(items[size], -(-(over - offset) // size))
+            if first < last:
+                result.append((size, wide[w], first, last, offset - begin))
+            if over > end:
+                break
+            room, w = over, w + 1
+        offset = end
+    return result
+
+
+def fill_round(state: DataFrame, partitions: int) -> DataFrame:
+    """Like ``match_round``, but a gap takes a run of items: each item that lies inside one gap when both are laid end to end.
+
+    Prefix sums over the sizes give every item its gap. Only an item across a border of two gaps waits; gaps keep ``left``.
+    """
+    ordered = _ordered(state, partitions)
+    counts: tuple[dict[int, int], dict[int, int]] = ({}, {})
+    starts = []
+    for p, size, kind, first, n in _runs(ordered):
+        starts.append((p, size, kind, first, counts[kind].get(size, 0)))
+        counts[kind][size] = counts[kind].get(size, 0) + n
+    long = lambda *names: StructType([StructField(c, LongType()) for c in names])
+    spark = state.sparkSession
+    runs = spark.createDataFrame(starts, long("p", "size", "kind", "first", "before")).withColumn("kind", F.col("kind").cast("int"))
+    numbered = ordered.withColumn("p", F.floor(F.col("at") / _SPREAD)).join(F.broadcast(runs), ["p", "size", "kind"]).select("kind", "id", "size", (F.col("before") + F.col("at") - F.col("first")).alias("j"))
+    segments = spark.createDataFrame(_segments(*counts), long("size", "gap", "from", "to", "base"))
+    gaps = numbered.where(F.col("kind") == _GAP).select(F.col("id").alias("bin"), F.col("size").alias("gap"), F.col("j").alias("nth"))
+    begin = F.col("base") + F.col("j") * F.col("size")
+    laid = (
+        numbered.where(F.col("kind") == _ITEM)
+        .join(F.broadcast(segments), "size")
+        .where((F.col("j") >= F.col("from")) & (F.col("j") < F.col("to")))
+        .withColumn("nth", F.expr("(base + j * size) div gap"))
+        .where(begin + F.col("size") <= (F.col("nth") + 1) * F.col("gap"))
+    )
+    placed = cut_lineage(laid.join(gaps, ["gap", "nth"]).select("id", "size", "bin"))
+    taken = placed.groupBy("bin").agg(F.sum("size").alias("taken"))
+    null = F.lit(None).cast("bigint")
+    kept = gaps.join(taken, "bin", "left").select(F.lit(_GAP).alias("kind"), F.col("bin").alias("id"), F.col("gap").alias("size"), "bin", (F.col("gap") - F.coalesce("taken", F.lit(0))).alias("left"))
+    waits = numbered.where(F.col("kind") == _ITEM).join(placed, "id", "left_anti").select("kind", "id", "size", null.alias("bin"), null.alias("left"))
+    return kept.unionByName(placed.select(F.lit(_ITEM).alias("kind"), "id", "size", "bin", null.alias("left"))).unionByName(waits)
+
+
 def _histogram(state: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
     """Numbers of gaps and of items by size; bounded by the capacity, whatever the corpus."""
     counts: tuple[dict[int, int], dict[int, int]] = ({}, {})
@@ -96,15 +153,12 @@ def _histogram(state: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
     return counts
 
 
-#: Ties at the boundary of the largest items: up to so many are told apart by their ids, more are drawn by a hash.
-_TIES = 1000
+#: Ties at the boundary of the largest items: up to so many are taken by their ids, more are drawn by a hash.
+_TIES, _DRAW = 1000, 1 << 40
 
 
 def _largest(waiting: DataFrame, items: dict[int, int], n: int) -> Column:
-    """The condition of about the ``n`` largest items (exactly n, unless more than _TIES share the boundary size).
-
-    A draw is at least 64 items, so that it is never empty.
-    """
+    """The condition of the ``n`` largest items: exactly n, or a little fewer where more than _TIES are drawn from one size."""
     for size in sorted(items, reverse=True):
         if n <= items[size]:
             break
@@ -112,8 +166,9 @@ def _largest(waiting: DataFrame, items: dict[int, int], n: int) -> Column:
     tied = F.col("size") == size
     if n == items[size]:
         return F.col("size") >= size
-    if items[size] > _TIES:
-        drawn = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(min(1.0, max(n, 64) / items[size]) * 1_000_000))
+    if n > _TIES:
+        # Four standard deviations below n, so that the draw opens no container too many; the next round opens the rest.
+        drawn = F.pmod(F.xxhash64("id"), F.lit(_DRAW)) < F.lit(int((n - 4 * n**0.5) / items[size] * _DRAW))
     else:
         # At most _TIES ids come to the driver.
         drawn = F.col("id").isin([r["id"] for r in waiting.where(tied).select("id").orderBy("id").limit(n).collect()])
@@ -129,17 +184,27 @@ def _to_open(gaps: dict[int, int], items: dict[int, int], capacity: int) -> int:
         while wide and wide[0] >= size:
             room += wide[0] * gaps[wide.pop(0)]
         need = max(need, -(-(volume - room) // capacity))
-    # A gap takes one item a round: with too few gaps for the items that wait, the rounds would not end soon.
-    waiting, usable = sum(items.values()), sum(n for s, n in gaps.items() if s >= min(items))
-    return min(waiting, max(need, -(-waiting // ITEMS_PER_GAP) - usable))
+    return min(sum(items.values()), need)
+
+
+def _takes_runs(gaps: dict[int, int], items: dict[int, int], opened: int, capacity: int) -> bool:
+    """Whether all items left after the ``opened`` largest are small and so many that one a gap would take many rounds."""
+    waiting = sum(items.values()) - opened
+    largest, above = 0, opened
+    for largest in sorted(items, reverse=True):
+        if above < items[largest]:
+            break
+        above -= items[largest]
+    usable = opened + sum(n for s, n in gaps.items() if s >= min(items))
+    return largest <= capacity // _SMALL and waiting > _RUN_ITEMS * usable
 
 
 def best_fit(items: DataFrame, capacity: int, partitions: int) -> DataFrame:
     """(id, bin): a container for every (id, size) with 0 < size <= capacity, never above the capacity of any.
 
     A container is named by the first item it holds. Each round opens the containers that the waiting volume lacks, by the
-    largest items, then matches the other items in one sweep. Rounds end when no item waits; every round places at
-    least its largest item, and a round's driver work is bounded by the capacity.
+    largest items, then matches the other items in one sweep, or fills gaps with runs. Rounds end when no item waits; every
+    round places at least its largest item, and a round's driver work is bounded by the capacity.
     """
     placed: list[DataFrame] = []
     gaps = items.limit(0).select("id", "size")
@@ -157,7 +222,8 @@ def best_fit(items: DataFrame, capacity: int, partitions: int) -> DataFrame:
             gaps = gaps.unionByName(opened.select("id", (F.lit(capacity) - F.col("size")).cast("bigint").alias("size")))
             waiting = waiting.where(~opens)
         usable = gaps.where(F.col("size") >= min(item_counts))
-        result = cut_lineage(match_round(tagged(usable, waiting), partitions))
+        one_round = fill_round if _takes_runs(gap_counts, item_counts, n, capacity) else match_round
+        result = cut_lineage(one_round(tagged(usable, waiting), partitions))
         item, unplaced = F.col("kind") == _ITEM, F.col("bin").isNull()
         placed.append(result.where(item & ~unplaced).select("id", "bin"))
         gaps = result.where(F.col("left").isNotNull()).select(F.col("bin").alias("id"), F.col("left").alias("size"))

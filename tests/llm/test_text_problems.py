@@ -126,6 +126,39 @@ def test_one_round_is_the_best_fit_sweep(spark):
     assert sorted((x.bin, x["left"]) for x in result if x.kind == 0 and x["left"] is not None) == sorted(stack)
 
 
+@pytest.mark.parametrize("sizes", [[20] * 3000, [3, 5, 7, 40] * 500, [1900, 30, 9, 11] * 300], ids=["equal", "short", "mixed"])
+def test_small_items_open_no_container_beyond_the_volume(spark, sizes):
+    frame = spark.createDataFrame(list(enumerate(sizes)), "item bigint, size bigint")
+    filled = {}
+    for r in packing.pack(frame, capacity=2048, partitions=3).collect():
+        filled[r.container] = filled.get(r.container, 0) + r["size"]
+    assert sum(filled.values()) == sum(sizes) and max(filled.values()) <= 2048
+    # At least one long item fills each container of its own; beside that the volume and one more.
+    assert len(filled) <= max(sum(s > 1024 for s in sizes), -(-sum(sizes) // 2048)) + 1
+
+
+def test_a_gap_takes_the_run_of_items_inside_it(spark):
+    r = random.Random(10)
+    state = [(0, i, r.choice([40, 55, 90])) for i in range(20)] + [(1, i, r.randint(1, 12)) for i in range(20, 220)]
+    gaps, expected, waits, k, begin, offset = sorted((-s, i) for kind, i, s in state if kind == 0), {}, set(), 0, 0, 0
+    for s, i in sorted((-s, i) for kind, i, s in state if kind == 1):
+        while k < len(gaps) and begin - gaps[k][0] <= offset:
+            begin, k = begin - gaps[k][0], k + 1
+        if k < len(gaps) and offset - s <= begin - gaps[k][0]:
+            expected[i] = gaps[k][1]
+        else:
+            waits.add(i)
+        offset -= s
+    result = packing.fill_round(spark.createDataFrame(state, "kind int, id bigint, size bigint"), 4).collect()
+    assert {x.id: x.bin for x in result if x.kind == 1 and x.bin is not None} == expected and waits
+    assert {x.id for x in result if x.kind == 1 and x.bin is None} == waits
+    left = {i: -s for s, i in gaps}
+    for kind, i, s in state:
+        if i in expected:
+            left[expected[i]] -= s
+    assert {x.bin: x["left"] for x in result if x.kind == 0} == left
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack(spark.createDataFrame([], "item bigint, size bigint"), 10, 2).collect() == []
 
