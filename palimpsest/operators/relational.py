@@ -84,11 +84,22 @@ def exactly_one(candidates: DataFrame, keys: list[str]) -> DataFrame:
     return candidates.join(candidates.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n = 1").drop("_n"), keys, "left_semi")
 
 
+#: The rows of one hot key are joined in so many parts.
+_SALTS = 16
+
+
+def spread_join(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """An equi-join on ``key`` whose hot keys are spread: ``many`` is salted by row, ``few`` is repeated for each salt."""
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64(*many.columns), F.lit(_SALTS)).cast("int"))
+    repeated = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return salted.join(repeated, [key, "_salt"]).drop("_salt")
+
+
 def token_overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_tokens: str, right_tokens: str) -> DataFrame:
-    """(left_key, right_key, shared) of rows that share a token: both sides exploded, one equi-join."""
+    """(left_key, right_key, shared) of rows that share a token: both sides exploded, one equi-join, hot tokens spread."""
     a = left.select(left_key, F.explode(F.array_distinct(left_tokens)).alias("token"))
     b = right.select(right_key, F.explode(F.array_distinct(right_tokens)).alias("token"))
-    return a.join(b, "token").groupBy(left_key, right_key).agg(F.count("*").alias("shared"))
+    return spread_join(b, a, "token").groupBy(left_key, right_key).agg(F.count("*").alias("shared"))
 
 
 def natural_order(label: Column) -> list[Column]:

@@ -24,14 +24,14 @@ SELECT 'ni-' || substr(sha256(s.assertion_id || '|' || o.para || '|' || occurren
 def norm_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of the sections of each act: its current intervals times its (label, occurrence) rows.
 
-    The framework act, whose sections would multiply with a tenth of all rows, has no intervals of its own here.
+    The framework act's labels, a tenth of all, are spread. The SQL leaves that act out, so it agrees on the other acts only.
     """
     from palimpsest.functions.ident import typed_id
 
-    current = assertions(spark, sf_dir).where(F.col("knowledge_to").isNull() & (F.col("act_id") != "fed_rahmeng")).select("act_id", "assertion_id", "effective_from", "effective_to").distinct()
+    current = assertions(spark, sf_dir).where(F.col("knowledge_to").isNull()).select("act_id", "assertion_id", "effective_from", "effective_to").distinct()
     labels = table(spark, sf_dir, "act_archive").where(F.col("para").isNotNull()).select(act_key().alias("act_id"), "para", "change_id").distinct()
     numbered = diffs.occurrence(labels, ["act_id", "para"], ["change_id"])
-    return current.join(numbered, "act_id").select(
+    return relational.spread_join(numbered, current, "act_id").select(
         typed_id("ni-", F.col("assertion_id"), F.col("para"), F.col("occurrence")).alias("id"), "act_id", "para", F.col("occurrence").cast("bigint").alias("occurrence"), F.col("effective_from").cast("string").alias("effective_from"), F.col("effective_to").cast("string").alias("effective_to")
     )
 
