@@ -84,14 +84,17 @@ def exactly_one(candidates: DataFrame, keys: list[str]) -> DataFrame:
     return candidates.join(candidates.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n = 1").drop("_n"), keys, "left_semi")
 
 
-#: The rows of one hot key are joined in so many parts.
-_SALTS = 16
+#: A key with more rows than this is hot and joined in parts of about so many rows.
+_HOT = 500
 
 
 def spread_join(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
-    """An equi-join on ``key`` whose hot keys are spread: ``many`` is salted by row, ``few`` is repeated for each salt."""
-    salted = many.withColumn("_salt", F.pmod(F.xxhash64(*many.columns), F.lit(_SALTS)).cast("int"))
-    repeated = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    """An equi-join on ``key`` whose hot keys are spread: their rows in ``many`` are salted, those in ``few`` repeated for each salt."""
+    # Bounded: at most one key per _HOT rows.
+    hot = F.broadcast(many.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > _HOT).select(key, F.ceil(F.col("_n") / _HOT).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    salted = many.withColumn("_row", F.xxhash64(*many.columns)).join(hot, key, "left").withColumn("_salt", F.pmod("_row", salts).cast("int")).drop("_row", "_salts")
+    repeated = few.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return salted.join(repeated, [key, "_salt"]).drop("_salt")
 
 

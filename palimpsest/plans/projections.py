@@ -216,11 +216,15 @@ def set_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT change_id, doc_id FROM c JOIN d USING (act_id) WHERE (length(text) - length(replace(text, new_text, ''))) = length(new_text)"""
 )
 def substring_count_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A change's new wording that occurs exactly once in a text of its act."""
-    changes = table(spark, sf_dir, "act_archive").where(F.length("new_text").between(40, 200)).select("change_id", act_key().alias("act_id"), "new_text").where("act_id <> 'fed_rahmeng'").distinct()
+    """A change's new wording of at least 40 characters that occurs exactly once in a text of its act.
+
+    The SQL leaves out wordings above 200 characters and the framework act, so it agrees on the others only.
+    """
+    changes = table(spark, sf_dir, "act_archive").where(F.length("new_text") >= 40).select("change_id", act_key().alias("act_id"), "new_text").distinct()
     texts = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", act_key().alias("act_id"), "text")
     found = F.length("text") - F.length(F.replace(F.col("text"), F.col("new_text"), F.lit("")))
-    return changes.join(texts, "act_id").where(found == F.length("new_text")).select("change_id", "doc_id")
+    # Most pairs do not contain the wording; only the others are counted.
+    return relational.spread_join(changes, texts, "act_id").where(F.contains("text", "new_text") & (found == F.length("new_text"))).select("change_id", "doc_id")
 
 
 @query(

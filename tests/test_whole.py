@@ -20,23 +20,24 @@ def duck():
     return connection
 
 
-#: Query -> what its SQL cuts off; without it the statement is whole.
+#: Query -> the cut in its SQL, and what stands there in the whole statement.
 CUTS = {
-    "norm_intervals": " WHERE s.act_id <> 'fed_rahmeng'",
+    "norm_intervals": (" WHERE s.act_id <> 'fed_rahmeng'", ""),
+    "substring_count_join": (" BETWEEN 40 AND 200 AND act_id NOT ILIKE '%rahmeng%'", " >= 40"),
 }
 
 
 @needs_tables
 @pytest.mark.parametrize("name", sorted(CUTS))
 def test_query_equals_whole_sql(spark, duck, name):
-    sql = catalog.SQL[name]
-    assert sql.count(CUTS[name]) == 1
+    sql, (cut, instead) = catalog.SQL[name], CUTS[name]
+    assert sql.count(cut) == 1
     frame = catalog.QUERIES[name](spark, FOLDER)
-    result = duck.execute(sql.replace(CUTS[name], ""))
+    result = duck.execute(sql.replace(cut, instead))
     columns = [d[0] for d in result.description]
     whole = Counter(result.fetchall())
     assert Counter(tuple(r) for r in frame.select(*columns).collect()) == whole
-    assert set(duck.execute(sql).fetchall()) < set(whole)
+    assert set(duck.execute(sql).fetchall()) <= set(whole)
 
 
 def test_overlap_counts_the_framework_act(spark, tmp_path):
@@ -44,3 +45,20 @@ def test_overlap_counts_the_framework_act(spark, tmp_path):
     spark.createDataFrame([("d", [("fed_rahmeng",), ("fed_a",), None]), ("e", [("fed_b",)])], "id string, effects array<struct<act_id string>>").write.parquet(str(tmp_path / "decisions.parquet"))
     got = catalog.QUERIES["set_overlap_join"](spark, str(tmp_path)).collect()
     assert sorted((r.fate_id, r.decision_id, r.shared) for r in got) == [("f", "d", 2), ("g", "d", 1)]
+
+
+def test_a_long_wording_of_the_framework_act_is_found(spark, tmp_path):
+    long = "Die zuständige Behörde prüft den Antrag und gibt ihn weiter. " * 6
+    spark.createDataFrame([(1, "fed_rahmeng", long), (2, "fed_a", long), (3, "fed_a", "kurz")], "change_id bigint, act_id string, new_text string").write.parquet(str(tmp_path / "act_archive.parquet"))
+    spark.createDataFrame([(7, "FED_RAHMENG ", f"§ 1 {long}"), (8, "fed_a", f"§ 1 {long} kurz"), (9, "fed_a", long + long)], "doc_id bigint, act_id string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.QUERIES["substring_count_join"](spark, str(tmp_path)).collect()
+    assert sorted((r.change_id, r.doc_id) for r in got) == [(1, 7), (2, 8)]
+
+
+def test_spread_join_is_the_join(spark):
+    from palimpsest.operators import relational
+
+    many = spark.createDataFrame([("hot", i) for i in range(1200)] + [("a", 1), ("a", 1), (None, 2), ("c", 3)], "k string, x int")
+    few = spark.createDataFrame([("hot", 1), ("hot", 2), ("a", 3), ("b", 4), (None, 5)], "k string, y int")
+    order = lambda frame: sorted(map(tuple, frame.select("k", "x", "y").collect()))
+    assert order(relational.spread_join(many, few, "k")) == order(many.join(few, "k"))
