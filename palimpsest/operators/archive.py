@@ -29,12 +29,12 @@ def same_body(a: Column, b: Column) -> Column:
     return strip(a).eqNullSafe(strip(b))
 
 
-def reverse_reconstruction(changes: DataFrame, heads: DataFrame, target: Column, longest: int | None = None) -> DataFrame:
+def reverse_reconstruction(changes: DataFrame, heads: DataFrame, target: Column, longest: int | None = None, captured: Column | None = None) -> DataFrame:
     """(act_id, label, body, applied, gaps): the text of each section before all changes later than ``target``.
 
     ``changes``: act_id, label, day, old_text, new_text; ``heads``: act_id, label, body. Changes are undone from the newest;
-    one is undone only if its day has a single wording, both sides are there and not cut at ``longest``, and its new text is
-    the body so far. Any other is a gap and leaves the body as it is. ``gaps`` lists their reasons in order, '' for none.
+    one is undone only if its day has a single wording, both sides are there and neither has exactly ``longest`` characters (the
+    mark of a capture cap; a longer side is whole), and its new text is the body so far. ``captured``, on act_id: whose captures had the cap. Any other is a gap and leaves the body as it is. ``gaps`` lists their reasons in order, '' for none.
     """
     later = changes.where(F.col("day") > target).dropDuplicates(["act_id", "label", "day", "old_text", "new_text"])
     per_day = later.groupBy("act_id", "label", "day").agg(F.count("*").alias("n"), F.min(F.struct("old_text", "new_text")).alias("c"))
@@ -43,7 +43,8 @@ def reverse_reconstruction(changes: DataFrame, heads: DataFrame, target: Column,
 
     def reason(acc: Column, s: Column) -> Column:
         empty = F.coalesce(F.trim(s["old_text"]), F.lit("")).eqNullSafe("") | F.coalesce(F.trim(s["new_text"]), F.lit("")).eqNullSafe("")
-        capped = F.lit(False) if longest is None else (F.length(s["old_text"]) >= longest) | (F.length(s["new_text"]) >= longest)
+        capped = F.lit(False) if longest is None else (F.length(s["old_text"]) == longest) | (F.length(s["new_text"]) == longest)
+        capped = capped if captured is None else capped & captured
         return (
             F.when(s["n"] > 1, "ambiguous_transition").when(empty, "empty_change_side").when(capped, "truncated_side").when(~same_body(acc["body"], s["new_text"]), "state_mismatch")
         )

@@ -1,5 +1,6 @@
 """Queries whose SQL leaves rows out, against their whole statements, on the smallest tables; cuts that once hid rows."""
 
+import datetime as dt
 import os
 from collections import Counter
 
@@ -62,3 +63,18 @@ def test_spread_join_is_the_join(spark):
     few = spark.createDataFrame([("hot", 1), ("hot", 2), ("a", 3), ("b", 4), (None, 5)], "k string, y int")
     order = lambda frame: sorted(map(tuple, frame.select("k", "x", "y").collect()))
     assert order(relational.spread_join(many, few, "k")) == order(many.join(few, "k"))
+
+
+def test_only_sides_of_exactly_the_cap_are_truncated(spark):
+    from pyspark.sql import functions as F
+
+    from palimpsest.operators import archive
+
+    old, new = "a" * 1300, "b" * 1250
+    changes = [(act, label, dt.date(2020, 1, 1), o, n) for act in ("fed_a", "by_a") for label, o, n in (("long", old, new), ("cap", old[:1200], new))]
+    frame = spark.createDataFrame(changes, "act_id string, label string, day date, old_text string, new_text string")
+    heads = frame.select("act_id", "label", F.col("new_text").alias("body"))
+    got = archive.reverse_reconstruction(frame, heads, F.lit("2015-01-01").cast("date"), longest=1200, captured=F.col("act_id").startswith("fed_")).collect()
+    assert {(g.act_id, g.label): (g.body, g.applied, g.gaps) for g in got} == {
+        ("fed_a", "long"): (old, 1, ""), ("by_a", "long"): (old, 1, ""), ("by_a", "cap"): (old[:1200], 1, ""), ("fed_a", "cap"): (new, 0, "truncated_side")
+    }
