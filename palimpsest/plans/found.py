@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators import asknown, instants, intervals, nested, snapshots, versions
@@ -41,6 +41,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asknown.as_known(events, assertions).select(F.col("event").alias("change_id"), F.col("assertion").alias("assertion_id"))
 
 
+def decision_day() -> Column:
+    """The day of a decision in any usable spelling, in Berlin where it has a time; null for other values."""
+    p = instants.parsed(F.col("decision_date"), F.lit("Europe/Berlin"))
+    days = F.transform(F.array(p), lambda x: F.coalesce(x["day"], F.floor(instants.utc_to_local(x["utc"], "Europe/Berlin") / 86400)))
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.get(days, F.lit(0)).cast("int"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One unambiguous instant or day for each usable spelling in three tables."""
     zones = table(spark, sf_dir, "watch_sources").select("source", "zone_name")

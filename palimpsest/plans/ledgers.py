@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators import archive, graph, ledger, relational, validate
-from palimpsest.plans.found import act_key
+from palimpsest.plans.found import act_key, decision_day
 from palimpsest.plans.registry import Register
 from palimpsest.session import cut_lineage, table
 
@@ -132,9 +132,9 @@ r0 AS (SELECT v.kind || '|' || v.key AS id, d.tick FROM v LEFT JOIN d ON d.id =
 SELECT 'v-' || substr(sha256(id), 1, 16) AS id, tick FROM r3"""
 )
 def birth_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Earliest years relaxed over the graph for three synchronous rounds."""
+    """Earliest years relaxed over the graph for three synchronous rounds; the SQL knows one spelling of days only."""
     nodes, links = graph_tables(spark, sf_dir)
-    dated = table(spark, sf_dir, "decisions").where(F.col("decision_date").rlike(r"^\d{4}-\d{2}-\d{2}$")).groupBy(F.col("id").alias("key")).agg(F.min(F.substring("decision_date", 1, 4).cast("int")).alias("tick"))
+    dated = table(spark, sf_dir, "decisions").select(F.col("id").alias("key"), F.year(decision_day()).alias("tick")).where(F.col("tick").isNotNull()).groupBy("key").agg(F.min("tick").alias("tick"))
     births = nodes.join(dated.withColumn("kind", F.lit("decision")), ["kind", "key"], "left").select("id", "tick")
     return graph.propagate_birth(births, cut_lineage(links))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import ident
 from palimpsest.operators import relational
-from palimpsest.plans.found import act_key
+from palimpsest.plans.found import act_key, decision_day
 from palimpsest.plans.registry import Register
 from palimpsest.session import table
 
@@ -25,7 +25,7 @@ def feed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders, user events and shipments in one schema (day, source, kind, title, key, ordinal)."""
     orders = table(spark, sf_dir, "orders").select(_day("o_orderdate").alias("day"), F.lit("orders").alias("source"), F.lower("o_orderstatus").alias("kind"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"), F.col("o_orderkey").alias("key"), F.lit(1).alias("ordinal"))
     events = table(spark, sf_dir, "events").select(_day("ts").alias("day"), F.lit("events").alias("source"), F.col("event_type").alias("kind"), F.concat(F.lit("Event "), F.col("event_id").cast("string")).alias("title"), F.col("event_id").alias("key"), F.lit(2).alias("ordinal"))
-    decisions = table(spark, sf_dir, "decisions").where(F.col("decision_date").rlike(r"^\d{4}-\d{2}-\d{2}$")).select(F.col("decision_date").try_cast("date").alias("day"), F.lit("decisions").alias("source"), F.lit("decision").alias("kind"), F.substring("title", 1, 160).alias("title"), F.abs(F.hash("id")).cast("bigint").alias("key"), F.lit(0).alias("ordinal"))
+    decisions = table(spark, sf_dir, "decisions").select(decision_day().alias("day"), F.lit("decisions").alias("source"), F.lit("decision").alias("kind"), F.substring("title", 1, 160).alias("title"), F.abs(F.hash("id")).cast("bigint").alias("key"), F.lit(0).alias("ordinal"))
     return orders.unionByName(events).unionByName(decisions).where(F.col("day").isNotNull())
 
 

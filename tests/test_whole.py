@@ -78,3 +78,26 @@ def test_only_sides_of_exactly_the_cap_are_truncated(spark):
     assert {(g.act_id, g.label): (g.body, g.applied, g.gaps) for g in got} == {
         ("fed_a", "long"): (old, 1, ""), ("by_a", "long"): (old, 1, ""), ("by_a", "cap"): (old[:1200], 1, ""), ("fed_a", "cap"): (new, 0, "truncated_side")
     }
+
+
+@needs_tables
+def test_gate_counts_every_decision(spark, duck):
+    """Against pairs, with the days of p5_found: all spellings, all acts."""
+    days = {r.record_id: dt.date.fromisoformat(r.normal) for r in catalog.QUERIES["p5_found"](spark, FOLDER).where("field = 'decision_date' AND normal IS NOT NULL").collect()}
+    decisions = duck.execute("SELECT DISTINCT id, lower(trim(e.act_id)) FROM (SELECT id, unnest(effects) AS e FROM decisions) WHERE e.act_id IS NOT NULL").fetchall()
+    changes = duck.execute("SELECT DISTINCT change_id, lower(trim(act_id)), effective_date FROM act_archive WHERE effective_date IS NOT NULL").fetchall()
+    met = {}
+    for change, act, start in changes:
+        met.setdefault(change, []).extend(i for i, a in decisions if a == act and i in days and start <= days[i] <= start + dt.timedelta(365))
+    expected = sorted((c, ids[0]) for c, ids in met.items() if len(ids) == 1)
+    assert sorted(map(tuple, catalog.QUERIES["gate_exactly_one"](spark, FOLDER).select("change_id", "id").collect())) == expected
+
+
+def test_gate_sees_other_spellings_and_the_framework_act(spark, tmp_path):
+    changes = [(1, "fed_a", dt.date(2020, 1, 1)), (2, "fed_rahmeng", dt.date(2020, 1, 1)), (3, "fed_b", dt.date(2019, 6, 1))]
+    spark.createDataFrame(changes, "change_id bigint, act_id string, effective_date date").write.parquet(str(tmp_path / "act_archive.parquet"))
+    decisions = [("x", "2020-03-01", [("fed_a",)]), ("y", "05.04.2020", [("fed_a",)]), ("z", "2020-12-31", [("fed_rahmeng",)]), ("v", "31.05.2020", [("fed_b",)]), ("w", "unbekannt", [("fed_b",)]), ("u", "01.06.2020", [("fed_b",)])]
+    spark.createDataFrame(decisions, "id string, decision_date string, effects array<struct<act_id string>>").write.parquet(str(tmp_path / "decisions.parquet"))
+    got = catalog.QUERIES["gate_exactly_one"](spark, str(tmp_path)).collect()
+    # 2020-05-31 is the last day of the 365 after 2019-06-01.
+    assert sorted(map(tuple, got)) == [(2, "z"), (3, "v")]
