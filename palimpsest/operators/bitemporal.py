@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.ident import typed_id
+from palimpsest.operators.relational import spread_join
 
 
 def known_at(instant: Column, start: str = "knowledge_from", end: str = "knowledge_to") -> Column:
@@ -53,6 +54,28 @@ def overlaps(assertions: DataFrame, key: str, months: int = 1) -> DataFrame:
     )
 
 
+def overlaps_known(assertions: DataFrame, key: str) -> DataFrame:
+    """Assertions that overlap an earlier-starting one of their key, at every instant at which the key's knowledge changes.
+
+    Between those instants nothing changes, so no overlap is missed, open assertions included. Rows are swept per
+    (key, checkpoint) as in ``overlaps``. A key without any instant has one checkpoint, null, at which all is known.
+    """
+    instants = assertions.select(key, F.explode(F.array("knowledge_from", "knowledge_to")).alias("checkpoint")).groupBy(key, "checkpoint").agg(F.count("*").alias("_n"))
+    dated = instants.where(F.col("checkpoint").isNotNull())
+    undated = instants.groupBy(key).agg(F.max("checkpoint").alias("checkpoint")).where(F.col("checkpoint").isNull())
+    points = dated.select(key, "checkpoint").unionByName(undated.select(key, "checkpoint"))
+    at = Window.partitionBy(key, "checkpoint").orderBy("effective_from", "effective_end", "assertion_id")
+    seen = F.max("effective_end").over(at.rowsBetween(Window.unboundedPreceding, -1))
+    return (
+        spread_join(points, assertions, key)
+        .where(known_at(F.col("checkpoint")))
+        .withColumn("effective_end", F.coalesce("effective_to", F.lit("9999-12-31").cast("date")))
+        .where(F.col("effective_from") < F.col("effective_end"))
+        .withColumn("overlaps", F.coalesce(F.col("effective_from") < seen, F.lit(False)))
+        .where("overlaps")
+    )
+
+
 def segments(observations: DataFrame, key: str, at: str, value: str) -> DataFrame:
     """Islands of adjacent equal values along ``at``: (key, segment, value, first_at, last_at, observations).
 

@@ -91,8 +91,11 @@ w AS (SELECT *, max(e) OVER (PARTITION BY act_id, checkpoint ORDER BY effective_
 SELECT act_id, CAST(CAST(checkpoint AS DATE) AS VARCHAR) AS checkpoint, assertion_id FROM w WHERE effective_from < seen"""
 )
 def bitemporal_overlap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assertions that overlap another of their act while both were known, at month starts."""
-    return bitemporal.overlaps(assertions(spark, sf_dir), "act_id").select("act_id", F.col("checkpoint").cast("string").alias("checkpoint"), "assertion_id")
+    """Assertions that overlap another of their act while both were known, at each change of knowledge.
+
+    The SQL looks at month starts and closed assertions only; the two agree where nothing overlaps.
+    """
+    return bitemporal.overlaps_known(assertions(spark, sf_dir), "act_id").select("act_id", F.col("checkpoint").cast("string").alias("checkpoint"), "assertion_id")
 
 
 @query(f"WITH {_SEGMENTS} SELECT act_id, segment, digest, CAST(first_at AS VARCHAR) AS first_at, CAST(last_at AS VARCHAR) AS last_at, observations FROM s")

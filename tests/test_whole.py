@@ -101,3 +101,18 @@ def test_gate_sees_other_spellings_and_the_framework_act(spark, tmp_path):
     got = catalog.QUERIES["gate_exactly_one"](spark, str(tmp_path)).collect()
     # 2020-05-31 is the last day of the 365 after 2019-06-01.
     assert sorted(map(tuple, got)) == [(2, "z"), (3, "v")]
+
+
+def test_open_and_short_lived_overlaps_are_seen(spark):
+    from palimpsest.operators import bitemporal
+
+    day, known = dt.date, dt.datetime
+    rows = [
+        ("a", "A", day(2020, 1, 1), None, known(2024, 1, 5), None), ("a", "B", day(2021, 1, 1), None, known(2024, 2, 7), None),
+        ("b", "A", day(2020, 1, 1), day(2022, 1, 1), known(2024, 1, 5), known(2024, 1, 20)), ("b", "B", day(2021, 1, 1), None, known(2024, 1, 10), known(2024, 1, 25)),
+        ("c", "A", day(2020, 1, 1), day(2021, 1, 1), known(2024, 1, 5), known(2024, 2, 1)), ("c", "B", day(2020, 6, 1), None, known(2024, 2, 1), None),
+        ("d", "A", day(2020, 1, 1), None, None, None), ("d", "B", day(2020, 6, 1), None, None, None),
+    ]
+    frame = spark.createDataFrame(rows, "act_id string, assertion_id string, effective_from date, effective_to date, knowledge_from timestamp_ntz, knowledge_to timestamp_ntz")
+    got = {(r.act_id, r.assertion_id, r.checkpoint) for r in bitemporal.overlaps_known(frame, "act_id").collect()}
+    assert got == {("a", "B", known(2024, 2, 7)), ("b", "B", known(2024, 1, 10)), ("d", "B", None)}
