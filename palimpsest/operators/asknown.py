@@ -1,9 +1,10 @@
 """Problem 3: attributes as known at event time, from as-known snapshots plus change logs.
 
-Knowledge time is cut into periods. For each period an assertion known at some time in it has one row: either it is in the
-snapshot taken at the period's start, or the period's log opens it; and the log may close it before the period ends.
-An event meets only the rows of its own key and period and replays only that period's log, so later knowledge cannot
-reach it. Rows are also keyed by a cell of valid time, so that a key with very many assertions does not meet all of them.
+Knowledge time is cut into periods. Two tables are materialised: for each period the snapshot of the assertions known as it
+begins, and the log of what its knowledge opens and closes. An event takes the snapshot that precedes it and replays the
+log from there to its own instant; later changes are never read. Both tables also carry a block of valid time, the
+canonical dyadic blocks of an assertion's validity in cells, and an event probes the blocks above its own cell: so a key
+with very many assertions, however long they are valid, does not bring all of them to each of its events.
 """
 
 from __future__ import annotations
@@ -11,11 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators.intervals import dyadic_blocks
+from palimpsest.session import cut_lineage
+
 #: Length of a knowledge period (seconds) and of a cell of valid time (days).
 PERIOD_SECONDS = 182 * 86400
-CELL_DAYS = 1024
-#: Cell of the assertions valid for longer than CELL_DAYS; at one instant of knowledge a key has few of these.
-LONG_CELL = -(1 << 30)
+CELL_DAYS = 512
 
 
 def _seconds(instant: Column) -> Column:
@@ -32,32 +34,34 @@ def _cell(day: Column) -> Column:
     return F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / CELL_DAYS).cast("int")
 
 
-def snapshots_and_log(assertions: DataFrame, first: int, last: int) -> DataFrame:
-    """As-known rows (key, period, cell, assertion, effective_from, effective_to, opened_at, closed_at) for periods first..last.
+_ASSERTION = ["key", "assertion", "effective_from", "effective_to", "knowledge_from", "knowledge_to"]
+
+
+def snapshots_and_log(assertions: DataFrame, periods: tuple[int, int], cells: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """The snapshots (key, period, level, block, assertion, effective_from, effective_to) of the periods first..last, and their log.
 
     ``assertions``: key, assertion, effective_from, effective_to, knowledge_from, knowledge_to; null ends are open, rows
-    without key or start are ignored. ``opened_at`` is null for the members of the period's snapshot and the log's time
-    for the others; ``closed_at`` is the log's time of the end of knowledge, null if the period does not log one.
+    without key or start and rows that end before they begin are ignored. The log has besides ``at`` and ``change``, +1
+    where knowledge of an assertion begins and -1 where it ends. ``cells`` is the range of valid time that is asked for.
     """
+    (first, last), (low, high) = periods, cells
     opened, closed = F.col("knowledge_from"), F.col("knowledge_to")
-    known = assertions.where(F.col("key").isNotNull() & F.col("effective_from").isNotNull() & opened.isNotNull()).where(
-        (F.coalesce(closed > opened, F.lit(True))) & F.coalesce(F.col("effective_to") > F.col("effective_from"), F.lit(True))
+    usable = F.col("key").isNotNull() & F.col("effective_from").isNotNull() & opened.isNotNull() & F.coalesce(closed > opened, F.lit(True))
+    from_cell = F.greatest(_cell(F.col("effective_from")) - low, F.lit(0))
+    to_cell = F.least(F.coalesce(_cell(F.date_sub("effective_to", 1)), F.lit(high)), F.lit(high)) - low + 1
+    known = (
+        assertions.where(usable & F.coalesce(F.col("effective_to") > F.col("effective_from"), F.lit(True)))
+        .dropDuplicates(_ASSERTION)
+        .withColumn("b", F.explode(dyadic_blocks(from_cell, to_cell, (high - low).bit_length())))
+        .select(*_ASSERTION, F.col("b.level").alias("level"), F.col("b.idx").alias("block"))
     )
-    start, stop = F.greatest(_period(opened), F.lit(first)), F.least(F.coalesce(_period(closed), F.lit(last)), F.lit(last))
-    short = F.datediff("effective_to", "effective_from") <= CELL_DAYS
-    cells = F.when(F.coalesce(short, F.lit(False)), F.sequence(_cell(F.col("effective_from")), _cell(F.date_sub("effective_to", 1)))).otherwise(
-        F.array(F.lit(LONG_CELL))
-    )
-    return (
-        known.where(start <= stop)
-        .withColumn("period", F.explode(F.sequence(start, stop)))
-        .withColumn("cell", F.explode(cells))
-        .select(
-            "key", "period", "cell", "assertion", "effective_from", "effective_to",
-            F.when(_period(opened) == F.col("period"), opened).alias("opened_at"),
-            F.when(_period(closed) == F.col("period"), closed).alias("closed_at"),
-        )
-    )
+    # Members of a period's snapshot opened in an earlier period and do not close before it.
+    begin, end = F.greatest(_period(opened) + 1, F.lit(first)), F.least(F.coalesce(_period(closed), F.lit(last)), F.lit(last))
+    columns = ["key", "period", "level", "block", "assertion", "effective_from", "effective_to"]
+    snapshots = known.where(begin <= end).withColumn("period", F.explode(F.sequence(begin, end))).select(*columns)
+    entries = F.array(F.struct(opened.alias("at"), F.lit(1).alias("change")), F.struct(closed.alias("at"), F.lit(-1).alias("change")))
+    log = known.select("*", F.inline(entries)).withColumn("period", _period(F.col("at"))).where(F.col("period").between(first, last)).select(*columns, "at", "change")
+    return snapshots, log
 
 
 def as_known(events: DataFrame, assertions: DataFrame) -> DataFrame:
@@ -66,21 +70,20 @@ def as_known(events: DataFrame, assertions: DataFrame) -> DataFrame:
     ``events``: event, key, effective_date, recorded_at; rows with a null in any of them have no result. Half-open on both
     axes. Deliveries of the same row count once; empty tables give an empty result.
     """
-    complete = events.where(F.col("key").isNotNull() & F.col("effective_date").isNotNull() & F.col("recorded_at").isNotNull()).select(
-        "event", "key", "effective_date", "recorded_at"
-    )
-    # Two integers come to the driver: the range of knowledge periods that events fall into.
-    first, last = complete.agg(F.min(_period(F.col("recorded_at"))), F.max(_period(F.col("recorded_at")))).first()
+    columns = ["event", "key", "effective_date", "recorded_at"]
+    complete = events.select(*columns).dropna(subset=columns[1:])
+    # Four integers come to the driver: the ranges of the knowledge periods and cells that events fall into.
+    period, cell = _period(F.col("recorded_at")), _cell(F.col("effective_date"))
+    first, last, low, high = complete.agg(F.min(period), F.max(period), F.min(cell), F.max(cell)).first()
     if first is None:
-        first, last = 0, -1
-    rows = snapshots_and_log(assertions.dropDuplicates(["key", "assertion", "effective_from", "effective_to", "knowledge_from", "knowledge_to"]), first, last)
-    probes = complete.withColumn("period", _period(F.col("recorded_at"))).withColumn(
-        "cell", F.explode(F.array(_cell(F.col("effective_date")), F.lit(LONG_CELL)))
-    )
-    joined = probes.join(rows, ["key", "period", "cell"]).where(
+        return complete.limit(0).select("event", F.lit(None).cast(assertions.schema["assertion"].dataType).alias("assertion"))
+    snapshots, log = map(cut_lineage, snapshots_and_log(assertions, (first, last), (low, high)))
+    blocks = F.transform(F.sequence(F.lit(0), F.lit((high - low).bit_length())), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", cell - low, k).alias("block")))
+    probes = complete.select(*columns, period.alias("period"), F.inline(blocks))
+    replayed = snapshots.withColumn("at", F.lit(None).cast("timestamp_ntz")).withColumn("change", F.lit(1)).unionByName(log)
+    met = probes.join(replayed, ["key", "period", "level", "block"]).where(
         (F.col("effective_from") <= F.col("effective_date"))
         & F.coalesce(F.col("effective_date") < F.col("effective_to"), F.lit(True))
-        & F.coalesce(F.col("opened_at") <= F.col("recorded_at"), F.lit(True))
-        & F.coalesce(F.col("recorded_at") < F.col("closed_at"), F.lit(True))
+        & F.coalesce(F.col("at") <= F.col("recorded_at"), F.lit(True))
     )
-    return joined.select("event", "assertion").distinct()
+    return met.groupBy("event", "assertion").agg(F.sum("change").alias("open")).where("open > 0").select("event", "assertion")

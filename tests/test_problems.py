@@ -70,6 +70,26 @@ def test_periods_of_nothing(spark):
     assert intervals.periods_and_gaps(spark.createDataFrame([], _SPANS), "act_id", "f", "t").collect() == []
 
 
+@pytest.mark.parametrize("spans", [[(0, 2048), (5, 6)], [(0, 1024), (1024, 2048)], [(0, 1023), (1023, 5000), (3, 9)], [(1 << 21, 1 << 22), (7, 1 << 21)], [(3, 4000), (4000, 4096), (0, 3)]])
+def test_no_block_lies_in_another_or_beside_its_sibling(spark, spans):
+    """Also across chunks: the blocks are the canonical decomposition of the union."""
+    frame = spark.createDataFrame([("k", a, b) for a, b in spans], "k string, s int, e int")
+    got = sorted((r.s, r.e) for r in intervals.interval_blocks(frame, "k", "s", "e").collect())
+    union = []
+    for a, b in sorted(spans):
+        if union and a <= union[-1][1]:
+            union[-1][1] = max(union[-1][1], b)
+        else:
+            union.append([a, b])
+    expected = []
+    for a, b in union:
+        while a < b:
+            size = min(a & -a or 1 << 22, 1 << ((b - a).bit_length() - 1))
+            expected.append((a, a + size))
+            a += size
+    assert got == expected
+
+
 def test_dyadic_blocks_are_canonical(spark):
     got = spark.range(1).select(intervals.dyadic_blocks(F.lit(3), F.lit(17)).alias("b")).first().b
     assert [(b.level, b.idx) for b in got] == [(0, 3), (0, 16), (2, 1), (3, 1)]
@@ -174,6 +194,8 @@ def test_as_known(spark, rows):
     }
     got = rows(asknown.as_known(e, a))
     assert len(got) == len(expected) and set(got) == expected
+    snapshots, log = asknown.snapshots_and_log(a, (100, 110), (30, 45))
+    assert {r.change for r in log.collect()} == {1, -1} and snapshots.where("period < 100 OR period > 110").count() == 0
     assert asknown.as_known(e.limit(0), a).collect() == [] and asknown.as_known(e, a.limit(0)).collect() == []
 
 
