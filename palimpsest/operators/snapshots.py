@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.session import cut_lineage
+
 #: A chunk holds 2**CHUNK_BITS keys on average.
 CHUNK_BITS = 4
 
@@ -72,6 +74,21 @@ def unmatched_chunks(rows: DataFrame) -> DataFrame:
     return pairs.where(~F.col("this").eqNullSafe(F.col("before"))).select("bucket", "chunk", "number")
 
 
+def open_rows(rows: DataFrame, unmatched: DataFrame) -> DataFrame:
+    """(bucket, key, number, digest, now): the rows of the unmatched chunks, for their own number (``now``) or as those before it.
+
+    Rows of matching chunks meet nothing and are discarded by the join; only the others are doubled.
+    """
+    needed = (
+        unmatched.select("bucket", "chunk", F.inline(F.array(F.struct(F.col("number").alias("at"), F.lit(True).alias("now")), F.struct((F.col("number") - 1).alias("at"), F.lit(False).alias("now")))))
+        .groupBy("bucket", "chunk", "at")
+        .agg(F.collect_set("now").alias("roles"))
+    )
+    return rows.join(needed.withColumnRenamed("at", "number"), ["bucket", "chunk", "number"]).select(
+        "bucket", "key", "digest", "number", F.explode("roles").alias("now")
+    ).withColumn("number", F.when(F.col("now"), F.col("number")).otherwise(F.col("number") + 1))
+
+
 def snapshot_changes(deliveries: DataFrame, key: str, snapshot: str, received: str, digest: str, buckets: int = 64) -> DataFrame:
     """(key, snapshot, change_kind) with 'added', 'removed' or 'changed' between consecutive full snapshots.
 
@@ -79,16 +96,11 @@ def snapshot_changes(deliveries: DataFrame, key: str, snapshot: str, received: s
     A key whose digest becomes known after null is 'changed'. Rows without key or snapshot are ignored; ``buckets`` should
     grow with the number of keys (a bucket is sorted by one task).
     """
-    rows = chunk_of(snapshot_rows(deliveries, key, snapshot, received, digest, buckets))
-    open_chunks = unmatched_chunks(rows)
-    days = deliveries.select(F.col(snapshot).alias("snapshot")).where(F.col("snapshot").isNotNull()).distinct()
-    numbers = days.withColumn("number", F.row_number().over(Window.orderBy("snapshot")))
-    sides = rows.select(
-        "bucket", "chunk", "key", "digest",
-        F.explode(F.array(F.struct("number", F.lit(True).alias("now")), F.struct((F.col("number") + 1).alias("number"), F.lit(False).alias("now")))).alias("s"),
-    ).select("bucket", "chunk", "key", "digest", F.col("s.number").alias("number"), F.col("s.now").alias("now"))
+    # The keyed rows of all snapshots, read twice: for the digests and for the rows of unmatched chunks.
+    rows = cut_lineage(chunk_of(snapshot_rows(deliveries, key, snapshot, received, digest, buckets)))
+    numbers = rows.groupBy("number").agg(F.first("snapshot").alias("snapshot"))
     changed = (
-        sides.join(open_chunks, ["bucket", "chunk", "number"], "left_semi")
+        open_rows(rows, unmatched_chunks(rows))
         .groupBy("bucket", "key", "number")
         .agg(
             F.bool_or("now").alias("is_in"),

@@ -78,7 +78,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     deliveries = table(spark, sf_dir, "state_observations").select(
         act_key().alias("act_id"), "observed_at", "received_at", snapshots.normal_digest(F.col("state_sha256")).alias("digest")
     )
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A bucket is sorted by one task, so their number grows with the rows.
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), deliveries.count() // 50_000)
     changes = snapshots.snapshot_changes(deliveries, "act_id", "observed_at", "received_at", "digest", buckets)
     return changes.select("act_id", F.col("observed_at").cast("string").alias("observed_at"), "change_kind")
 
