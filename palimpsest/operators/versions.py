@@ -17,10 +17,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from palimpsest.session import cut_lineage
+
 PERIOD_DAYS = 7
-#: Leaves per period and leaves per branch of the Merkle tree.
-LEAVES = 4096
+#: Leaves per branch of the Merkle tree, and keys per leaf that its width aims at.
 FANOUT = 64
+KEYS_PER_LEAF = 4
+
+
+def leaves_for(keys: int) -> int:
+    """The width of the tree for so many keys: a power of two that grows with them."""
+    return 1 << max(8, (keys // KEYS_PER_LEAF).bit_length())
 
 
 @F.pandas_udf(StringType())
@@ -52,8 +59,7 @@ def _differs(a: str, b: str, c: str) -> Column:
 def changed_leaves(summaries: DataFrame) -> DataFrame:
     """(period, leaf) of the leaves that differ, by descending from differing roots over differing branches.
 
-    ``summaries`` has per (key, period) the digests ``entering``, ``least`` and ``greatest``. The tree has at most
-    LEAVES + LEAVES / FANOUT + 1 nodes per period.
+    ``summaries`` has per (key, period) the digests ``entering``, ``least`` and ``greatest``.
     """
     folds = [_fold(c).alias(c) for c in ("entering", "least", "greatest")]
     leaves = summaries.groupBy("period", "leaf").agg(*folds)
@@ -76,43 +82,46 @@ def versions(events: DataFrame, key: str, at: str, state: list[str], tie: str) -
     ``valid_to`` is the next run's start, null for the last. Rows without key or time are ignored, null state values are
     values of their own, ``tie`` orders events of one instant. Rows without a change open no version.
     """
-    seconds = F.datediff(F.col(at).cast("date"), F.lit("1970-01-01").cast("date"))
+    days = F.datediff(F.col(at).cast("date"), F.lit("1970-01-01").cast("date"))
     digest = F.xxhash64(F.col(key), *(F.coalesce(F.col(c), F.lit("\u0000")) for c in state))
-    base = events.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(
-        F.col(key).alias("key"), F.col(at).alias("at"), F.col(tie).alias("tie"), F.struct(*state).alias("state"), digest.alias("digest"),
-        F.floor(seconds / PERIOD_DAYS).cast("int").alias("period"), F.pmod(F.xxhash64(F.col(key)), F.lit(LEAVES)).cast("int").alias("leaf"),
-    )
+    # The events are read for the summaries and, of differing leaves, for their versions.
+    base = cut_lineage(
+        events.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(
+            F.col(key).alias("key"), F.col(at).alias("at"), F.col(tie).alias("tie"), F.struct(*state).alias("state"), digest.alias("digest"), F.floor(days / PERIOD_DAYS).cast("int").alias("period")
+        )
+    )
     along = Window.partitionBy("key").orderBy("period")
-    summaries = (
-        base.groupBy("key", "period", "leaf")
+    last = (
+        base.groupBy("key", "period")
         .agg(F.max(F.struct("at", "tie", "state", "digest")).alias("last"), F.min("digest").alias("least"), F.max("digest").alias("greatest"))
         .withColumn("before", F.lag("last").over(along))
         # A key's first period has nothing to enter with: the digest of an absent key equals no state's.
         .withColumn("entering", F.coalesce(F.col("before.digest"), F.xxhash64(F.lit("absent"), F.col("key"))))
+        .drop("last")
     )
-    open_leaves = changed_leaves(summaries)
-    in_open = base.join(open_leaves, ["period", "leaf"], "left_semi").select("key", "period", "at", "tie", "state", F.lit(1).alias("real"))
+    last = cut_lineage(last)
+    leaf = F.pmod(F.xxhash64("key"), F.lit(leaves_for(last.agg(F.approx_count_distinct("key")).first()[0]))).cast("int").alias("leaf")
+    open_leaves = changed_leaves(last.select("key", "period", leaf, "entering", "least", "greatest"))
+    in_open = base.select("*", leaf).join(open_leaves, ["period", "leaf"], "left_semi").select("key", "period", "at", "tie", "state", F.lit(1).alias("real"))
     entering = (
-        summaries.where(F.col("before").isNotNull())
+        last.where(F.col("before").isNotNull())
+        .select("*", leaf)
         .join(open_leaves, ["period", "leaf"], "left_semi")
         .select("key", "period", F.col("before.at").alias("at"), F.col("before.tie").alias("tie"), F.col("before.state").alias("state"), F.lit(0).alias("real"))
     )
     within = Window.partitionBy("key", "period").orderBy("real", "at", "tie")
-    starts = (
+    # The new versions of each period; their first is also the end of the last one before.
+    starts = cut_lineage(
         in_open.unionByName(entering)
         .withColumn("previous", F.lag("state").over(within))
         .where((F.col("real") == 1) & ~F.col("state").eqNullSafe(F.col("previous")))
-        .select("key", "period", "at", "tie", "state")
-    )
-    next_first = (
-        starts.groupBy("key", "period").agg(F.min("at").alias("first")).select("key", "period", F.lead("first").over(along).alias("next_first"))
-    )
-    ordered = Window.partitionBy("key", "period").orderBy("at", "tie")
-    return (
-        starts.withColumn("following", F.lead("at").over(ordered))
-        .join(next_first, ["key", "period"])
-        .select(F.col("key").alias(key), *(F.col(f"state.{c}").alias(c) for c in state), F.col("at").alias("valid_from"), F.coalesce("following", "next_first").alias("valid_to"))
+        .withColumn("following", F.lead("at").over(within))
+        .select("key", "period", "at", "tie", "state", "following")
     )
+    next_first = starts.groupBy("key", "period").agg(F.min("at").alias("first")).select("key", "period", F.lead("first").over(along).alias("next_first"))
+    ends_here = starts.where(F.col("following").isNotNull()).withColumn("valid_to", F.col("following"))
+    ends_later = starts.where(F.col("following").isNull()).join(next_first, ["key", "period"]).withColumn("valid_to", F.col("next_first")).drop("next_first")
+    return ends_here.unionByName(ends_later).select(F.col("key").alias(key), *(F.col(f"state.{c}").alias(c) for c in state), F.col("at").alias("valid_from"), "valid_to")
 
 
 def micros_text(instant: Column) -> Column:
