@@ -157,6 +157,44 @@ def test_structural_index_of_random_json():
             assert parsed == (doc if isinstance(doc, list) else list(doc.values()))
 
 
+def _strict(text):
+    def reject(word):
+        raise ValueError(word)
+
+    try:
+        json.loads(text, parse_constant=reject)
+    except ValueError:
+        return False
+    return True
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_the_grammar_is_that_of_a_json_reader(seed):
+    """Texts with random changes, indexed in one batch: valid are those that a strict reader takes."""
+    r = random.Random(seed)
+    bases = ['{"a": [1, -2.5e3, {"b": "x\\"y\\u00e9"}, null, true], "c": {}, "d": []}', '["", "\\\\", {"k": [[[]]]}]', ' 12 ', '"lone"', "{}", '[{"a":"b"},{"a":"ü,:{"}]']
+    texts = []
+    for _ in range(4000):
+        t = list(r.choice(bases))
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            at = r.randrange(len(t) + 1)
+            t[at : at + r.choice([0, 1])] = r.choice(list('{}[],:"\\ \t\n01-.eEtu/ä') + ["", "null", "NaN", "\x01", "[]", ',"']) if r.random() < 0.8 else ""
+        texts.append("".join(t))
+    index = nested.StructuralIndex(texts)
+    wrong = [(t, ok) for t, ok in zip(texts, index.well_formed) if ok != _strict(t)]
+    assert not wrong, wrong[:5]
+    assert 500 < index.well_formed.sum() < 3500 and set(index.members["doc"]) <= set(index.well_formed.nonzero()[0])
+
+
+def test_any_number_of_encodings_and_any_depth(spark, rows):
+    text = json.dumps([{"role": "x"}])
+    for _ in range(10):
+        text = json.dumps(text)
+    deep = "[" * 20_000 + "bad bad" + "]" * 20_000
+    got = rows(nested.list_children(spark.createDataFrame([("e", text), ("d", f'[{{"role": "y", "z": {deep}}}]'), ("s", '[{"role": "\\ud800 \\ud83d\\ude00"}]')], "id string, c string"), "id", "c", "chain", "role"))
+    assert got == [("e", "chain", 0, "x"), ("s", "chain", 0, "\ufffd \U0001f600")]
+
+
 def test_very_deep_and_very_long_json(spark, rows):
     deep, long_text = "[" * 5000 + "]" * 5000, json.dumps([{"role": "x" * 3_000_000}, {"role": "y"}])
     got = rows(nested.list_children(spark.createDataFrame([("d", deep), ("l", long_text)], "id string, c string"), "id", "c", "chain", "role"))
