@@ -25,6 +25,8 @@ _GAP, _ITEM = 0, 1
 _RUN_ITEMS, _SMALL = 4, 16
 #: The placements of this many steps are gathered into one table, so that the plan stays small over many rounds.
 _COMPACT = 16
+#: A sweep takes one task for so many gaps and items.
+_ROWS_PER_TASK = 100_000
 _SPREAD = 1 << 33  # monotonically_increasing_id numbers a partition's rows from its number times this
 
 
@@ -223,7 +225,8 @@ def best_fit(items: DataFrame, capacity: int, partitions: int) -> DataFrame:
             waiting = waiting.where(~opens)
         usable = gaps.where(F.col("size") >= min(item_counts))
         one_round = fill_round if _takes_runs(gap_counts, item_counts, n, capacity) else match_round
-        result = cut_lineage(one_round(tagged(usable, waiting), partitions))
+        tasks = min(partitions, 1 + (sum(gap_counts.values()) + sum(item_counts.values())) // _ROWS_PER_TASK)
+        result = cut_lineage(one_round(tagged(usable, waiting), tasks).coalesce(tasks))
         item, unplaced = F.col("kind") == _ITEM, F.col("bin").isNull()
         placed.append(result.where(item & ~unplaced).select("id", "bin"))
         gaps = result.where(F.col("left").isNotNull()).select(F.col("bin").alias("id"), F.col("left").alias("size"))

@@ -1,17 +1,22 @@
 """Problem 8: encoding a whole corpus with a public tokenizer through a distinct-word table.
 
 Texts are split into the tokenizer's words by its own pattern in the JVM, each distinct word is encoded once, and the ids are
-joined back by position. The most frequent words, a bounded table, are joined by broadcast, so their rows - the bulk, and
-any word with a large share of all rows - are never shuffled by word; all other words are joined by a shuffle.
+joined back by position. The most frequent words, a bounded table, are looked up in Arrow batches where the texts lie: runs
+of such words leave as one part with their ids, so neither the bulk of the words nor a word with a large share of
+all rows is ever shuffled. Every other word is a part of its own and is joined by a shuffle of these words alone.
 """
 
 from __future__ import annotations
 
 import base64
 import os
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -22,8 +27,8 @@ from palimpsest.session import cut_lineage
 TOKENIZERS = "/opt/tokenizers"
 # Fixed value: the word pattern of byte_bpe_50k; (?U) gives \s its Unicode meaning in Java.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bounds of the broadcast table: so many words of at most so many characters, about 2 MB.
-FREQUENT_WORDS, FREQUENT_LENGTH = 20_000, 64
+#: Bounds of the broadcast table: (least characters, most characters, words), about 2 MB of common words and at most 4 MB of long ones.
+FREQUENT = [(1, 64, 20_000), (65, 1024, 1_000)]
 
 
 @lru_cache(maxsize=4)
@@ -47,41 +52,98 @@ def ids_of(word: Column, path: str) -> Column:
 
 
 def split_words(documents: DataFrame) -> DataFrame:
-    """(doc_id, pos, word) of all texts; null and empty texts have none."""
-    return documents.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("pos", "word"))
+    """(doc_id, words) of all texts, in order; null for a null text."""
+    return documents.select("doc_id", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("words"))
 
 
 def word_table(documents: DataFrame, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
     """(word, n, ids): each distinct word of the corpus, counted map-side first and encoded once."""
-    counted = split_words(documents).groupBy("word").agg(F.count("*").alias("n"))
+    counted = split_words(documents).select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     return counted.select("word", "n", ids_of(F.col("word"), os.path.join(folder, f"{name}.tiktoken")).alias("ids"))
 
 
-def encoded_words(documents: DataFrame, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
-    """(doc_id, pos, ids) of every word; a null text has one row with null ids, an empty text one with no ids."""
-    table = cut_lineage(word_table(documents, folder, name))
-    frequent = table.where(F.length("word") <= FREQUENT_LENGTH).orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).select("word", F.col("ids").alias("known"))
-    looked_up = split_words(documents).join(F.broadcast(frequent), "word", "left")
-    common = looked_up.where(F.col("known").isNotNull()).select("doc_id", "pos", F.col("known").alias("ids"))
-    rare = looked_up.where(F.col("known").isNull()).select("doc_id", "pos", "word").join(table.select("word", "ids"), "word").select("doc_id", "pos", "ids")
-    bare = documents.where(F.col("text").isNull() | (F.col("text") == "")).select(
-        "doc_id", F.lit(-1).alias("pos"), F.when(F.col("text").isNotNull(), F.array().cast("array<int>")).alias("ids")
-    )
-    return common.unionByName(rare).unionByName(bare)
+def frequent_words(table: DataFrame) -> pa.Table:
+    """(word, ids) of the most frequent words, on the driver; bounded by FREQUENT."""
+    tiers = [table.where(F.length("word").between(low, high)).orderBy(F.desc("n"), "word").limit(n) for low, high, n in FREQUENT]
+    return pa.concat_tables([t.select("word", "ids").toArrow() for t in tiers]).combine_chunks()
+
+
+def _parts(words: pa.ListArray, known: pa.StringArray, ids: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.ListArray, pa.StringArray]:
+    """The parts of a batch of texts: (parts before each text, place of each part's first word, its ids, its word if that is not known)."""
+    flat = words.flatten()
+    offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))])
+    at = pc.index_in(flat, known)
+    rare = at.is_null().to_numpy(zero_copy_only=False)
+    begins = rare.copy()
+    begins[1:] |= rare[:-1]
+    begins[offsets[:-1][offsets[:-1] < len(flat)]] = True
+    first = np.flatnonzero(begins)
+    lengths = np.diff(ids.offsets.to_numpy())
+    size = np.where(rare, 0, lengths[pc.fill_null(at, 0).to_numpy(zero_copy_only=False)]) if len(known) else np.zeros(len(flat), np.int64)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    part_ids = pa.ListArray.from_arrays(pa.array(np.concatenate([ends[first], ends[-1:]]), pa.int32()), ids.take(at).flatten())
+    part_words = pc.if_else(pa.array(rare[first]), flat.take(pa.array(first)), pa.scalar(None, flat.type))
+    before = np.searchsorted(first, offsets)
+    text = np.searchsorted(offsets, first, "right") - 1
+    return before, (first - offsets[text]).astype(np.int32), part_ids, part_words
+
+
+_PART = pa.struct([("pos", pa.int32()), ("ids", pa.list_(pa.int32())), ("word", pa.string())])
+
+
+def text_parts(documents: DataFrame, table: DataFrame) -> DataFrame:
+    """(doc_id, parts array<struct<pos,ids,word>>): runs of frequent words with their ids, other words with no ids yet.
+
+    In order of ``pos``, the place of a part's first word; null for a null text. The result lies by doc_id; rows without one have none.
+    """
+    frequent = frequent_words(table)
+    known, ids = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in frequent.columns)
+    known, ids = known.cast(pa.string()), ids.cast(pa.list_(pa.int32()))
+    shared = documents.sparkSession.sparkContext.broadcast((known, ids))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ids = shared.value
+        for batch in batches:
+            words = batch.column("words").cast(pa.list_(pa.string()))
+            before, pos, part_ids, part_words = _parts(words, known, ids)
+            structs = pa.StructArray.from_arrays([pa.array(pos), part_ids, part_words], fields=list(_PART))
+            parts = pa.ListArray.from_arrays(pa.array(before, pa.int32()), structs, mask=words.is_null())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), parts], names=["doc_id", "parts"])
+
+    doc = documents.schema["doc_id"].dataType.simpleString()
+    looked_up = split_words(documents).mapInArrow(look_up, f"doc_id {doc}, parts array<struct<pos:int,ids:array<int>,word:string>>")
+    # The filter that joins infer stands here for every reader, so that their plans of the exchange are the same.
+    return looked_up.repartition("doc_id").where(F.col("doc_id").isNotNull())
+
+
+def rare_parts(parts: DataFrame, table: DataFrame) -> DataFrame:
+    """(doc_id, pos, ids) of the words that are not among the frequent ones."""
+    # An outer inline infers no filter, so that both readers of ``parts`` share one exchange.
+    rare = parts.select("doc_id", F.inline_outer("parts")).where(F.col("word").isNotNull()).select("doc_id", "pos", "word")
+    return rare.join(table.select("word", "ids"), "word").select("doc_id", "pos", "ids")
 
 
 def encode(documents: DataFrame, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
-    """(doc_id, ids array<int>) of every text, without special tokens; [] for an empty text, null for a null text."""
-    words = encoded_words(documents, folder, name)
-    gathered = words.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("w"))
-    return gathered.select("doc_id", F.flatten(F.transform("w", lambda x: x["ids"])).alias("ids"))
+    """(doc_id, ids array<int>) of every text, without special tokens; [] for an empty text, null for a null text.
+
+    doc_id names one text; a row delivered twice comes out twice.
+    """
+    table = cut_lineage(word_table(documents, folder, name))
+    parts = text_parts(documents, table)
+    rare = rare_parts(parts, table).groupBy("doc_id").agg(F.collect_set(F.struct("pos", "ids")).alias("rare"))
+    known = F.transform("parts", lambda x: F.struct(x["pos"].alias("pos"), x["ids"].alias("ids")))
+    # A rare word's own part has no ids; its joined part has the same place.
+    placed = F.when(F.col("rare").isNull(), known).otherwise(F.sort_array(F.concat(known, F.col("rare"))))
+    return parts.join(rare, "doc_id", "left").select("doc_id", F.flatten(F.transform(placed, lambda x: x["ids"])).alias("ids"))
 
 
 def token_counts(documents: DataFrame, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
-    """(doc_id, size bigint): the number of ids of every text; 0 for empty and null texts."""
-    return encoded_words(documents, folder, name).groupBy("doc_id").agg(F.sum(F.coalesce(F.size("ids"), F.lit(0)).cast("bigint")).alias("size")).select(
-        "doc_id", F.greatest(F.col("size"), F.lit(0)).alias("size")
-    )
+    """(doc_id, size bigint): the number of ids of every text; 0 for empty and null texts. doc_id names one text."""
+    table = cut_lineage(word_table(documents, folder, name))
+    parts = text_parts(documents, table)
+    rare = rare_parts(parts, table).distinct().groupBy("doc_id").agg(F.sum(F.size("ids")).alias("rare"))
+    known = F.aggregate(F.coalesce("parts", F.array().cast("array<struct<pos:int,ids:array<int>,word:string>>")), F.lit(0).cast("bigint"), lambda n, x: n + F.size(x["ids"]))
+    return parts.join(rare, "doc_id", "left").select("doc_id", (known + F.coalesce("rare", F.lit(0))).alias("size"))
 
 
 def pieces(spark: SparkSession, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:

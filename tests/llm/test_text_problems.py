@@ -75,15 +75,20 @@ def test_encoding_equals_the_tokenizer(spark):
 
 
 @needs_tokenizer
-def test_words_beyond_the_broadcast_bound(spark, monkeypatch):
-    monkeypatch.setattr(tokens, "FREQUENT_WORDS", 3)
-    frame = spark.createDataFrame([(i, f"der Antrag {i} und der Bescheid") for i in range(50)], "doc_id bigint, text string")
+@pytest.mark.parametrize("bound", [0, 3])
+def test_words_beyond_the_broadcast_bound(spark, monkeypatch, bound):
+    monkeypatch.setattr(tokens, "FREQUENT", [(1, 64, bound), (65, 1024, 0)])
+    frame = spark.createDataFrame([(i, f"der Antrag {i} und der Bescheid") for i in range(50)] + [(50, "a" * 2000), (51, ""), (52, "\n" * 70), (3, "der Antrag 3 und der Bescheid")], "doc_id bigint, text string")
     path = os.path.join(FOLDER, "byte_bpe_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(path, "rb"))}
     import tiktoken
 
     whole = tiktoken.Encoding("t", pat_str=tokens.PATTERN.removeprefix("(?U)"), mergeable_ranks=ranks, special_tokens={})
-    assert {r.doc_id: r.ids for r in tokens.encode(frame).collect()} == {i: whole.encode_ordinary(f"der Antrag {i} und der Bescheid") for i in range(50)}
+    got = tokens.encode(frame).collect()
+    texts = {r.doc_id: r.text for r in frame.collect()}
+    # A row delivered twice comes out twice.
+    assert len(got) == 54 and {r.doc_id: r.ids for r in got} == {i: whole.encode_ordinary(t) for i, t in texts.items()}
+    assert {r.doc_id: r.size for r in tokens.token_counts(frame).collect()} == {r.doc_id: len(r.ids) for r in got}
 
 
 # -- 9 containers
