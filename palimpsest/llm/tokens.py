@@ -68,33 +68,41 @@ def frequent_words(table: DataFrame) -> pa.Table:
     return pa.concat_tables([t.select("word", "ids").toArrow() for t in tiers]).combine_chunks()
 
 
-def _parts(words: pa.ListArray, known: pa.StringArray, ids: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.ListArray, pa.StringArray]:
-    """The parts of a batch of texts: (parts before each text, place of each part's first word, its ids, its word if that is not known)."""
+def _parts(words: pa.ListArray, known: pa.StringArray, ids: pa.ListArray, runs: bool) -> tuple[np.ndarray, pa.StructArray, np.ndarray]:
+    """The parts of a batch of texts: (parts before each text, the parts, ids of known words in each text).
+
+    A part is a run of known words with their ids, if ``runs`` asks for them, or one other word.
+    """
     flat = words.flatten()
     offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))])
     at = pc.index_in(flat, known)
     rare = at.is_null().to_numpy(zero_copy_only=False)
     begins = rare.copy()
-    begins[1:] |= rare[:-1]
-    begins[offsets[:-1][offsets[:-1] < len(flat)]] = True
+    if runs:
+        begins[1:] |= rare[:-1]
+        begins[offsets[:-1][offsets[:-1] < len(flat)]] = True
     first = np.flatnonzero(begins)
     lengths = np.diff(ids.offsets.to_numpy())
     size = np.where(rare, 0, lengths[pc.fill_null(at, 0).to_numpy(zero_copy_only=False)]) if len(known) else np.zeros(len(flat), np.int64)
     ends = np.concatenate([[0], np.cumsum(size)])
-    part_ids = pa.ListArray.from_arrays(pa.array(np.concatenate([ends[first], ends[-1:]]), pa.int32()), ids.take(at).flatten())
+    if runs:
+        part_ids = pa.ListArray.from_arrays(pa.array(np.concatenate([ends[first], ends[-1:]]), pa.int32()), ids.take(at).flatten())
+    else:
+        part_ids = pa.ListArray.from_arrays(pa.array(np.zeros(len(first) + 1), pa.int32()), pa.array([], pa.int32()))
     part_words = pc.if_else(pa.array(rare[first]), flat.take(pa.array(first)), pa.scalar(None, flat.type))
-    before = np.searchsorted(first, offsets)
     text = np.searchsorted(offsets, first, "right") - 1
-    return before, (first - offsets[text]).astype(np.int32), part_ids, part_words
+    structs = pa.StructArray.from_arrays([pa.array((first - offsets[text]).astype(np.int32)), part_ids, part_words], fields=list(_PART))
+    return np.searchsorted(first, offsets), structs, np.diff(ends[offsets])
 
 
 _PART = pa.struct([("pos", pa.int32()), ("ids", pa.list_(pa.int32())), ("word", pa.string())])
 
 
-def text_parts(documents: DataFrame, table: DataFrame) -> DataFrame:
-    """(doc_id, parts array<struct<pos,ids,word>>): runs of frequent words with their ids, other words with no ids yet.
+def text_parts(documents: DataFrame, table: DataFrame, runs: bool = True) -> DataFrame:
+    """(doc_id, known, parts array<struct<pos,ids,word>>): runs of frequent words with their ids, other words with no ids yet.
 
-    In order of ``pos``, the place of a part's first word; null for a null text. The result lies by doc_id; rows without one have none.
+    In order of ``pos``, the place of a part's first word; null for a null text. ``known`` counts the ids of the frequent words,
+    which without ``runs`` have no parts. The result lies by doc_id; rows without one have none.
     """
     frequent = frequent_words(table)
     known, ids = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in frequent.columns)
@@ -105,22 +113,21 @@ def text_parts(documents: DataFrame, table: DataFrame) -> DataFrame:
         known, ids = shared.value
         for batch in batches:
             words = batch.column("words").cast(pa.list_(pa.string()))
-            before, pos, part_ids, part_words = _parts(words, known, ids)
-            structs = pa.StructArray.from_arrays([pa.array(pos), part_ids, part_words], fields=list(_PART))
+            before, structs, count = _parts(words, known, ids, runs)
             parts = pa.ListArray.from_arrays(pa.array(before, pa.int32()), structs, mask=words.is_null())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), parts], names=["doc_id", "parts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count, pa.int64()), parts], names=["doc_id", "known", "parts"])
 
     doc = documents.schema["doc_id"].dataType.simpleString()
-    looked_up = split_words(documents).mapInArrow(look_up, f"doc_id {doc}, parts array<struct<pos:int,ids:array<int>,word:string>>")
+    looked_up = split_words(documents).mapInArrow(look_up, f"doc_id {doc}, known bigint, parts array<struct<pos:int,ids:array<int>,word:string>>")
     # The filter that joins infer stands here for every reader, so that their plans of the exchange are the same.
     return looked_up.repartition("doc_id").where(F.col("doc_id").isNotNull())
 
 
 def rare_parts(parts: DataFrame, table: DataFrame) -> DataFrame:
-    """(doc_id, pos, ids) of the words that are not among the frequent ones."""
-    # An outer inline infers no filter, so that both readers of ``parts`` share one exchange.
-    rare = parts.select("doc_id", F.inline_outer("parts")).where(F.col("word").isNotNull()).select("doc_id", "pos", "word")
-    return rare.join(table.select("word", "ids"), "word").select("doc_id", "pos", "ids")
+    """(doc_id, known, pos, ids) of the words that are not among the frequent ones."""
+    # An outer inline infers no filter; both readers of ``parts`` take all its columns. So they share one exchange.
+    rare = parts.select("doc_id", "known", F.inline_outer("parts")).where(F.col("word").isNotNull()).select("doc_id", "known", "pos", "word")
+    return rare.join(table.select("word", "ids"), "word").select("doc_id", "known", "pos", "ids")
 
 
 def encode(documents: DataFrame, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
@@ -130,20 +137,20 @@ def encode(documents: DataFrame, folder: str = TOKENIZERS, name: str = "byte_bpe
     """
     table = cut_lineage(word_table(documents, folder, name))
     parts = text_parts(documents, table)
-    rare = rare_parts(parts, table).groupBy("doc_id").agg(F.collect_set(F.struct("pos", "ids")).alias("rare"))
+    rare = rare_parts(parts, table).groupBy("doc_id").agg(F.collect_set(F.struct("pos", "ids")).alias("rare"), F.max("known").alias("seen"))
     known = F.transform("parts", lambda x: F.struct(x["pos"].alias("pos"), x["ids"].alias("ids")))
     # A rare word's own part has no ids; its joined part has the same place.
-    placed = F.when(F.col("rare").isNull(), known).otherwise(F.sort_array(F.concat(known, F.col("rare"))))
+    placed = F.when(F.col("seen").isNull() & (F.col("known") >= 0), known).otherwise(F.sort_array(F.concat(known, F.col("rare"))))
     return parts.join(rare, "doc_id", "left").select("doc_id", F.flatten(F.transform(placed, lambda x: x["ids"])).alias("ids"))
 
 
 def token_counts(documents: DataFrame, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
     """(doc_id, size bigint): the number of ids of every text; 0 for empty and null texts. doc_id names one text."""
     table = cut_lineage(word_table(documents, folder, name))
-    parts = text_parts(documents, table)
-    rare = rare_parts(parts, table).distinct().groupBy("doc_id").agg(F.sum(F.size("ids")).alias("rare"))
-    known = F.aggregate(F.coalesce("parts", F.array().cast("array<struct<pos:int,ids:array<int>,word:string>>")), F.lit(0).cast("bigint"), lambda n, x: n + F.size(x["ids"]))
-    return parts.join(rare, "doc_id", "left").select("doc_id", (known + F.coalesce("rare", F.lit(0))).alias("size"))
+    parts = text_parts(documents, table, runs=False)
+    rare = rare_parts(parts, table).distinct().groupBy("doc_id").agg((F.max("known") + F.sum(F.size("ids"))).alias("all"))
+    size = F.when(F.col("parts").isNull(), F.lit(0).cast("bigint")).otherwise(F.coalesce("all", "known"))
+    return parts.join(rare, "doc_id", "left").select("doc_id", size.alias("size"))
 
 
 def pieces(spark: SparkSession, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
