@@ -181,23 +181,47 @@ def test_subject_areas(spark):
         (8, "<p>Wer in eine Wohnung ein&shy;bricht, haftet.</p>"),
         (9, "Für Loehne gilt § 1. Vermieter haften. Gewerkschaften streiken. Für Kautionen gilt § 2."),
         (10, "Steuerakten " * 20_000),
-        (11, "Die Umsatzsteueraktenlage und Abbauakten sind kein Begriff."),
+        (11, "Die Abbauakten und Vergasungen sind kein Begriff. Ansteuerung ist keiner."), (12, "Die Umsatzsteueraktenlage ist unklar."),
     ]
     frame = spark.createDataFrame([(*x, "c", "t") for x in data], "doc_id bigint, text string, area string, term string")
     got = {}
     for r in subjects.subject_areas(frame).collect():
         got.setdefault(r.doc_id, set()).add(r.area)
-    assert got == {1: {"social"}, 2: {"education"}, 7: {"energy"}, 8: {"criminal"}, 9: {"labour", "housing"}, 10: {"taxation"}}
+    assert got == {1: {"social"}, 2: {"education"}, 7: {"energy"}, 8: {"criminal"}, 9: {"labour", "housing"}, 10: {"taxation"}, 12: {"taxation"}}
     assert subjects.subject_areas(frame.limit(0)).collect() == []
 
 
-def test_areas_against_held_out_labels(spark):
-    """The thresholds were set on the labels of other rows; here they meet the labels of the small tables."""
+_GENERAL = [
+    ("The taxpayer must file a tax return. Income tax is due in May.", {"taxation"}), ("Das Finanzamt erlässt den Steuerbescheid. Die Einkommensteuer folgt aus der Steuererklärung.", {"taxation"}),
+    ("He was found guilty of theft and robbery. The prison term begins at once.", {"criminal"}), ("Les malades quittent l'hôpital. Le médecin prescrit un vaccin.", {"health"}),
+    ("Die Mieterin zahlt keine Miete. Der Vermieter verlangt die Räumung.", {"housing"}), ("The university awards degrees. Its students apply for scholarships.", {"education"}),
+    ("Züge der Eisenbahn fahren nach Fahrplan. Fahrgäste brauchen einen Fahrschein.", {"transport"}), ("Wind turbines feed electricity into the grid. The power plant closes.", {"energy"}),
+    ("Das Konto haftet. Der Gast schuldet nichts, die Steuerung läuft.", set()), ("The court adjourned. The costs are reserved.", set()),
+    ("Der Antrag ruht. " * 40 + "Der Mieter zieht aus.", set()),
+]
+
+
+def test_ordinary_texts_of_each_subject(spark):
+    """Sentences that no table holds; one sentence of subject matter in a long text does not count."""
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(_GENERAL)], "doc_id bigint, text string")
+    got = {i: set() for i in range(len(_GENERAL))}
+    for r in subjects.subject_areas(frame).collect():
+        got[r.doc_id].add(r.area)
+    assert got == {i: areas for i, (_, areas) in enumerate(_GENERAL)}
+
+
+def test_thresholds_against_held_out_labels(spark):
+    """Thresholds fitted to one half of the labels of scale 0.01, judged by the other half; those in use were fitted to other rows."""
     folder = "/root/testdata/sf0.01"
     if not os.path.exists(folder):
         pytest.skip("no test tables")
     labels = spark.read.parquet(f"{folder}/subject_labels.parquet").select("doc_id", F.lower(F.trim("area")).alias("area")).distinct()
-    found = subjects.subject_areas(spark.read.parquet(f"{folder}/documents.parquet")).join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    hits, n_found, n_labels = found.join(labels, ["doc_id", "area"]).count(), found.count(), labels.count()
-    # A few labels are wrong or incomplete.
-    assert hits / n_found > 0.85 and hits / n_labels > 0.88
+    scores = subjects.subject_scores(spark.read.parquet(f"{folder}/documents.parquet")).cache()
+    fitted = subjects.calibrate(scores, labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0))
+    held_out = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1)
+    for thresholds in (fitted, (subjects.MIN_SHARE, subjects.MIN_DENSITY, subjects.MIN_RATE)):
+        found = subjects.assign(scores, *thresholds).join(held_out.select("doc_id").distinct(), "doc_id", "left_semi")
+        hits, n_found, n_labels = found.join(held_out, ["doc_id", "area"]).count(), found.count(), held_out.count()
+        # A few labels are wrong or incomplete.
+        assert hits / n_found > 0.85 and hits / n_labels > 0.85
+    assert len(subjects.read_terms()) == len({(a, t) for a, _, t in subjects.read_terms()})
