@@ -32,13 +32,14 @@ TELLING_VALUES = 20
 
 _STRUCTURE = re.compile(r"[„“”‚«»\"()\[\]{}<]")
 _TAG = re.compile(r"<(/?)([A-Za-z]\w*)?[^<>]*(/?)(>?)")
+_TAG_REST = re.compile(r"""</?[A-Za-z][\w:-]*(?:\s+[\w:-]+(?:\s*=\s*(?:"[^"]*"?|'[^']*'?|[^\s"'<>]*))?)*\s*/?""")
 _CLOSING_TAGS = re.compile(r"(?:\s*</\w+\s*>)+$")
 _VOID = {"br", "hr", "img", "p", "li", "td", "tr", "th", "input", "meta", "col"}
 #: The longest ending that the patterns below look at.
 _ENDING = 120
 _PAIRS = {"“": "„", "”": "„“", "»": "«", ")": "(", "]": "[", "}": "{"}
 _OPENERS = set("„‚«([{")
-_BROKEN_END = re.compile(r"�$|&(?:[A-Za-z]{1,8}|#\d{0,6}|#x[0-9A-Fa-f]{0,6})?$|\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?$|<[/!]?[A-Za-z]?[^<>]{0,80}$|<[A-Za-z][^<>/]*>$|(?<=\w)[-‐­]$")
+_BROKEN_END = re.compile(r"""�$|&(?:[A-Za-z]{1,8}|#\d{0,6}|#x[0-9A-Fa-f]{0,6})?$|\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?$|<[/!]?(?:[A-Za-z][\w:-]{0,30}(?:\s+[\w:-]+(?:=(?:"[^"<>]{0,80}"?|[\w-]*))?){0,4}\s*)?$|<[A-Za-z][^<>/]*>$|(?<=\w)[-‐­]$""")
 _OMISSION_END = re.compile(r"(?:…|\.\.\.|\[…\]|\[\.\.\.\]|\(…\)|\(\.\.\.\))$")
 _TERMINATOR = re.compile(r"[.!?:。][\"“”»’')\]]*$")
 # Abbreviations and ordinals whose full stop ends no sentence. The citation forms of statutes.
@@ -66,9 +67,10 @@ def left_open(text: str) -> bool:
         if mark in _OPENERS:
             stack.append(mark)
         elif mark == '"':
-            if stack and stack[-1] == '"':
-                stack.pop()
-            else:
+            if '"' in stack:
+                del stack[len(stack) - 1 - stack[::-1].index('"') :]
+            elif not text[max(found.start() - 1, 0) : found.start()].isdigit():
+                # A mark right after a number that closes nothing stands for inches or seconds.
                 stack.append(mark)
         elif mark == "<":
             tag = _TAG.match(text, found.start())
@@ -76,7 +78,10 @@ def left_open(text: str) -> bool:
             if not name:
                 continue
             if not complete:
-                return True
+                # Cut within a tag only if all that follows could stand in one; else it is the sign for less.
+                if _TAG_REST.fullmatch(text, found.start()):
+                    return True
+                continue
             name = "<" + name.lower()
             if closing and name in stack:
                 del stack[len(stack) - 1 - stack[::-1].index(name) :]
@@ -161,14 +166,27 @@ def baselines(values: DataFrame) -> DataFrame:
             .select("source", F.when(F.col("pile").between(PILE_SHARE, WHOLE_SHARE), F.col("top")).alias(f"{unit}_limit"))
         )
 
-    limits = limit("chars").join(limit("bytes"), "source")
-    short = values.join(limits, "source").where(~_at_limit())
+    # Rows a source, of sources with the same values in both units; joined before they meet any value.
+    limits = cut_lineage(limit("chars").join(limit("bytes"), "source"))
+    short = with_source(values, limits).where(~_at_limit())
     ends = short.groupBy("source").agg(F.avg((F.col("verdict") == COMPLETE).cast("double")).alias("terminated"), F.count("*").alias("n"))
     return limits.join(ends, "source", "left").select(
         "source", "chars_limit", "bytes_limit", F.coalesce((F.col("terminated") >= TERMINATED_SHARE) | (F.col("n") < TELLING_VALUES), F.lit(True)).alias("writes_sentences")
     )
 
 
+#: So many sources at most go to every executor; the values of more are spread over SPLITS parts of each source.
+BROADCAST_SOURCES, SPLITS = 100_000, 64
+
+
+def with_source(values: DataFrame, sources: DataFrame) -> DataFrame:
+    """``values`` joined with one row per source, by broadcast where their counted number allows it, else salted: no source's values meet in one task."""
+    if sources.count() <= BROADCAST_SOURCES:
+        return values.join(F.broadcast(sources), "source")
+    salted = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))))
+    return values.withColumn("salt", F.pmod(F.xxhash64("id", "field"), F.lit(SPLITS)).cast("int")).join(salted, ["source", "salt"]).drop("salt")
+
+
 def _at_limit():
     reached = lambda unit: F.coalesce(F.col(unit) >= F.col(f"{unit}_limit") * PILE_BAND, F.lit(False))
     return reached("chars") | reached("bytes")
@@ -180,7 +198,7 @@ def with_verdicts(table: DataFrame, key: str, source: str, fields: list[str]) ->
     values = cut_lineage(judged(table, key, source, fields))
     verdict = F.col("verdict")
     cut = (verdict == CUT) | ((verdict == OPEN_SENTENCE) & (F.col("writes_sentences") | _at_limit())) | ((verdict == FRAGMENT) & _at_limit())
-    return values.join(baselines(values), "source").select("id", "source", "field", cut.alias("is_cut"))
+    return with_source(values, cut_lineage(baselines(values))).select("id", "source", "field", cut.alias("is_cut"))
 
 
 def cut_values(table: DataFrame, key: str, source: str, fields: list[str]) -> DataFrame:

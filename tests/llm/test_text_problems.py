@@ -17,12 +17,12 @@ needs_tokenizer = pytest.mark.skipif(not os.path.exists(os.path.join(FOLDER, "by
 _WHOLE = [
     "Satz 2 gilt sinngemäß.", "(entfällt)", "–", "(1) bis (5) …", "3. Steuerfristen,", "a) Beschuldigte oder", "Abschnitt 8 Rentenpflichten", "Anlage 3 Gebühren für Kautionen: 66,50 €",
     "Das Wort „alt“ wird durch die Angabe „neu“ ersetzt", "Der Antrag ruht. Satz 2 […] bleibt unberührt (vgl. § 47)", "Unberührt bleibt § 5 Abs. 4 Nr. 4.", "Die Absätze 2 bis 4 werden die Absätze 4 bis 71.",
-    "Er sagte: „Nein!“", "<p>Ganzer Text.</p>", "Ist das so?", "Gilt ab dem 1. Januar 2024.", "a) Der Antrag (Anlage 1) ruht.", "Abschnitt 7 wildlebende Vögel", "§ 4 Begriffe",
+    "Er sagte: „Nein!“", "<p>Ganzer Text.</p>", "Ist das so?", "Gilt ab dem 1. Januar 2024.", "a) Der Antrag (Anlage 1) ruht.", 'Ein Rohr von 5" ist zulässig.', 'Er sagt "5" und "6".', "Wenn x <y gilt, ruht der Antrag.", "a < b und c <d; sonst nicht.", "Abschnitt 7 wildlebende Vögel", "§ 4 Begriffe",
 ]
 _CUT = [
     "Die zuständige Behörde prüft Lehrpl", "Der Anspruch ruht, solange Kosten nicht", "hemmt dadurch den Vollzug nicht, unbeschadet der Befu-", "hinreichend bestimmt sein (vgl. Rn.", "die vor dem 22.", "ab dem 25.07.",
     "Nach Maßgabe des § 5 Abs.", "Auf Antrag werden …", "Eine Buße von höchstens 5 000 [...]", "Die Kammer hat...", "Satz 3 gilt sinngem�", "Die Länderkammer äußert</", "Die Mitteilung enthä<p cla", "legt das Ministeriu <td>",
-    "der Ansp&sec", "in angemessene&#8", "das Wort „kann", "das ist \\u00", "Die Behörde (mit Sitz in", "<b>Fetter Text.", "§ 12 gilt entsprechend, wenn", "Artikel 5 findet keine Anwen",
+    "der Ansp&sec", 'Der Text <a href="x', "Der Text <span class", "in angemessene&#8", "das Wort „kann", "das ist \\u00", "Die Behörde (mit Sitz in", "<b>Fetter Text.", "§ 12 gilt entsprechend, wenn", "Artikel 5 findet keine Anwen",
 ]
 
 
@@ -36,6 +36,14 @@ def test_cut_texts(text):
     assert truncation.judge(text) in (truncation.CUT, truncation.OPEN_SENTENCE)
 
 
+def test_more_sources_than_are_broadcast(spark, monkeypatch, rows):
+    data = [(i, f"s{i % 7}", "Der Antrag ruht." if i % 3 else "Der Antrag ruht, solan") for i in range(210)]
+    frame = spark.createDataFrame(data, "change_id bigint, source string, old_text string")
+    few = rows(truncation.cut_values(frame, "change_id", "source", ["old_text"]))
+    monkeypatch.setattr(truncation, "BROADCAST_SOURCES", 3)
+    assert few == rows(truncation.cut_values(frame, "change_id", "source", ["old_text"])) and len(few) == 70
+
+
 def test_cut_values_by_source(spark, rows):
     sentence = "Die Behörde prüft den Antrag binnen zwei Monaten und teilt das Ergebnis mit. "
     data = [(i, "limited", (sentence * 9)[: r], "Ganz.") for i, r in enumerate([500] * 10 + [77, 153])]
