@@ -1,5 +1,21 @@
 """DuckDB statements of the general data problems, by plainer methods than the operators'."""
 
+#: dd: (id, effects, day) of the decisions, days by one pattern for each spelling; instants in Berlin.
+DECIDED = r"""dv AS (SELECT DISTINCT id, effects, trim(decision_date) AS v FROM decisions),
+dp AS (SELECT *, regexp_extract(v, '^([0-9]{1,2})(?:\.|er)? ?([A-Za-zäöüéûÄÖÜÉ]+)\.? ([0-9]{4})$', ['d', 'm', 'y']) AS w, regexp_extract(v, '^([0-9]{1,2})[./]([0-9]{1,2})[./]([0-9]{4})$', ['d', 'm', 'y']) AS n FROM dv),
+dm AS (SELECT *, lower(w.m) AS name FROM dp),
+dd AS (SELECT id, effects, CASE
+  WHEN regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN try_cast(v AS DATE)
+  WHEN regexp_full_match(v, '[0-9]{8}') THEN try_cast(substr(v, 1, 4) || '-' || substr(v, 5, 2) || '-' || substr(v, 7, 2) AS DATE)
+  WHEN regexp_full_match(v, '[0-9]{9,10}') THEN CAST(timezone('Europe/Berlin', to_timestamp(CAST(v AS BIGINT))) AS DATE)
+  WHEN regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(Z|[+-][0-9]{2}:[0-9]{2})') THEN CAST(timezone('Europe/Berlin', try_cast(v AS TIMESTAMPTZ)) AS DATE)
+  WHEN n.y <> '' THEN try_cast(n.y || '-' || lpad(n.m, 2, '0') || '-' || lpad(n.d, 2, '0') AS DATE)
+  WHEN w.y <> '' THEN try_cast(w.y || '-' || lpad(CAST(coalesce(
+    nullif(list_position(['januar', 'februar', 'märz', 'april', 'mai', 'juni', 'juli', 'august', 'september', 'oktober', 'november', 'dezember'], name), 0),
+    nullif(list_position(['january', 'february', 'march', 'april', 'may', 'june', 'july', 'august', 'september', 'october', 'november', 'december'], name), 0),
+    nullif(list_position(['janvier', 'février', 'mars', 'avril', 'mai', 'juin', 'juillet', 'août', 'septembre', 'octobre', 'novembre', 'décembre'], name), 0)) AS VARCHAR), 2, '0') || '-' || lpad(w.d, 2, '0') AS DATE)
+  END AS day FROM dm)""".replace("\\\\", "\\")
+
 SQL = {
     "p1_found": """
 WITH iv AS (

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import archive, graph, ledger, relational, validate
 from palimpsest.plans.found import act_key, decision_day
+from palimpsest.plans.found_sql import DECIDED
 from palimpsest.plans.registry import Register
 from palimpsest.session import cut_lineage, table
 
@@ -127,12 +128,12 @@ _ROUND = "SELECT r.id, coalesce(r.tick, min(o.tick)) AS tick FROM {0} r LEFT JOI
 
 
 @query(
-    f"""WITH {_V}, n2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e), d AS (SELECT 'decision|' || id AS id, min(CAST(substr(decision_date, 1, 4) AS INT)) AS tick FROM decisions WHERE regexp_full_match(decision_date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') GROUP BY 1),
+    f"""WITH {DECIDED}, {_V}, n2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e), d AS (SELECT 'decision|' || id AS id, CAST(min(year(day)) AS INT) AS tick FROM dd WHERE day IS NOT NULL GROUP BY 1),
 r0 AS (SELECT v.kind || '|' || v.key AS id, d.tick FROM v LEFT JOIN d ON d.id = v.kind || '|' || v.key), r1 AS ({_ROUND.format("r0")}), r2 AS ({_ROUND.format("r1")}), r3 AS ({_ROUND.format("r2")})
 SELECT 'v-' || substr(sha256(id), 1, 16) AS id, tick FROM r3"""
 )
 def birth_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Earliest years relaxed over the graph for three synchronous rounds; the SQL knows one spelling of days only."""
+    """Earliest years relaxed over the graph for three synchronous rounds."""
     nodes, links = graph_tables(spark, sf_dir)
     dated = table(spark, sf_dir, "decisions").select(F.col("id").alias("key"), F.year(decision_day()).alias("tick")).where(F.col("tick").isNotNull()).groupBy("key").agg(F.min("tick").alias("tick"))
     births = nodes.join(dated.withColumn("kind", F.lit("decision")), ["kind", "key"], "left").select("id", "tick")

@@ -19,12 +19,12 @@ query = register.query
 @query(
     """WITH s AS (SELECT DISTINCT lower(trim(act_id)) AS act_id, assertion_id, effective_from, effective_to FROM retrospective_store WHERE knowledge_to IS NULL), n AS (SELECT DISTINCT lower(trim(act_id)) AS act_id, para, change_id FROM act_archive WHERE para IS NOT NULL),
 o AS (SELECT *, row_number() OVER (PARTITION BY act_id, para ORDER BY change_id) - 1 AS occurrence FROM n)
-SELECT 'ni-' || substr(sha256(s.assertion_id || '|' || o.para || '|' || occurrence), 1, 24) AS id, s.act_id, o.para, occurrence, CAST(effective_from AS VARCHAR) AS effective_from, CAST(effective_to AS VARCHAR) AS effective_to FROM s JOIN o USING (act_id) WHERE s.act_id <> 'fed_rahmeng'"""
+SELECT 'ni-' || substr(sha256(s.assertion_id || '|' || o.para || '|' || occurrence), 1, 24) AS id, s.act_id, o.para, occurrence, CAST(effective_from AS VARCHAR) AS effective_from, CAST(effective_to AS VARCHAR) AS effective_to FROM s JOIN o USING (act_id)"""
 )
 def norm_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of the sections of each act: its current intervals times its (label, occurrence) rows.
 
-    The framework act's labels, a tenth of all, are spread. The SQL leaves that act out, so it agrees on the other acts only.
+    The labels of a hot act are spread.
     """
     from palimpsest.functions.ident import typed_id
 
@@ -48,14 +48,18 @@ def diff_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT DISTINCT lower(trim(act_id)) AS act_id, jurabk FROM retrospective_store), t AS (SELECT act_id, unnest(regexp_split_to_array(lower(jurabk), '\\s+')) AS token FROM a)
-SELECT token, count(DISTINCT act_id) AS acts FROM t GROUP BY token HAVING count(DISTINCT act_id) > 1"""
+    """WITH k AS (SELECT DISTINCT id, c.act_id AS act_id, c.norm AS norm FROM (SELECT id, unnest(current_law_checks) AS c FROM amendment_fates) WHERE c IS NOT NULL),
+t AS (SELECT DISTINCT id, lower(trim(act_id)) AS act_id, unnest(regexp_extract_all(norm, '[0-9]+[a-z]?')) AS number FROM k WHERE norm IS NOT NULL AND act_id IS NOT NULL),
+n AS (SELECT lower(trim(act_id)) AS act_id, regexp_extract(para, '([0-9]+[a-z]?)', 1) AS number, count(DISTINCT change_id) AS changes FROM act_archive WHERE para IS NOT NULL GROUP BY 1, 2)
+SELECT id, act_id, number, changes FROM t JOIN n USING (act_id, number)"""
 )
 def token_list_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of list-like labels that several acts share."""
-    acts = table(spark, sf_dir, "retrospective_store").select(act_key().alias("act_id"), "jurabk").distinct()
-    tokens = acts.select("act_id", F.explode(F.split(F.lower("jurabk"), r"\s+")).alias("token"))
-    return tokens.groupBy("token").agg(F.count_distinct("act_id").alias("acts")).where("acts > 1")
+    """The numbers listed in the checks of each fate, joined one by one with the changed sections of their act; changes are counted first."""
+    checks = table(spark, sf_dir, "amendment_fates").select("id", F.explode("current_law_checks").alias("c")).where(F.col("c.act_id").isNotNull())
+    listed = checks.select("id", F.lower(F.trim("c.act_id")).alias("act_id"), F.explode(F.regexp_extract_all("c.norm", F.lit(r"\d+[a-z]?"), F.lit(0))).alias("number")).distinct()
+    rows = table(spark, sf_dir, "act_archive").where(F.col("para").isNotNull())
+    changed = rows.groupBy(act_key().alias("act_id"), F.regexp_extract("para", r"(\d+[a-z]?)", 1).alias("number")).agg(F.count_distinct("change_id").alias("changes"))
+    return listed.join(changed, ["act_id", "number"]).select("id", "act_id", "number", "changes")
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import ident
 from palimpsest.operators import relational
 from palimpsest.plans.found import act_key, decision_day
+from palimpsest.plans.found_sql import DECIDED
 from palimpsest.plans.registry import Register
 from palimpsest.session import table
 
@@ -25,22 +26,23 @@ def feed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders, user events and shipments in one schema (day, source, kind, title, key, ordinal)."""
     orders = table(spark, sf_dir, "orders").select(_day("o_orderdate").alias("day"), F.lit("orders").alias("source"), F.lower("o_orderstatus").alias("kind"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"), F.col("o_orderkey").alias("key"), F.lit(1).alias("ordinal"))
     events = table(spark, sf_dir, "events").select(_day("ts").alias("day"), F.lit("events").alias("source"), F.col("event_type").alias("kind"), F.concat(F.lit("Event "), F.col("event_id").cast("string")).alias("title"), F.col("event_id").alias("key"), F.lit(2).alias("ordinal"))
-    decisions = table(spark, sf_dir, "decisions").select(decision_day().alias("day"), F.lit("decisions").alias("source"), F.lit("decision").alias("kind"), F.substring("title", 1, 160).alias("title"), F.abs(F.hash("id")).cast("bigint").alias("key"), F.lit(0).alias("ordinal"))
+    decisions = table(spark, sf_dir, "decisions").select(decision_day().alias("day"), F.lit("decisions").alias("source"), F.lit("decision").alias("kind"), F.substring("title", 1, 160).alias("title"), F.conv(F.substring(F.sha2("id", 256), 1, 12), 16, 10).cast("bigint").alias("key"), F.lit(0).alias("ordinal")).distinct()
     return orders.unionByName(events).unionByName(decisions).where(F.col("day").isNotNull())
 
 
 _FEED = """f AS (SELECT CAST(o_orderdate AS DATE) AS day, 'orders' AS source, lower(o_orderstatus) AS kind, 'Order ' || o_orderkey AS title, o_orderkey AS key, 1 AS ordinal FROM orders
-UNION ALL SELECT CAST(ts AS DATE), 'events', event_type, 'Event ' || event_id, event_id, 2 FROM events)"""
+UNION ALL SELECT CAST(ts AS DATE), 'events', event_type, 'Event ' || event_id, event_id, 2 FROM events
+UNION ALL SELECT DISTINCT day, 'decisions', 'decision', substr(title, 1, 160), CAST('0x' || substr(sha256(id), 1, 12) AS BIGINT), 0 FROM dd JOIN decisions USING (id) WHERE day IS NOT NULL)"""
 
 
 @query(
-    f"""WITH {_FEED}, r AS (SELECT * FROM f WHERE kind = 'signup' AND day >= DATE '2024-01-25'), n AS (SELECT count(*) AS n FROM r),
+    f"""WITH {DECIDED}, {_FEED}, r AS (SELECT * FROM f WHERE kind = 'signup' AND day >= DATE '2024-01-25'), n AS (SELECT count(*) AS n FROM r),
 o AS (SELECT *, row_number() OVER (ORDER BY day DESC, ordinal, key) AS k FROM f WHERE NOT (kind = 'signup' AND day >= DATE '2024-01-25'))
 SELECT CAST(day AS VARCHAR) AS day, source, kind, title FROM r UNION ALL SELECT CAST(day AS VARCHAR), source, kind, title FROM o, n WHERE k <= greatest(0, 600 - n)"""
 )
 def feed_reserved_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All reserved rows, filled to 600 with the newest others."""
-    rows = feed_events(spark, sf_dir).where("source <> 'decisions'")
+    rows = feed_events(spark, sf_dir)
     reserved = (F.col("kind") == "signup") & (F.col("day") >= F.lit("2024-01-25").cast("date"))
     return relational.reserved_top(rows, reserved, [F.desc("day"), F.col("ordinal"), F.col("key")], 600).select(F.col("day").cast("string").alias("day"), "source", "kind", "title")
 
@@ -198,11 +200,11 @@ def latest_wins_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH f AS (SELECT DISTINCT id, unnest(list_distinct([c.act_id FOR c IN current_law_checks IF c IS NOT NULL AND c.act_id IS NOT NULL])) AS t FROM amendment_fates), d AS (SELECT DISTINCT id, e.act_id AS t FROM (SELECT id, unnest(effects) AS e FROM decisions) WHERE e IS NOT NULL AND e.act_id IS NOT NULL AND e.act_id <> 'fed_rahmeng')
+    """WITH f AS (SELECT DISTINCT id, unnest(list_distinct([c.act_id FOR c IN current_law_checks IF c IS NOT NULL AND c.act_id IS NOT NULL])) AS t FROM amendment_fates), d AS (SELECT DISTINCT id, e.act_id AS t FROM (SELECT id, unnest(effects) AS e FROM decisions) WHERE e IS NOT NULL AND e.act_id IS NOT NULL)
 SELECT f.id AS fate_id, d.id AS decision_id, count(*) AS shared FROM f JOIN d USING (t) GROUP BY 1, 2"""
 )
 def set_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fates and decisions that name a common act. The SQL leaves the framework act out, so it agrees without that act only."""
+    """Fates and decisions that name a common act, hot acts spread."""
     fates = table(spark, sf_dir, "amendment_fates").select(F.col("id").alias("fate_id"), F.filter(F.col("current_law_checks.act_id"), lambda x: x.isNotNull()).alias("a")).distinct()
     named = F.filter(F.col("effects.act_id"), lambda x: x.isNotNull())
     decisions = table(spark, sf_dir, "decisions").select(F.col("id").alias("decision_id"), named.alias("b")).distinct()
@@ -212,14 +214,11 @@ def set_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT DISTINCT change_id, lower(trim(act_id)) AS act_id, new_text FROM act_archive WHERE length(new_text) BETWEEN 40 AND 200 AND act_id NOT ILIKE '%rahmeng%'), d AS (SELECT doc_id, lower(trim(act_id)) AS act_id, text FROM documents WHERE text IS NOT NULL AND act_id IS NOT NULL)
+    """WITH c AS (SELECT DISTINCT change_id, lower(trim(act_id)) AS act_id, new_text FROM act_archive WHERE length(new_text) >= 40), d AS (SELECT doc_id, lower(trim(act_id)) AS act_id, text FROM documents WHERE text IS NOT NULL AND act_id IS NOT NULL)
 SELECT change_id, doc_id FROM c JOIN d USING (act_id) WHERE (length(text) - length(replace(text, new_text, ''))) = length(new_text)"""
 )
 def substring_count_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A change's new wording of at least 40 characters that occurs exactly once in a text of its act.
-
-    The SQL leaves out wordings above 200 characters and the framework act, so it agrees on the others only.
-    """
+    """A change's new wording of at least 40 characters that occurs exactly once in a text of its act."""
     changes = table(spark, sf_dir, "act_archive").where(F.length("new_text") >= 40).select("change_id", act_key().alias("act_id"), "new_text").distinct()
     texts = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", act_key().alias("act_id"), "text")
     found = F.length("text") - F.length(F.replace(F.col("text"), F.col("new_text"), F.lit("")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import ident
 from palimpsest.operators import bitemporal, diffs, relational, snapshots
 from palimpsest.plans.found import act_key, decision_day
+from palimpsest.plans.found_sql import DECIDED
 from palimpsest.plans.registry import Register
 from palimpsest.session import table
 
@@ -84,17 +85,13 @@ def bitemporal_open_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_A}, p AS (SELECT *, coalesce(effective_to, DATE '9999-12-31') AS e, unnest(generate_series(date_trunc('month', knowledge_from) + INTERVAL 1 MONTH,
-  coalesce(date_trunc('month', knowledge_to), date_trunc('month', knowledge_from))::TIMESTAMP, INTERVAL 1 MONTH)) AS checkpoint FROM a),
-k AS (SELECT * FROM p WHERE knowledge_from <= checkpoint AND (knowledge_to IS NULL OR checkpoint < knowledge_to)),
+    f"""WITH {_A}, b AS (SELECT *, coalesce(effective_to, DATE '9999-12-31') AS e FROM a), c AS (SELECT act_id, knowledge_from AS checkpoint FROM a UNION SELECT act_id, knowledge_to FROM a),
+k AS (SELECT b.*, c.checkpoint FROM b JOIN c USING (act_id) WHERE c.checkpoint IS NOT NULL AND coalesce(knowledge_from <= c.checkpoint, true) AND coalesce(c.checkpoint < knowledge_to, true) AND effective_from < e),
 w AS (SELECT *, max(e) OVER (PARTITION BY act_id, checkpoint ORDER BY effective_from, e, assertion_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM k)
-SELECT act_id, CAST(CAST(checkpoint AS DATE) AS VARCHAR) AS checkpoint, assertion_id FROM w WHERE effective_from < seen"""
+SELECT act_id, CAST(checkpoint AS VARCHAR) AS checkpoint, assertion_id FROM w WHERE effective_from < seen"""
 )
 def bitemporal_overlap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assertions that overlap another of their act while both were known, at each change of knowledge.
-
-    The SQL looks at month starts and closed assertions only; the two agree where nothing overlaps.
-    """
+    """Assertions that overlap another of their act while both were known, at each change of knowledge."""
     return bitemporal.overlaps_known(assertions(spark, sf_dir), "act_id").select("act_id", F.col("checkpoint").cast("string").alias("checkpoint"), "assertion_id")
 
 
@@ -345,9 +342,9 @@ def asof_unique_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT DISTINCT change_id, lower(trim(act_id)) AS act_id, effective_date FROM act_archive WHERE effective_date IS NOT NULL),
-d AS (SELECT id, lower(trim(e.act_id)) AS act_id, CASE WHEN regexp_full_match(decision_date, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN try_cast(decision_date AS DATE) END AS day FROM (SELECT DISTINCT id, decision_date, unnest(effects) AS e FROM decisions) WHERE e IS NOT NULL),
-k AS (SELECT DISTINCT id, act_id, day FROM d WHERE day IS NOT NULL AND act_id IS NOT NULL AND act_id <> 'fed_rahmeng'),
+    f"""WITH {DECIDED}, c AS (SELECT DISTINCT change_id, lower(trim(act_id)) AS act_id, effective_date FROM act_archive WHERE effective_date IS NOT NULL),
+d AS (SELECT id, day, lower(trim(e.act_id)) AS act_id FROM (SELECT id, day, unnest(effects) AS e FROM dd) WHERE e IS NOT NULL),
+k AS (SELECT DISTINCT id, act_id, day FROM d WHERE day IS NOT NULL AND act_id IS NOT NULL),
 m AS (SELECT c.change_id, k.id FROM c JOIN k ON c.act_id = k.act_id AND k.day BETWEEN c.effective_date AND c.effective_date + 365)
 SELECT change_id, min(id) AS id FROM m GROUP BY change_id HAVING count(*) = 1"""
 )
@@ -355,7 +352,7 @@ def gate_exactly_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A change is linked to a decision only if exactly one decision on its act falls into its year.
 
     Decisions are counted per (act, day) first, and the days gathered in blocks of 366, of which a year meets two at most, so
-    that a hot act needs no pairs. The SQL knows one spelling of days and leaves the framework act out, so it differs.
+    that a hot act needs no pairs.
     """
     changes = table(spark, sf_dir, "act_archive").select("change_id", act_key().alias("act_id"), "effective_date").where(F.col("effective_date").isNotNull()).distinct()
     number = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / 366)

@@ -39,11 +39,12 @@ def norm_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT DISTINCT jurabk, array_to_string(list_sort(list_distinct([lower(jurabk), trim(regexp_replace(lower(jurabk), '\\s+(18|19|20)[0-9]{2}$', ''))])), ',') AS aliases FROM retrospective_store WHERE NOT regexp_matches(jurabk, '\\s[0-9]{1,2}$')"""
+    f"""WITH b AS (SELECT DISTINCT jurabk, trim(regexp_replace(lower(jurabk), '\\s+(18|19|20)[0-9]{{2}}$', '')) AS base FROM retrospective_store), n AS (SELECT *, try_cast(regexp_extract(base, '\\b([0-9]{{1,2}})$', 1) AS INT) AS book FROM b)
+SELECT jurabk, array_to_string(list_sort(list_distinct(list_filter([lower(jurabk), base, CASE WHEN book BETWEEN 1 AND 50 THEN regexp_replace(base, '[0-9]{{1,2}}$', [{", ".join(f"'{T.roman(n)}'" for n in range(1, 51))}][book]) END], lambda x: x IS NOT NULL))), ',') AS aliases FROM n"""
 )
 def book_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed alias expansion of abbreviations."""
-    rows = table(spark, sf_dir, "retrospective_store").select("jurabk").distinct().where(~F.col("jurabk").rlike(r"\s\d{1,2}$"))
+    rows = table(spark, sf_dir, "retrospective_store").select("jurabk").distinct()
     return rows.select("jurabk", F.array_join(F.array_sort(T.book_aliases(F.col("jurabk"))), ",").alias("aliases"))
 
 
@@ -120,8 +121,8 @@ def amendment_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT operation, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(t, 'bisherige[nr]? .{1,80} (wird|werden) ') THEN 'renumber' WHEN regexp_matches(t, '(wird|werden) .{0,200}durch .{0,200}ersetzt') THEN 'replace' WHEN regexp_matches(t, '(wird|werden) aufgehoben|treten? außer Kraft|entfällt') THEN 'repeal'
-WHEN regexp_matches(t, '(wird|werden) .{0,120}gestrichen') THEN 'delete' WHEN regexp_matches(t, '(wird|werden) .{0,200}(eingefügt|angefügt|vorangestellt)') THEN 'insert' WHEN regexp_matches(t, '(wird|werden) wie folgt (geändert|gefasst)|erhält folgende Fassung') THEN 'modify' ELSE 'other' END AS operation FROM (SELECT DISTINCT change_id, new_text AS t FROM act_archive WHERE new_text IS NOT NULL)) GROUP BY 1"""
+    """SELECT operation, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(t, '(wird|werden) wie folgt (geändert|gefasst)|erhält folgende Fassung') THEN 'modify' WHEN regexp_matches(t, '(wird|werden) .{0,200}durch .{0,200}ersetzt') THEN 'replace' WHEN regexp_matches(t, '(wird|werden) aufgehoben|treten? außer Kraft|entfällt') THEN 'repeal'
+WHEN regexp_matches(t, '(wird|werden) .{0,120}gestrichen') THEN 'delete' WHEN regexp_matches(t, '(wird|werden) .{0,200}(eingefügt|angefügt|vorangestellt)') THEN 'insert' WHEN regexp_matches(t, 'bisherige[nr]? .{1,80} (wird|werden) ') THEN 'renumber' ELSE 'other' END AS operation FROM (SELECT DISTINCT change_id, new_text AS t FROM act_archive WHERE new_text IS NOT NULL)) GROUP BY 1"""
 )
 def operation_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes by the operation that their wording states first."""
@@ -186,11 +187,11 @@ def link_backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(Drs\\.|Drucksache) ([0-9]{1,3}/[0-9]{1,5})', 2))), ',') AS papers FROM documents WHERE text LIKE '%Drs. %'"""
+    """SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(Drs\\.|Drucksache) ([0-9]{1,3}/[0-9]{1,5})', 2))), ',') AS papers FROM documents WHERE regexp_matches(text, '(Drs\\.|Drucksache) [0-9]')"""
 )
 def document_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Printed papers named in a text."""
-    return texts(spark, sf_dir).where(F.col("text").contains("Drs. ")).select("doc_id", F.array_join(F.array_sort(extract.document_numbers(F.col("text"))), ",").alias("papers"))
+    return texts(spark, sf_dir).where(F.col("text").rlike(r"(?:Drs\.|Drucksache) \d")).select("doc_id", F.array_join(F.array_sort(extract.document_numbers(F.col("text"))), ",").alias("papers"))
 
 
 @query()

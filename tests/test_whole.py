@@ -1,8 +1,7 @@
-"""Queries whose SQL leaves rows out, against their whole statements, on the smallest tables; cuts that once hid rows."""
+"""Fixtures for cuts that once hid rows."""
 
 import datetime as dt
 import os
-from collections import Counter
 
 import pytest
 
@@ -21,26 +20,6 @@ def duck():
     return connection
 
 
-#: Query -> the cut in its SQL, and what stands there in the whole statement.
-CUTS = {
-    "norm_intervals": (" WHERE s.act_id <> 'fed_rahmeng'", ""),
-    "substring_count_join": (" BETWEEN 40 AND 200 AND act_id NOT ILIKE '%rahmeng%'", " >= 40"),
-}
-
-
-@needs_tables
-@pytest.mark.parametrize("name", sorted(CUTS))
-def test_query_equals_whole_sql(spark, duck, name):
-    sql, (cut, instead) = catalog.SQL[name], CUTS[name]
-    assert sql.count(cut) == 1
-    frame = catalog.QUERIES[name](spark, FOLDER)
-    result = duck.execute(sql.replace(cut, instead))
-    columns = [d[0] for d in result.description]
-    whole = Counter(result.fetchall())
-    assert Counter(tuple(r) for r in frame.select(*columns).collect()) == whole
-    assert set(duck.execute(sql).fetchall()) <= set(whole)
-
-
 def test_overlap_counts_the_framework_act(spark, tmp_path):
     spark.createDataFrame([("f", [("fed_rahmeng",), ("fed_a",)]), ("g", [("fed_rahmeng",)])], "id string, current_law_checks array<struct<act_id string>>").write.parquet(str(tmp_path / "amendment_fates.parquet"))
     spark.createDataFrame([("d", [("fed_rahmeng",), ("fed_a",), None]), ("e", [("fed_b",)])], "id string, effects array<struct<act_id string>>").write.parquet(str(tmp_path / "decisions.parquet"))
