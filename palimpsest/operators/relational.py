@@ -129,10 +129,10 @@ def running_share(rows: DataFrame, tick: str, part: Column) -> DataFrame:
 def as_of_unique(events: DataFrame, windows: DataFrame, key: str, at: str, low: str, high: str) -> DataFrame:
     """Events in (low, high] of exactly one window of their key, with the window's columns.
 
-    Windows are numbered per key; an event is joined by its key with the range as residual filter.
+    An event in several windows has no row. Keys with many events are spread over their windows.
     """
-    placed = events.join(windows, key).where((F.col(at) > F.col(low)) & (F.col(at) <= F.col(high)))
-    return placed
+    placed = spread_join(events, windows, key).where((F.col(at) > F.col(low)) & (F.col(at) <= F.col(high)))
+    return exactly_one(placed, events.columns)
 
 
 def unexpected(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +9,7 @@ from palimpsest.operators import archive, graph, ledger, relational, validate
 from palimpsest.plans.found import act_key, decision_day
 from palimpsest.plans.found_sql import DECIDED
 from palimpsest.plans.registry import Register
-from palimpsest.session import cut_lineage, table
+from palimpsest.session import cut_lineage, shared_folder, table
 
 register = Register()
 query = register.query
@@ -26,22 +23,22 @@ def watch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "id", F.col("observed_at").cast("string").alias("observed_at"), "to_status", "stage", "terminal", "url")
 
 
-_WATCH = """WITH l AS (SELECT event_id, id, strftime(observed_at, '%Y-%m-%d %H:%M:%S.%f') AS seen, to_status AS status, stage, terminal, url FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY received_at DESC, id DESC, observed_at DESC, to_status DESC NULLS LAST, stage DESC NULLS LAST, terminal DESC, url DESC) AS k FROM procedure_watch_history) WHERE k = 1),
+_WATCH = """WITH l AS (SELECT event_id, id, strftime(observed_at, '%Y-%m-%d %H:%M:%S.%f') AS seen, CAST(observed_at AS VARCHAR) AS stamp, to_status AS status, stage, terminal, url FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY received_at DESC, id DESC, observed_at DESC, to_status DESC NULLS LAST, stage DESC NULLS LAST, terminal DESC, url DESC) AS k FROM procedure_watch_history) WHERE k = 1),
 f AS (SELECT *, coalesce(max(CASE WHEN terminal AND status IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY seen, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS frozen FROM l),
 v AS (SELECT *, row_number() OVER w AS n, lag(status) OVER w AS prev, last_value(CASE WHEN status IS NOT NULL THEN {'s': status, 'g': stage, 'u': url} END IGNORE NULLS) OVER (PARTITION BY id ORDER BY seen, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM f WHERE frozen = 0 WINDOW w AS (PARTITION BY id ORDER BY seen, event_id)),
 k AS (SELECT *, CASE WHEN n = 1 THEN 'first_seen' WHEN status IS NULL AND prev IS NOT NULL THEN 'source_missing' WHEN status IS NULL THEN NULL WHEN prev IS NULL THEN 'source_restored' WHEN terminal THEN 'terminal'
   WHEN status IS DISTINCT FROM last.s OR stage IS DISTINCT FROM last.g THEN 'status_changed' WHEN url IS DISTINCT FROM last.u THEN 'evidence_changed' END AS kind FROM v)
-SELECT id, kind, last.s AS from_status, status AS to_status, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY ALL"""
+SELECT id, stamp AS observed_at, kind, last.s AS from_status, status AS to_status, 'watch-' || substr(sha256(id || '|' || stamp || '|' || coalesce(last.s, '') || '|' || coalesce(last.g, '') || '|' || coalesce(status, '') || '|' || CASE WHEN status IS NULL THEN '' ELSE coalesce(stage, '') END), 1, 24) AS event_id FROM k WHERE kind IS NOT NULL"""
 
 
-def _summed(events: DataFrame) -> DataFrame:
-    return events.groupBy("id", "kind", "from_status", "to_status").agg(F.count("*").alias("n"))
+def _shown(events: DataFrame) -> DataFrame:
+    return events.select("id", "observed_at", "kind", "from_status", "to_status", "event_id")
 
 
 @query(_WATCH)
 def watch_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change-only events of each procedure, frozen after its first terminal row."""
-    return _summed(ledger.watch_ledger(watch_rows(spark, sf_dir), "id", "observed_at", "event_id", "to_status", "stage", "terminal", "url"))
+    return _shown(ledger.watch_ledger(watch_rows(spark, sf_dir), "id", "observed_at", "event_id", "to_status", "stage", "terminal", "url"))
 
 
 @query(_WATCH)
@@ -49,12 +46,11 @@ def watch_ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same ledger from a stateful stream over the written rows."""
     from palimpsest.streaming import watch
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimpsest-")
-    source = os.path.join(folder, f"rows-{os.path.basename(tempfile.mktemp())}")
+    source = shared_folder(spark, "rows")
     rows = watch_rows(spark, sf_dir)
     rows.write.parquet(source)
     stream = watch.ledger_stream(spark.readStream.schema(rows.schema).parquet(source))
-    return _summed(watch.replay(spark, stream, folder))
+    return _shown(watch.replay(spark, stream, shared_folder(spark, "watch")))
 
 
 @query(

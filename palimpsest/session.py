@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new name in the cluster's shared folder (``spark.checkpoint.dir``); a session without one gets a temporary folder."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return os.path.join(base or tempfile.mkdtemp(prefix="palimpsest-"), f"{purpose}-{uuid.uuid4().hex}")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's shared checkpoint folder.
 

@@ -1,4 +1,4 @@
-"""Sinks: atomic tables, content-addressed objects, relational and dataset exports."""
+"""Sinks: swapped tables, content-addressed objects, relational and dataset exports."""
 
 from __future__ import annotations
 
@@ -26,7 +26,10 @@ def _rename(spark: SparkSession, source: str, target: str) -> None:
 
 
 def write_atomic(frame: DataFrame, path: str, partition_by: list[str] | None = None, gates: dict[str, DataFrame] | None = None) -> None:
-    """Write a table aside, check its gates, then swap it in; a failure leaves the table in place untouched."""
+    """Write a table aside, check its gates, then swap it in; a failure leaves the table in place untouched.
+
+    A reader sees the old table or the new one, or, for the moment between the two renames, none; never a part.
+    """
     aside = f"{path}.new-{uuid.uuid4().hex}"
     writer = frame.write.partitionBy(*partition_by) if partition_by else frame.write
     writer.parquet(aside)

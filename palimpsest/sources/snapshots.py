@@ -7,6 +7,7 @@ stores, local), on the driver and by directory only: its cost is the number of d
 from __future__ import annotations
 
 import datetime as dt
+import fnmatch
 import os
 import re
 
@@ -74,20 +75,20 @@ def latest(spark: SparkSession, root: str, source: str, schema: StructType, file
 
 
 def newest_file(spark: SparkSession, root: str, source: str, file: str) -> str | None:
-    """The newest non-empty file of that name over all days, or None."""
+    """The newest non-empty file of that name (or pattern) over all days, or None."""
     for day in reversed(days(spark, root, source)):
         for name, is_dir, _, size in _files(spark, f"{root}/source={source}/day={day}"):
-            if name == file and not is_dir and size > 0:
-                return f"{root}/source={source}/day={day}/{file}"
+            if fnmatch.fnmatch(name, file) and not is_dir and size > 0:
+                return f"{root}/source={source}/day={day}/{name}"
     return None
 
 
 def complete_days(spark: SparkSession, root: str, source: str, files: list[str]) -> list[str]:
-    """The days that hold every one of ``files``, none of them a link."""
+    """The days that hold every one of ``files`` (names or patterns), none of them a link."""
     result = []
     for day in days(spark, root, source):
         there = {name for name, is_dir, is_link, _ in _files(spark, f"{root}/source={source}/day={day}") if not is_dir and not is_link}
-        if set(files) <= there:
+        if all(fnmatch.filter(there, f) for f in files):
             result.append(day)
     return result
 

@@ -6,8 +6,6 @@ Replaying the whole history with ``availableNow`` gives the events of the batch
 from __future__ import annotations
 
 import hashlib
-import os
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -71,12 +69,12 @@ def ledger_stream(rows: DataFrame) -> DataFrame:
 
 
 def replay(spark: SparkSession, stream: DataFrame, folder: str) -> DataFrame:
-    """Run a stream over everything available and read its result; ``folder`` must be shared by all executors.
+    """Run a stream over everything available and read its result; ``folder`` is new and shared by all executors.
 
     The sink is written by the stream's own commits, so a restarted run adds nothing twice.
     """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    place = os.path.join(folder, f"watch-{uuid.uuid4().hex}")
+    place = folder
     run = stream.writeStream.format("parquet").option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start(f"{place}/events")
     run.awaitTermination()
     return spark.read.schema(EVENT).parquet(f"{place}/events")
