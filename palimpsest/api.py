@@ -84,7 +84,8 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def history(spark: SparkSession, sf_dir: str, act: str, as_of: str | None = None) -> DataFrame:
     """The assertions of an act as known at an instant (default: now known)."""
-    rows = _act(temporal.assertions(spark, sf_dir), act)
+    named = _act(table(spark, sf_dir, "retrospective_store").select(act_key().alias("act_id"), "jurabk"), act).select("act_id").distinct()
+    rows = temporal.assertions(spark, sf_dir).join(named, "act_id", "left_semi")
     moment = _instant(as_of)
     return (rows.where(F.col("knowledge_to").isNull()) if moment is None else bitemporal.history_slice(rows, moment)).orderBy("effective_from", "assertion_id")
 

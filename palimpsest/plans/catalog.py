@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import found, found_sql, ledgers, listings, projections, retrieval, sourced, temporal, texts
+from palimpsest.plans import found, found_sql, ledgers, listings, projections, retrieval, sourced, surface, temporal, texts
 
-_REGISTERS = [temporal.register, projections.register, texts.register, retrieval.register, ledgers.register, listings.register, sourced.register]
+_REGISTERS = [temporal.register, projections.register, texts.register, retrieval.register, ledgers.register, listings.register, sourced.register, surface.register]
 
 QUERIES = dict(found.QUERIES)
 SQL = dict(found_sql.SQL)
