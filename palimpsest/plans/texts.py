@@ -177,6 +177,51 @@ def citation_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.resolve_targets(edges, norms, "act_id", "norm").groupBy(F.coalesce("reason", F.lit("resolved")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+def _norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(act_id, kind, norm) of the sections that the archive knows."""
+    label = T.norm_label(F.col("para"))
+    rows = table(spark, sf_dir, "act_archive").where(F.col("para").isNotNull()).select(act_key().alias("act_id"), label.alias("n"))
+    return rows.select("act_id", "n.kind", F.col("n.number").alias("norm")).where(F.col("norm").isNotNull() & F.col("kind").isNotNull()).distinct()
+
+
+@query(
+    r"""WITH n AS (SELECT DISTINCT lower(trim(act_id)) AS act_id, CASE WHEN para LIKE '§%' THEN 'para' ELSE 'art' END AS kind, lower(regexp_extract(para, '([0-9]+[a-z]?)', 1)) AS norm FROM act_archive WHERE para IS NOT NULL),
+q AS (SELECT *, row_number() OVER (PARTITION BY act_id, kind ORDER BY CAST(regexp_extract(norm, '^([0-9]+)', 1) AS INT), regexp_replace(norm, '^[0-9]+', '')) AS p FROM n), g AS (SELECT lower(jurabk) AS alias, count(DISTINCT lower(trim(act_id))) AS acts, min(lower(trim(act_id))) AS act_id FROM retrospective_store GROUP BY 1),
+e AS (SELECT id, place, e.act_id AS cited, lower(e.jurabk) AS alias, CASE WHEN starts_with(e.act_id, 'by_') THEN 'art' ELSE 'para' END AS kind, [p FOR p IN coalesce(e.paras, []) IF p IS NOT NULL] AS paras FROM (SELECT id, unnest(effects) AS e, generate_subscripts(effects, 1) - 1 AS place FROM (SELECT DISTINCT id, effects FROM decisions)) WHERE e IS NOT NULL AND e.jurabk IS NOT NULL AND e.act_id IS NOT NULL),
+m AS (SELECT id, place, alias, kind, unnest(paras) AS low, generate_subscripts(paras, 1) - 1 AS item, NULL AS high FROM e WHERE len(paras) > 0 UNION ALL SELECT id, place, alias, kind, paras[1], 0, paras[-1] FROM e WHERE len(paras) > 2),
+r AS (SELECT m.*, g.act_id, CASE WHEN g.acts IS NULL THEN 'target_act_not_in_current_corpus' WHEN g.acts > 1 THEN 'ambiguous_explicit_alias' WHEN NOT EXISTS (SELECT 1 FROM n WHERE n.act_id = g.act_id AND n.kind = m.kind) THEN 'unqualified_foreign_marker' WHEN m.high IS NULL AND a.p IS NULL THEN 'target_norm_not_in_current_corpus'
+  WHEN m.high IS NOT NULL AND (a.p IS NULL OR z.p IS NULL) THEN 'range_endpoint_not_in_current_corpus' WHEN m.high IS NOT NULL AND a.p > z.p THEN 'range_order_invalid' WHEN m.high IS NOT NULL AND z.p - a.p >= 200 THEN 'range_too_broad' END AS reason, CASE WHEN m.high IS NULL THEN 1 ELSE z.p - a.p + 1 END AS n
+  FROM m LEFT JOIN g ON g.alias = m.alias LEFT JOIN q a ON a.act_id = g.act_id AND a.kind = m.kind AND a.norm = m.low LEFT JOIN q z ON z.act_id = g.act_id AND z.kind = m.kind AND z.norm = m.high)
+SELECT id, CAST(place AS INT) AS effect, CAST(item AS INT) AS item, low, high, CASE WHEN reason IS NULL OR reason NOT IN ('target_act_not_in_current_corpus', 'ambiguous_explicit_alias') THEN act_id END AS act_id, reason, CASE WHEN reason IS NULL THEN CAST(n AS INT) END AS targets FROM r"""
+)
+def citation_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations with shared markers, lists and ranges and the attached name of their act, resolved to sections.
+
+    The sentences are written from the decisions' effects: '§§ 3, 5a und 7 des BirkenG 000K', and first and last of three or more as a range.
+    """
+    effects = table(spark, sf_dir, "decisions").select("id", "effects").distinct().select("id", F.posexplode("effects").alias("effect", "e"))
+    effects = effects.where(F.col("e.jurabk").isNotNull() & F.col("e.act_id").isNotNull()).select("id", "effect", "e.act_id", "e.jurabk", F.array_compact("e.paras").alias("p")).where(F.size("p") > 0)
+    marker = F.when(F.col("act_id").startswith("by_"), "Art. ").otherwise("§§ ")
+    listed = F.when(F.size("p") > 1, F.concat(F.array_join(F.slice("p", F.lit(1), F.size("p") - 1), ", "), F.lit(" und "), F.element_at("p", -1))).otherwise(F.element_at("p", 1))
+    ranged = F.when(F.size("p") > 2, F.concat(F.lit(" Unberührt bleiben "), marker, F.element_at("p", 1), F.lit(" bis "), F.element_at("p", -1), F.lit(" ("), F.col("jurabk"), F.lit(").")))
+    sentence = F.concat(F.lit("Nach "), marker, listed, F.lit(" des "), F.col("jurabk"), F.lit(" gilt dies."), F.coalesce(ranged, F.lit("")))
+    members = extract.citation_members(effects.select(F.concat_ws("|", "id", "effect").alias("key"), sentence.alias("text")), "key", "text")
+    registry = table(spark, sf_dir, "retrospective_store").select(F.lower("jurabk").alias("alias"), act_key().alias("act_id")).distinct()
+    found = extract.resolve_members(members, registry, _norms(spark, sf_dir), "key")
+    return found.select(F.substring_index("key", "|", 1).alias("id"), F.substring_index("key", "|", -1).cast("int").alias("effect"), "item", "low", "high", "act_id", "reason", F.size("targets").alias("targets")).withColumn("targets", F.when(F.col("reason").isNull(), F.col("targets")))
+
+
+@query()
+def citation_own(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All citations of all texts; without an attached name they mean the text's own act, if it has such sections (tested on cases)."""
+    rows = texts(spark, sf_dir).select("doc_id", "text")
+    own = texts(spark, sf_dir).select("doc_id", act_key().alias("own"))
+    members = extract.citation_members(rows, "doc_id", "text").join(own, "doc_id")
+    registry = table(spark, sf_dir, "retrospective_store").select(F.lower("jurabk").alias("alias"), act_key().alias("act_id")).distinct()
+    found = extract.resolve_members(members, registry, _norms(spark, sf_dir), "doc_id", own="own")
+    return found.groupBy("act_id", "kind", F.coalesce("reason", F.lit("resolved")).alias("reason")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("texts"))
+
+
 @query(
     f"""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_CITE}')) AS raw FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, count(*) AS n FROM c WHERE regexp_extract(raw, '{_CITE}', 1) = '12' GROUP BY 1"""
@@ -216,6 +261,24 @@ def effective_date_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.resolve_effective_date(clauses, "A1")
 
 
+_CLAUSES = ["", "im Übrigen", "Artikel 1 und 2", "Artikel 2, 3 und 1 Nr. 4", "Artikel 5 bis 7, 1 Nr. 2"]
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT lower(trim(act_id)) AS document, CAST(regexp_extract(assertion_id, '([0-9]+)$', 1) AS INT) % 5 AS k, CAST(effective_from AS VARCHAR) AS day FROM retrospective_store WHERE effective_from IS NOT NULL),
+g AS (SELECT document, bool_or(k >= 3) AS narrowed, count(DISTINCT CASE WHEN k = 2 THEN day END) AS s, min(CASE WHEN k = 2 THEN day END) AS sd, count(DISTINCT CASE WHEN k < 2 THEN day END) AS g, min(CASE WHEN k < 2 THEN day END) AS gd, bool_or(k = 0) AS d FROM c GROUP BY 1)
+SELECT document, CASE WHEN narrowed THEN 'unresolved_sub_article_scope' WHEN s = 1 THEN 'resolved_explicit_article_clause' WHEN s > 1 THEN 'unresolved_conflicting_article_clauses' WHEN g = 1 AND d THEN 'resolved_default_clause' WHEN g = 1 THEN 'resolved_remainder_clause' WHEN g > 1 THEN 'unresolved_conflicting_default_clauses' ELSE 'unresolved_no_article_wide_clause' END AS status,
+CASE WHEN narrowed THEN NULL WHEN s = 1 THEN sd WHEN s = 0 AND g = 1 THEN gd END AS effective_at FROM g"""
+)
+def commencement_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The date of article 1 from the wording of clauses; the clauses are written beside the store's days, one of five a row."""
+    number = F.regexp_extract("assertion_id", r"(\d+)$", 1).cast("int") % 5
+    wording = F.element_at(F.array(*map(F.lit, _CLAUSES)), number + 1)
+    rows = table(spark, sf_dir, "retrospective_store").where(F.col("effective_from").isNotNull())
+    clauses = rows.select(act_key().alias("document"), F.col("effective_from").cast("string").alias("day"), wording.alias("explanation")).distinct()
+    return extract.resolve_effective_date(extract.clause_modes(clauses, "document", "day", "explanation", "1"), "1")
+
+
 @query(
     """WITH l AS (SELECT o_orderkey, list(l_linenumber ORDER BY l_partkey, l_suppkey, l_linenumber) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
 SELECT o_orderkey, CAST(list_reduce(list_prepend(0, [CAST(x AS INT) FOR x IN n]), lambda a, x: CASE WHEN x = a + 1 THEN x ELSE a END) AS INT) AS accepted FROM l"""

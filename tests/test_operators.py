@@ -415,3 +415,62 @@ def test_gates(spark):
     assert validate.schema_differences(frame, spark.createDataFrame([], "k string, d date, x int").schema) == ["missing x", "unknown u", "type of d"]
     counts = [spark.createDataFrame(x, "k string, n int") for x in ([("a", 1), ("b", 2)], [("a", 1), ("c", 1)])]
     assert {r.k for r in validate.differing_counts(*counts, "k").collect()} == {"b", "c"}
+
+
+# -- citations and clauses
+
+
+def test_citation_members(spark, rows):
+    texts = [
+        (1, "Nach §§ 3, 5 bis 8 und 10a des BirkenG 0001 gilt § 4 Absatz 2 Satz 1 Nr. 3, ferner Art. 7 und Artikel 9."), (2, "§§§§ 7, 8 ff. und a§ 5; § 12xy"), (3, None), (4, ""),
+        (5, "§ 3 und § 5, Art. 2 (TalG 0002)"),
+    ]
+    got = rows(extract.citation_members(spark.createDataFrame(texts, "i int, t string"), "i", "t"), "i", "kind", "place", "item", "low", "high", "absatz", "satz", "nummer")
+    assert got == sorted(
+        [
+            (1, "para", 0, 0, "3", None, None, None, None), (1, "para", 0, 1, "5", "8", None, None, None), (1, "para", 0, 2, "10a", None, None, None, None),
+            (1, "para", 1, 0, "4", None, "2", "1", "3"), (1, "art", 0, 0, "7", None, None, None, None), (1, "art", 0, 1, "9", None, None, None, None),
+            (5, "para", 0, 0, "3", None, None, None, None), (5, "para", 0, 1, "5", None, None, None, None), (5, "art", 0, 0, "2", None, None, None, None),
+        ],
+        key=repr,
+    )
+
+
+def test_citations_resolve_or_say_why(spark):
+    texts = [
+        ("a", "§ 1 des TalG 0001 gilt."), ("b", "§ 1 TalG gilt."), ("c", "§ 99 (TalG 0001)."), ("d", "§§ 1 bis 3 der BergVO."), ("e", "§§ 3 bis 1 TalG 0001"), ("f", "§ 1 gilt entsprechend."), ("g", "§ 1 UnbekanntG"), ("h", "Art. 1 ruht."),
+        ("i", "§§ 1 bis 77 TalG 0001"), ("j", "§ 2 DoppelG"), ("k", "§ 9 gilt."), ("l", "§ 1 Unbekanntes Wort"),
+    ]
+    frame = spark.createDataFrame([(*x, "own") for x in texts], "k string, t string, own string")
+    registry = spark.createDataFrame([("talg 0001", "tal"), ("bergvo", "berg"), ("doppelg", "x"), ("doppelg", "y"), ("own", "own")], "alias string, act_id string")
+    norms = spark.createDataFrame([(a, "para", n) for a in ("tal", "berg", "own") for n in ("1", "2", "2a", "3", "10")], "act_id string, kind string, norm string")
+    members = extract.citation_members(frame, "k", "t").join(frame.select("k", "own"), "k")
+    got = {r.k: (r.act_id, r.reason, r.targets) for r in extract.resolve_members(members, registry, norms, "k", own="own").collect()}
+    assert got == {
+        "a": ("tal", None, ["1"]), "b": (None, "target_act_not_in_current_corpus", None), "c": ("tal", "target_norm_not_in_current_corpus", None), "d": ("berg", None, ["1", "2", "2a", "3"]), "e": ("tal", "range_order_invalid", None),
+        "f": ("own", None, ["1"]), "g": (None, "target_act_not_in_current_corpus", None), "h": ("own", "unqualified_foreign_marker", None), "i": ("tal", "range_endpoint_not_in_current_corpus", None), "j": (None, "ambiguous_explicit_alias", None),
+        "k": ("own", "target_norm_not_in_current_corpus", None), "l": ("own", None, ["1"]),
+    }
+    few = extract.resolve_members(members, registry, norms, "k", own="own", cap=3)
+    assert {r.k: r.reason for r in few.collect()}["d"] == "range_too_broad"
+
+
+def test_article_scopes(spark):
+    cases = [
+        ("Artikel 1, 2 und 3 Nr. 4", {("1", "whole"), ("2", "whole"), ("3", "narrowed")}), ("Artikel 5 bis 7", {("5", "whole"), ("6", "whole"), ("7", "whole")}), ("Artikel 12 Nr. 1, 13a Nr. 2", {("12", "narrowed"), ("13a", "narrowed")}),
+        ("Artikel 13 b und 14", {("13b", "whole"), ("14", "whole")}), ("im Übrigen", set()), ("", set()), (None, None), ("Artikel 2, 3 und 1 Nr. 4", {("2", "whole"), ("3", "whole"), ("1", "narrowed")}), ("Artikel 1 und Artikel 4 Absatz 2", {("1", "whole"), ("4", "narrowed")}),
+    ]
+    got = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, c string").select("i", extract.article_scopes(F.col("c")).alias("s")).collect()
+    assert {r.i: None if r.s is None else {tuple(x) for x in r.s} for r in got} == {i: s for i, (_, s) in enumerate(cases)}
+
+
+def test_a_container_comes_before_its_parts(spark):
+    cases = [("§ 3 wird wie folgt geändert: In Satz 1 wird „a“ durch „b“ ersetzt.", "modify"), ("Die bisherigen Absätze 2 bis 3 werden die Absätze 3 bis 4.", "renumber"), ("§ 4 wird aufgehoben.", "repeal"), ("Kein Befehl.", "other")]
+    got = spark.createDataFrame(cases, "c string, e string").select("e", extract.operation(F.col("c")).alias("o")).collect()
+    assert [r.o for r in got] == [r.e for r in got]
+
+
+def test_an_event_in_several_windows_is_not_assigned(spark):
+    events = spark.createDataFrame([("a", 5), ("a", 15), ("b", 1)], "k string, at int")
+    windows = spark.createDataFrame([("a", 1, 0, 10), ("a", 2, 4, 20), ("b", 3, 1, 2)], "k string, w int, lo int, hi int")
+    assert [(r.k, r["at"], r.w) for r in relational.as_of_unique(events, windows, "k", "at", "lo", "hi").collect()] == [("a", 15, 2)]
