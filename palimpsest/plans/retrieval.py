@@ -61,14 +61,14 @@ def search_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT p_partkey, lower(p_brand) AS a, lower(p_name) AS t, p_size < 5 AS cur, regexp_split_to_array(lower(p_name), '[^\\p{L}\\p{N}]+') AS bag FROM part),
-r AS (SELECT *, CASE WHEN a = 'blue bo' THEN 1100 WHEN t = 'blue bo' THEN 1000 WHEN starts_with(a, 'blue bo') THEN 900 WHEN starts_with(t, 'blue bo') THEN 850 WHEN contains(t, 'blue bo') THEN 760
+    """WITH s AS (SELECT p_partkey, lower(p_type) AS o, lower(p_brand) AS a, lower(p_name) AS t, p_size < 5 AS cur, regexp_split_to_array(lower(p_name), '[^\\p{L}\\p{N}]+') AS bag FROM part),
+r AS (SELECT *, CASE WHEN a = 'blue bo' THEN 1100 WHEN o = 'blue bo' THEN 1050 WHEN t = 'blue bo' THEN 1000 WHEN starts_with(a, 'blue bo') OR starts_with(o, 'blue bo') THEN 900 WHEN starts_with(t, 'blue bo') THEN 850 WHEN contains(t, 'blue bo') THEN 760
   WHEN (list_contains(bag, 'blue') OR len([w FOR w IN bag IF starts_with(w, 'blue')]) > 0) AND list_contains(bag, 'bo') THEN 600 + 20 * (CASE WHEN list_contains(bag, 'blue') THEN 1 ELSE 0 END + CASE WHEN list_contains(bag, 'bo') THEN 1 ELSE 0 END) END + CASE WHEN cur THEN 15 ELSE 0 END AS score FROM s)
 SELECT p_partkey, score FROM r WHERE score IS NOT NULL ORDER BY score DESC, length(t), t, p_partkey LIMIT 200"""
 )
 def catalog_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue rows by the score ladder, ties by title length, title and id."""
-    rows = table(spark, sf_dir, "part").withColumn("score", search.catalogue_score(F.col("p_brand"), F.col("p_name"), "blue bo", F.col("p_size") < 5)).where(F.col("score").isNotNull())
+    rows = table(spark, sf_dir, "part").withColumn("score", search.catalogue_score(F.col("p_brand"), F.col("p_name"), "blue bo", F.col("p_size") < 5, F.array("p_type"))).where(F.col("score").isNotNull())
     return rows.orderBy(F.desc("score"), F.length("p_name"), F.lower("p_name"), "p_partkey").limit(200).select("p_partkey", "score")
 
 
@@ -121,3 +121,71 @@ def act_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Abbreviations that name exactly one act."""
     names = table(spark, sf_dir, "retrospective_store").groupBy(F.lower("jurabk").alias("alias")).agg(F.count_distinct(act_key()).alias("acts"), F.min(act_key()).alias("act_id"))
     return names.where("acts = 1").select("alias", "act_id")
+
+
+_TAXES = search.Concept("taxation", frozenset({"abgaben", "fiskus"}), ("steuer",))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curated targets: the hand labels, weighed by how often they were given."""
+    labels = table(spark, sf_dir, "subject_labels").select("doc_id", F.lower(F.trim("area")).alias("name")).dropna()
+    return labels.groupBy("name", F.col("doc_id").alias("doc")).agg(F.count("*").alias("weight"))
+
+
+@query(
+    f"""WITH {_POST}, h AS (SELECT doc, count(DISTINCT CASE WHEN starts_with(token, 'steuer') THEN 1 WHEN starts_with(token, 'verfahren') THEN 2 END) AS found FROM p WHERE starts_with(token, 'steuer') OR starts_with(token, 'verfahren') GROUP BY 1),
+t AS (SELECT doc_id AS doc, least(5, count(*)) AS w FROM subject_labels WHERE lower(trim(area)) = 'taxation' AND doc_id IS NOT NULL GROUP BY 1),
+m AS (SELECT doc_id, coalesce(t.w, 0) AS w, lower(coalesce(text, '')) AS body FROM documents LEFT JOIN t ON t.doc = doc_id LEFT JOIN h ON h.doc = doc_id WHERE text IS NOT NULL AND (h.found = 2 OR t.w IS NOT NULL)),
+r AS (SELECT doc_id, CAST(CASE WHEN contains(body, 'steuer') OR contains(body, 'verfahren') THEN 20 ELSE 0 END + CASE WHEN contains(body, 'steuer verfahren') THEN 40 ELSE 0 END + CASE WHEN w > 0 THEN 10000 + 1000 * (w - 1) + CASE WHEN contains(body, 'steuer') OR contains(body, 'verfahren') THEN 1500 ELSE 0 END ELSE 0 END AS DOUBLE) AS relevance FROM m)
+SELECT doc_id, relevance FROM r ORDER BY relevance DESC, doc_id LIMIT 200"""
+)
+def search_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with all words of a query or with the concept that one of them stands for, the concept's targets first."""
+    postings, lengths = index(spark, sf_dir)
+    rows = table(spark, sf_dir, "documents")
+    targets = _labelled(spark, sf_dir)
+    everything = postings.unionByName(search.concept_postings(targets, rows, "doc_id"))
+    compiled = search.compile_query("Steuer Verfahren", (_TAXES,))
+    n, average = lengths.agg(F.count("*"), F.avg("length")).first()
+    found = search.bm25(everything, compiled, n, average or 1.0, lengths)
+    weights = targets.where(F.col("name").isin(compiled.concepts)).groupBy("doc").agg(F.least(F.max("weight"), F.lit(5)).alias("w"))
+    joined = found.join(weights, "doc", "left").join(rows.select("doc_id", "text"), F.col("doc") == F.col("doc_id"))
+    ranked = search.rerank(joined, compiled, "Steuer Verfahren", {"text": 20.0}, F.coalesce("w", F.lit(0)))
+    return ranked.orderBy(F.desc("relevance"), "doc_id").limit(200).select("doc_id", F.col("relevance").cast("double").alias("relevance"))
+
+
+@query(
+    """WITH c AS (SELECT doc_id, lower(trim(act_id)) AS act_id FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '(^|[^0-9§])§§? ?99([^0-9a-z]|$)')) SELECT doc_id, act_id FROM c WHERE act_id = 'fed_rahmeng'"""
+)
+def constrained_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A section asked for together with an act's abbreviation: only that act's texts, if the abbreviation names exactly one."""
+    names = act_aliases(spark, sf_dir)
+    compiled = search.compile_query("§ 99 RahmenG")
+    acts = search.act_constraint(names, compiled)
+    texts = table(spark, sf_dir, "documents").where(F.col("text").rlike(rf"(?:^|[^0-9§])§§? ?{compiled.norm}(?:[^0-9a-z]|$)")).select("doc_id", act_key().alias("act_id"))
+    # The constraint is one act at most.
+    return texts.join(F.broadcast(acts), "act_id", "left_semi").select("doc_id", "act_id")
+
+
+@query(
+    _BM25
+    + """, k AS (SELECT 'texts' AS branch, CAST(doc AS VARCHAR) AS key, round(score, 4) AS score FROM r WHERE found = 2 ORDER BY round(score, 6) DESC, doc LIMIT 25),
+e AS (SELECT 'acts' AS branch, act_id AS key, 0.0 AS score FROM (SELECT DISTINCT lower(trim(act_id)) AS act_id FROM retrospective_store WHERE contains(lower(jurabk), 'burg')) ORDER BY act_id LIMIT 25),
+c AS (SELECT 'changes' AS branch, CAST(change_id AS VARCHAR) AS key, 0.0 AS score FROM (SELECT DISTINCT change_id FROM act_archive WHERE contains(lower(new_text), 'behörde')) ORDER BY change_id LIMIT 25), dz AS (SELECT 'decisions' AS branch, id AS key, 0.0 AS score FROM (SELECT DISTINCT id FROM decisions WHERE contains(lower(title), 'akten')) ORDER BY id LIMIT 25)
+SELECT branch, key, CAST(score AS DOUBLE) AS score FROM k UNION ALL SELECT branch, key, CAST(score AS DOUBLE) FROM e UNION ALL SELECT branch, key, CAST(score AS DOUBLE) FROM c UNION ALL SELECT branch, key, CAST(score AS DOUBLE) FROM dz"""
+)
+def envelope_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of every branch of a search in one envelope."""
+    postings, lengths = index(spark, sf_dir)
+    n, average = lengths.agg(F.count("*"), F.avg("length")).first()
+    ranked = search.top(search.bm25(postings, search.compile_query("Behörde Antrag"), n, average or 1.0, lengths), 25)
+    row = lambda d, branch, key, score: d.select(F.lit(branch).alias("branch"), F.col(key).cast("string").alias("key"), score.alias("score"))
+    plain = lambda name, key, hit: table(spark, sf_dir, name).where(hit).select(key.alias("key")).distinct().orderBy("key").limit(25)
+    branches = [
+        ("acts", plain("retrospective_store", act_key(), F.lower("jurabk").contains("burg"))), ("changes", plain("act_archive", F.col("change_id"), F.lower("new_text").contains("behörde"))),
+        ("decisions", plain("decisions", F.col("id"), F.lower("title").contains("akten"))),
+    ]
+    result = row(ranked, "texts", "doc", F.round("score", 4))
+    for branch, rows in branches:
+        result = result.unionByName(row(rows, branch, "key", F.lit(0.0)))
+    return result

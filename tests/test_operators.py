@@ -474,3 +474,21 @@ def test_an_event_in_several_windows_is_not_assigned(spark):
     events = spark.createDataFrame([("a", 5), ("a", 15), ("b", 1)], "k string, at int")
     windows = spark.createDataFrame([("a", 1, 0, 10), ("a", 2, 4, 20), ("b", 3, 1, 2)], "k string, w int, lo int, hi int")
     assert [(r.k, r["at"], r.w) for r in relational.as_of_unique(events, windows, "k", "at", "lo", "hi").collect()] == [("a", 15, 2)]
+
+
+def test_concepts_of_a_query(spark):
+    taxes = search.Concept("taxes", frozenset({"abgaben", "hohe abgaben"}), ("steuer",))
+    other = search.Concept("other", frozenset({"hohe"}))
+    names = lambda q: search.compile_query(q, (taxes, other)).concepts
+    assert names("Steuerrecht") == ["taxes"] and names("hohe Abgaben") == ["taxes"] and names("hohe Steuer") == ["taxes", "other"] and names("§ 3 Steuer") == [] and names("Recht") == []
+    documents = spark.createDataFrame([(1,), (2,)], "doc_id int")
+    targets = spark.createDataFrame([("taxes", 1, 9), ("taxes", 2, 2)], "name string, doc int, weight int")
+    assert sorted((r.token, r.doc, r.tf) for r in search.concept_postings(targets, documents, "doc_id").collect()) == [("concept:taxes", 1, 5), ("concept:taxes", 2, 2)]
+    with pytest.raises(validate.IntegrityError):
+        search.concept_postings(targets, documents.where("doc_id = 1"), "doc_id")
+
+
+def test_a_catalogue_alias_has_its_rung(spark):
+    rows = [("GG", "Grundgesetz", []), ("X", "Y", ["gg"]), ("X", "gg", []), ("X", "Y", ["gga"]), ("X", "Y", None)]
+    got = spark.createDataFrame(rows, "a string, t string, o array<string>").select(search.catalogue_score(F.col("a"), F.col("t"), "gg", F.lit(False), F.col("o")).alias("s")).collect()
+    assert [r.s for r in got] == [1100, 1050, 1000, 900, None]
