@@ -86,6 +86,20 @@ def capture_merge(ledger: DataFrame, attempts: DataFrame, key: str) -> DataFrame
     return rows.groupBy(key).agg(F.max_by("state", rank(F.col("state"))).alias("state"), F.sum("attempts").alias("attempts"))
 
 
+def capture_plan(candidates: DataFrame, ledger: DataFrame, key: str, downloads: int, size: int) -> DataFrame:
+    """(key, place, bytes): what one run may fetch: unattempted first, then the fewest attempts, within both budgets.
+
+    ``candidates``: key, mapped, bytes; ``ledger``: key, state, attempts. What is captured is left out, so a run that stopped
+    resumes. Only ``downloads`` rows are ever numbered; the budget of bytes ends the list at the first row that exceeds it.
+    """
+    tried = F.coalesce("attempts", F.lit(0))
+    queue = candidates.join(ledger.select(key, "state", "attempts"), key, "left").where(~F.coalesce(F.col("state") == CAPTURE_STATES[-1], F.lit(False)))
+    order = [F.desc("mapped"), tried.asc(), F.col(key).asc()]
+    along = Window.orderBy(*order)
+    first = queue.orderBy(*order).limit(downloads).withColumn("place", F.row_number().over(along)).withColumn("total", F.sum("bytes").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return first.where(F.col("total") <= size).select(key, "place", "bytes")
+
+
 def merge_evidence(events: Column, fresh: Column) -> Column:
     """T5: events with those of the fresh one's source replaced by it, newest first."""
     kept = F.filter(events, lambda e: e["source"] != fresh["source"])

@@ -89,19 +89,27 @@ def status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
 
 
+#: A2: name of a count -> (table, condition in SQL that both engines read, '' for all rows).
+_COUNTS = {
+    "regions": ("region", ""), "nations": ("nation", ""), "customers": ("customer", ""), "suppliers": ("supplier", ""), "parts": ("part", ""), "orders": ("orders", ""), "finished": ("orders", "o_orderstatus = 'F'"), "open_orders": ("orders", "o_orderstatus = 'O'"),
+    "lines": ("lineitem", ""), "returned": ("lineitem", "l_returnflag = 'R'"), "events": ("events", ""), "errors": ("events", "event_type = 'error'"), "documents": ("documents", ""), "bare_texts": ("documents", "coalesce(text, '') = ''"), "undated_texts": ("documents", "published_at IS NULL"),
+    "embeddings": ("embeddings", ""), "changes": ("act_archive", ""), "metadata_only": ("act_archive", "old_text IS NULL AND new_text IS NULL"), "undated_changes": ("act_archive", "effective_date IS NULL"), "repeals": ("act_archive", "operation = 'repeal'"),
+    "assertions": ("retrospective_store", ""), "known_now": ("retrospective_store", "knowledge_to IS NULL"), "open_ended": ("retrospective_store", "effective_to IS NULL"), "observations": ("state_observations", ""), "without_digest": ("state_observations", "state_sha256 IS NULL"),
+    "reviews": ("verified_reconstruction_reviews", ""), "watch_states": ("procedure_watch_state", ""), "watch_events": ("procedure_watch_history", ""), "outages": ("procedure_watch_history", "to_status IS NULL"), "terminal_events": ("procedure_watch_history", "terminal"),
+    "decisions": ("decisions", ""), "fates": ("amendment_fates", ""), "fates_with_result": ("amendment_fates", "result IS NOT NULL"), "labels": ("subject_labels", ""), "areas": ("subject_areas", ""), "sources": ("watch_sources", ""),
+}
+
+
 @query(
-    """SELECT (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS finished, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS returned,
-(SELECT count(DISTINCT lower(trim(act_id))) FROM act_archive) AS acts, (SELECT count(*) FROM documents WHERE text IS NULL OR text = '') AS bare_texts, (SELECT count(*) FROM act_archive WHERE old_text IS NULL AND new_text IS NULL) AS metadata_only"""
+    "SELECT (SELECT count(DISTINCT lower(trim(act_id))) FROM act_archive) AS acts, " + ", ".join(f"(SELECT count(*) FROM {t}{' WHERE ' + c if c else ''}) AS {n}" for n, (t, c) in _COUNTS.items())
 )
 def summary_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conditional counts over many tables in one row."""
-    parts = [
-        table(spark, sf_dir, "orders").agg(F.count("*").alias("orders"), F.count_if(F.col("o_orderstatus") == "F").alias("finished")),
-        table(spark, sf_dir, "lineitem").agg(F.count_if(F.col("l_returnflag") == "R").alias("returned")),
-        table(spark, sf_dir, "act_archive").agg(F.count_distinct(act_key()).alias("acts"), F.count_if(F.col("old_text").isNull() & F.col("new_text").isNull()).alias("metadata_only")),
-        table(spark, sf_dir, "documents").agg(F.count_if(F.coalesce(F.col("text") == "", F.lit(True))).alias("bare_texts")),
-    ]
-    one = [p.withColumn("_one", F.lit(1)) for p in parts]
+    """Conditional counts over all tables in one row, one aggregate per table."""
+    by_table: dict[str, list] = {}
+    for name, (source, condition) in _COUNTS.items():
+        by_table.setdefault(source, []).append((F.count_if(F.expr(condition)) if condition else F.count("*")).alias(name))
+    by_table["act_archive"].append(F.count_distinct(act_key()).alias("acts"))
+    one = [table(spark, sf_dir, t).agg(*counts).withColumn("_one", F.lit(1)) for t, counts in by_table.items()]
     result = one[0]
     for p in one[1:]:
         result = result.join(p, "_one")
@@ -127,7 +135,7 @@ def act_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
 CASE WHEN bool_or(effective_date IS NULL) THEN 'open' WHEN bool_and(operation = 'repeal') THEN 'closed' WHEN count(DISTINCT operation) > 1 THEN 'merge' ELSE 'commit' END AS kind FROM act_archive GROUP BY 1, 2"""
 )
 def commit_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes rolled up to commits with their sections sorted by length and value, and a type."""
+    """Changes rolled up to commits with their sections sorted by length and value, and a type."""
     kind = (
         F.when(F.bool_or(F.col("effective_date").isNull()), "open")
         .when(F.bool_and(F.col("operation") == "repeal"), "closed")
@@ -255,7 +263,7 @@ def world_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_partkey, coalesce(n, 0) AS returned, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' ELSE 'large' END AS class FROM part LEFT JOIN c ON p_partkey = l_partkey"""
 )
 def counts_joined_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts joined back with default 0, and an exact partition into three classes."""
+    """Counts joined back with default 0, and an exact partition into three classes."""
     counts = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity > 45").groupBy("l_partkey").agg(F.count("*").alias("n"))
     size = F.when(F.col("p_size") < 10, "small").when(F.col("p_size") < 30, "middle").otherwise("large")
     return table(spark, sf_dir, "part").join(counts, F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", F.coalesce("n", F.lit(0)).alias("returned"), size.alias("class"))
@@ -294,7 +302,7 @@ def work_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT d.k AS act_id, a.jurabk FROM d LEFT JOIN a ON d.k = a.k AND a.n = 1"""
 )
 def unambiguous_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of acts from a dimension whose ambiguous keys take no part."""
+    """Names of acts from a dimension whose ambiguous keys take no part."""
     names = table(spark, sf_dir, "retrospective_store").groupBy(act_key().alias("act_id")).agg(F.count_distinct("jurabk").alias("n"), F.min("jurabk").alias("jurabk")).where("n = 1").drop("n")
     return table(spark, sf_dir, "documents").where(F.col("act_id").isNotNull()).select(act_key().alias("act_id")).distinct().join(names, "act_id", "left")
 
@@ -315,7 +323,7 @@ def completeness_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 coalesce(len([e FOR e IN effects IF e IS NOT NULL AND e.kind = 'interprets']) > 0, false) AS any_interprets FROM (SELECT DISTINCT * FROM d)"""
 )
 def all_any_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """all/any over nested checks; an empty list passes none."""
+    """all/any over nested checks; an empty list passes none."""
     named, interprets = (lambda e: e.isNotNull() & e["act_id"].isNotNull()), (lambda e: e.isNotNull() & F.coalesce(e["kind"] == "interprets", F.lit(False)))
     rows = table(spark, sf_dir, "decisions").select("id", "related", "effects").distinct()
     return rows.select(
@@ -343,7 +351,7 @@ def since_last_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, last_signup, coalesce(after_error, 0) = 1 AS after_error FROM s"""
 )
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Carry the last heading forward, and a flag over the rows before."""
+    """Carry the last heading forward, and a flag over the rows before."""
     from pyspark.sql import Window
 
     along = Window.partitionBy("user_id").orderBy("ts", "event_id")

@@ -155,12 +155,12 @@ def search_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT doc_id, lower(trim(act_id)) AS act_id FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '(^|[^0-9§])§§? ?99([^0-9a-z]|$)')) SELECT doc_id, act_id FROM c WHERE act_id = 'fed_rahmeng'"""
+    """WITH c AS (SELECT doc_id, lower(trim(act_id)) AS act_id FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '(^|[^0-9§])§§? ?8([^0-9a-z]|$)')) SELECT doc_id, act_id FROM c WHERE act_id = 'fed_rahmeng'"""
 )
 def constrained_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A section asked for together with an act's abbreviation: only that act's texts, if the abbreviation names exactly one."""
     names = act_aliases(spark, sf_dir)
-    compiled = search.compile_query("§ 99 RahmenG")
+    compiled = search.compile_query("§ 8 RahmenG")
     acts = search.act_constraint(names, compiled)
     texts = table(spark, sf_dir, "documents").where(F.col("text").rlike(rf"(?:^|[^0-9§])§§? ?{compiled.norm}(?:[^0-9a-z]|$)")).select("doc_id", act_key().alias("act_id"))
     # The constraint is one act at most.

@@ -374,7 +374,7 @@ _MASS_ROWS = ", ".join(f"('{s}', {t}::DOUBLE, {f}::DOUBLE, {b}::DOUBLE, {n}::DOU
 
 
 @query(
-    f"""WITH m(status, t, f, b, n) AS (VALUES {_MASS_ROWS}), h AS (SELECT id, arg_max(trim(to_status), strftime(observed_at, '%Y-%m-%d %H:%M:%S.%f') || event_id) AS status FROM (SELECT DISTINCT id, observed_at, event_id, to_status FROM procedure_watch_history WHERE to_status IS NOT NULL) GROUP BY id)
+    f"""WITH m(status, t, f, b, n) AS (VALUES {_MASS_ROWS}), h AS (SELECT id, arg_max(trim(to_status), strftime(observed_at, '%Y-%m-%d %H:%M:%S.%f') || event_id || to_status) AS status FROM (SELECT DISTINCT id, observed_at, event_id, to_status FROM procedure_watch_history WHERE to_status IS NOT NULL) GROUP BY id)
 SELECT id, round(greatest(coalesce(t, 0.2), coalesce(f, 0.1)), 3) AS confidence, round(coalesce(b, 0.05), 3) AS contradiction, round(least(1.0, coalesce(n, 0.65) + coalesce(b, 0.05) / 2), 3) AS uncertainty FROM h LEFT JOIN m USING (status)"""
 )
 def status_masses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -388,6 +388,87 @@ def status_masses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("id", graph.belief(*filled).alias("k")).select("id", "k.confidence", "k.contradiction", "k.uncertainty")
 
 
+_CAPTURES = """e AS (SELECT user_id AS key, max(CASE event_type WHEN 'error' THEN 2 WHEN 'view' THEN 3 WHEN 'purchase' THEN 4 ELSE 1 END) AS s, count(*) AS attempts FROM events GROUP BY 1)"""
+
+
+@query(
+    f"""WITH {_CAPTURES}, c AS (SELECT c_custkey AS key, c_mktsegment = 'BUILDING' AS mapped, CAST(length(c_name) * 1000 AS BIGINT) AS bytes FROM customer),
+q AS (SELECT c.*, coalesce(attempts, 0) AS a FROM c LEFT JOIN e USING (key) WHERE coalesce(s, 0) <> 4), k AS (SELECT *, row_number() OVER (ORDER BY mapped DESC, a, key) AS place FROM q), t AS (SELECT *, sum(bytes) OVER (ORDER BY place) AS total FROM k WHERE place <= 64)
+SELECT key, CAST(place AS INT) AS place, bytes FROM t WHERE total <= 1000000"""
+)
+def capture_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the next run captures within its budgets of 64 downloads and a million bytes, earlier attempts counted."""
+    kinds = {"error": "failed", "view": "metadata", "purchase": "captured"}
+    state = F.lit("pending")
+    for k, v in kinds.items():
+        state = F.when(F.col("event_type") == k, v).otherwise(state)
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), state.alias("state"), F.lit(1).cast("bigint").alias("attempts"))
+    tried = ledger.capture_merge(rows, rows.limit(0), "key")
+    candidates = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), (F.col("c_mktsegment") == "BUILDING").alias("mapped"), (F.length("c_name") * 1000).cast("bigint").alias("bytes"))
+    return ledger.capture_plan(candidates, tried, "key", 64, 1_000_000)
+
+
+@query(
+    """WITH h AS (SELECT id, event_id, observed_at, stage FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY received_at DESC, id DESC, observed_at DESC, stage DESC NULLS LAST) AS k FROM procedure_watch_history) WHERE k = 1)
+SELECT event_id, coalesce(max(CASE WHEN contains(lower(stage), 'lesung') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY observed_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS after_reading FROM h"""
+)
+def reading_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a reading came before each event of its procedure; the first reading of each procedure is an aggregate, so no long window is needed."""
+    history = table(spark, sf_dir, "procedure_watch_history")
+    rows = relational.latest_per_key(history, ["event_id"], ["received_at", "id", "observed_at", "stage"], ["received_at", "id", "observed_at", "stage"])
+    place = F.struct("observed_at", "event_id")
+    first = rows.where(F.lower("stage").contains("lesung")).groupBy("id").agg(F.min(place).alias("first"))
+    return rows.join(first, "id", "left").select("event_id", F.coalesce(place > F.col("first"), F.lit(False)).alias("after_reading"))
+
+
+@query(
+    """WITH h AS (SELECT id, bool_or(coalesce(terminal, false)) AS ended, arg_max(trim(to_status), strftime(observed_at, '%Y-%m-%d %H:%M:%S.%f') || event_id || to_status) AS status FROM (SELECT DISTINCT id, observed_at, event_id, to_status, terminal FROM procedure_watch_history WHERE to_status IS NOT NULL) GROUP BY id),
+f AS (SELECT procedure_id AS id, bool_or(jurisdiction = 'EU') AS eu, bool_or(result = 'taken_up') AS taken FROM amendment_fates WHERE procedure_id IS NOT NULL GROUP BY 1)
+SELECT id, status, CASE WHEN NOT ended THEN 'open' WHEN coalesce(taken, false) THEN CASE WHEN coalesce(eu, false) THEN 'merge' ELSE 'commit' END ELSE 'closed' END AS type FROM h JOIN f USING (id)"""
+)
+def commit_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The type of a procedure's commit: open while it runs, commit if taken up (merge if it carries European law), else closed."""
+    rows = table(spark, sf_dir, "procedure_watch_history").where(F.col("to_status").isNotNull())
+    last = rows.groupBy("id").agg(F.bool_or(F.coalesce("terminal", F.lit(False))).alias("ended"), F.max(F.struct("observed_at", "event_id", "to_status")).alias("r"))
+    fates = table(spark, sf_dir, "amendment_fates").where(F.col("procedure_id").isNotNull()).groupBy(F.col("procedure_id").alias("id")).agg(F.bool_or(F.col("jurisdiction") == "EU").alias("eu"), F.bool_or(F.col("result") == "taken_up").alias("taken"))
+    no = lambda c: F.coalesce(F.col(c), F.lit(False))
+    kind = F.when(~F.col("ended"), "open").when(no("taken") & no("eu"), "merge").when(no("taken"), "commit").otherwise("closed")
+    return last.join(fates, "id").select("id", F.trim("r.to_status").alias("status"), kind.alias("type"))
+
+
+@query(
+    """WITH e AS (SELECT id, place, e.act_id AS cited, lower(e.jurabk) AS alias, CASE WHEN starts_with(e.act_id, 'by_') THEN 'art' ELSE 'para' END AS kind, [p FOR p IN coalesce(e.paras, []) IF p IS NOT NULL] AS paras FROM (SELECT id, unnest(effects) AS e, generate_subscripts(effects, 1) - 1 AS place FROM (SELECT DISTINCT id, effects FROM decisions)) WHERE e IS NOT NULL AND e.jurabk IS NOT NULL AND e.act_id IS NOT NULL),
+m AS (SELECT id, place, alias, kind, unnest(paras) AS low, generate_subscripts(paras, 1) - 1 AS item FROM e), g AS (SELECT lower(jurabk) AS alias, count(DISTINCT lower(trim(act_id))) AS acts, min(lower(trim(act_id))) AS act_id FROM retrospective_store GROUP BY 1)
+SELECT CASE WHEN g.acts = 1 THEN g.act_id END AS act_id, kind, low, count(*) AS occurrence_count, array_to_string(list_sort(list_distinct(list(m.alias))), ',') AS aliases, min(id || '|' || place || '|' || item) AS first_place FROM m LEFT JOIN g USING (alias) GROUP BY 1, 2, 3"""
+)
+def citation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations of one section counted, with the names it is cited under and the place of the first."""
+    effects = table(spark, sf_dir, "decisions").select("id", "effects").distinct().select("id", F.posexplode("effects").alias("effect", "e"))
+    effects = effects.where(F.col("e.jurabk").isNotNull() & F.col("e.act_id").isNotNull()).select("id", "effect", "e.act_id", "e.jurabk", F.array_compact("e.paras").alias("p")).where(F.size("p") > 0)
+    marker = F.when(F.col("act_id").startswith("by_"), "Art. ").otherwise("§§ ")
+    sentence = F.concat(marker, F.array_join("p", ", "), F.lit(" des "), F.col("jurabk"), F.lit("."))
+    members = extract.citation_members(effects.select(F.concat_ws("|", "id", "effect").alias("key"), sentence.alias("text")), "key", "text")
+    named = members.withColumn("alias", extract.attached_name(F.col("tail"))["two"]).withColumn("at", F.concat_ws("|", "key", "item"))
+    registry = table(spark, sf_dir, "retrospective_store").groupBy(F.lower("jurabk").alias("alias")).agg(F.count_distinct(act_key()).alias("acts"), F.min(act_key()).alias("found"))
+    edges = named.join(registry, "alias", "left").withColumn("act_id", F.when(F.col("acts") == 1, F.col("found")))
+    rolled = extract.citation_rollup(edges, ["act_id", "kind", "low"], "alias", "at", "at")
+    return rolled.select("act_id", "kind", "low", "occurrence_count", F.array_join("aliases", ",").alias("aliases"), F.col("excerpt").alias("first_place"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, kind || ' [' || source || ']' AS fact, published_at FROM documents WHERE published_at IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY fact ORDER BY published_at DESC, doc_id) AS k FROM d)
+SELECT fact, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY k) AS newest FROM k WHERE k <= 3 AND fact IS NOT NULL GROUP BY 1"""
+)
+def digest_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three newest texts of each kind and source."""
+    fact = F.concat(F.col("kind"), F.lit(" ["), F.col("source"), F.lit("]"))
+    rows = table(spark, sf_dir, "documents").where(F.col("published_at").isNotNull()).select("doc_id", fact.alias("fact"), F.datediff(F.lit("9999-12-31").cast("date"), "published_at").alias("age")).where(F.col("fact").isNotNull())
+    # Three rows of each part first, so that a kind with most of the texts is not sorted in one task.
+    top = lambda d, *keys: d.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("age", "doc_id"))).where("k <= 3")
+    few = top(rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(64))), "fact", "part").drop("part", "k")
+    return few.groupBy("fact").agg(F.slice(F.array_sort(F.collect_list(F.struct("age", "doc_id"))), 1, 3).alias("n")).select("fact", F.array_join(F.transform("n", lambda x: x["doc_id"].cast("string")), ",").alias("newest"))
+
+
 # -- graph and classes
 
 

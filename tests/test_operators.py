@@ -492,3 +492,20 @@ def test_a_catalogue_alias_has_its_rung(spark):
     rows = [("GG", "Grundgesetz", []), ("X", "Y", ["gg"]), ("X", "gg", []), ("X", "Y", ["gga"]), ("X", "Y", None)]
     got = spark.createDataFrame(rows, "a string, t string, o array<string>").select(search.catalogue_score(F.col("a"), F.col("t"), "gg", F.lit(False), F.col("o")).alias("s")).collect()
     assert [r.s for r in got] == [1100, 1050, 1000, 900, None]
+
+
+def test_leaf_commands(spark):
+    cases = {
+        "In § 5 Absatz 2 Satz 3 wird die Wörter „a b“ durch die Angabe „c“ ersetzt.": ("replace", "5", "2", "3", "a b", "c"), "In § 7a Absatz 1 wird nach Satz 2 folgender Satz eingefügt: „Neu.“": ("insert", "7a", "1", "2", None, "Neu."),
+        "Dem § 9 wird folgender Satz angefügt: „Ende.“.": ("append", "9", None, None, None, "Ende."), "In § 5 wird das Wort „a durch das Wort „b“ ersetzt.": None, "§ 5 entfällt.": None,
+    }
+    got = spark.createDataFrame([(c,) for c in cases], "c string").select("c", extract.leaf_command(F.col("c")).alias("l")).collect()
+    assert {r.c: r.l and tuple(r.l) for r in got} == cases
+
+
+def test_a_capture_run_keeps_both_budgets_and_resumes(spark):
+    candidates = spark.createDataFrame([(i, i != 3, 10 * i) for i in range(1, 7)], "key int, mapped boolean, bytes bigint")
+    tried = spark.createDataFrame([(1, "captured", 1), (2, "failed", 2)], "key int, state string, attempts bigint")
+    plan = lambda n, size: [(r.key, r.place) for r in ledger.capture_plan(candidates, tried, "key", n, size).orderBy("place").collect()]
+    assert plan(10, 10_000) == [(4, 1), (5, 2), (6, 3), (2, 4), (3, 5)] and plan(2, 10_000) == [(4, 1), (5, 2)] and plan(10, 100) == [(4, 1), (5, 2)]
+    assert ledger.capture_plan(candidates.limit(0), tried, "key", 5, 5).collect() == []
