@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.operators import archive, graph, ledger, relational, validate
+from palimpsest.functions.ident import typed_id
+from palimpsest.operators import archive, graph, ledger, relational, snapshots, validate
 from palimpsest.plans.found import act_key, decision_day
 from palimpsest.plans.found_sql import DECIDED
 from palimpsest.plans.registry import Register
@@ -49,7 +50,8 @@ def watch_ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = shared_folder(spark, "rows")
     rows = watch_rows(spark, sf_dir)
     rows.write.parquet(source)
-    stream = watch.ledger_stream(spark.readStream.schema(rows.schema).parquet(source))
+    watch.closing_row(spark, rows.schema).write.mode("append").parquet(source)
+    stream = watch.ledger_stream(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 64).parquet(source), "36500 days")
     return _shown(watch.replay(spark, stream, shared_folder(spark, "watch")))
 
 
@@ -83,24 +85,61 @@ def capture_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Vertices and edges of acts, decisions, fates and procedures."""
-    effects = table(spark, sf_dir, "decisions").select("id", F.explode("effects").alias("e")).select("id", F.lower(F.trim("e.act_id")).alias("act"))
-    fates = table(spark, sf_dir, "amendment_fates")
+    """Vertices of eleven kinds (acts, decisions, fates, procedures, texts, sources, courts, areas, states, gazette papers, watch sources) and their edges."""
+    rows = lambda name: table(spark, sf_dir, name)
+    effects = rows("decisions").select("id", F.explode("effects").alias("e")).select("id", F.lower(F.trim("e.act_id")).alias("act"))
+    fates, texts = rows("amendment_fates"), rows("documents")
     checks = fates.select("id", F.explode("current_law_checks").alias("c")).select("id", F.lower(F.trim("c.act_id")).alias("act"))
-    parts = [("act", table(spark, sf_dir, "retrospective_store").select(act_key())), ("act", effects.select("act")), ("act", checks.select("act")), ("decision", table(spark, sf_dir, "decisions").select("id")), ("fate", fates.select("id")), ("procedure", fates.select("procedure_id"))]
-    links = [("cites", "decision", "act", effects), ("affects", "fate", "act", checks), ("of", "fate", "procedure", fates.select("id", "procedure_id"))]
+    states = rows("state_observations").select(act_key(), snapshots.normal_digest(F.col("state_sha256")).alias("digest"))
+    papers = rows("verified_reconstruction_reviews").select(act_key(), F.col("incoming.document_id").alias("paper"))
+    labels = rows("subject_labels").select("doc_id", F.lower(F.trim("area")).alias("area"))
+    watched, courts = rows("procedure_watch_history").select("id", "source"), rows("decisions").select("id", "court")
+    parts = [
+        ("act", rows("retrospective_store").select(act_key())), ("act", effects.select("act")), ("act", checks.select("act")), ("decision", courts.select("id")), ("fate", fates.select("id")), ("procedure", fates.select("procedure_id")), ("procedure", watched.select("id")),
+        ("text", texts.select("doc_id")), ("source", texts.select("source")), ("court", courts.select("court")), ("area", labels.select("area")), ("state", states.select("digest")), ("paper", papers.select("paper")), ("watch", watched.select("source")),
+        ("act", states.select(states.columns[0])), ("act", papers.select(papers.columns[0])), ("act", texts.select(act_key())), ("text", labels.select("doc_id")),
+    ]
+    links = [
+        ("cites", "decision", "act", effects), ("affects", "fate", "act", checks), ("of", "fate", "procedure", fates.select("id", "procedure_id")), ("from", "text", "source", texts.select("doc_id", "source")), ("about", "text", "act", texts.select("doc_id", act_key())),
+        ("by", "decision", "court", courts), ("deals_with", "text", "area", labels), ("has_state", "act", "state", states), ("amended_by", "act", "paper", papers), ("watched_at", "procedure", "watch", watched),
+    ]
     return graph.vertices(parts), graph.edges(links)
 
 
-_V = """v AS (SELECT DISTINCT kind, key FROM (SELECT 'act' AS kind, lower(trim(act_id)) AS key FROM retrospective_store UNION ALL SELECT 'act', lower(trim(e.act_id)) FROM (SELECT unnest(effects) AS e FROM decisions) UNION ALL SELECT 'act', lower(trim(c.act_id)) FROM (SELECT unnest(current_law_checks) AS c FROM amendment_fates)
-  UNION ALL SELECT 'decision', id FROM decisions UNION ALL SELECT 'fate', id FROM amendment_fates UNION ALL SELECT 'procedure', procedure_id FROM amendment_fates) WHERE key IS NOT NULL),
-e AS (SELECT a, b, kind, count(*) AS n FROM (SELECT 'decision|' || id AS a, 'act|' || lower(trim(e.act_id)) AS b, 'cites' AS kind FROM (SELECT id, unnest(effects) AS e FROM decisions) WHERE e.act_id IS NOT NULL UNION ALL SELECT 'fate|' || id, 'act|' || lower(trim(c.act_id)), 'affects' FROM (SELECT id, unnest(current_law_checks) AS c FROM amendment_fates) WHERE c.act_id IS NOT NULL
-  UNION ALL SELECT 'fate|' || id, 'procedure|' || procedure_id, 'of' FROM amendment_fates WHERE procedure_id IS NOT NULL) GROUP BY 1, 2, 3)"""
+_ACT, _EFFECT, _CHECK = "lower(trim(act_id))", "(SELECT id, unnest(effects) AS e FROM decisions)", "(SELECT id, unnest(current_law_checks) AS c FROM amendment_fates)"
+_DIGEST = "lower(nullif(regexp_extract(state_sha256, '[0-9A-Fa-f]{64}'), ''))"
+_NODES = [
+    ("act", f"{_ACT} AS key FROM retrospective_store"), ("act", f"lower(trim(e.act_id)) AS key FROM {_EFFECT}"), ("act", f"lower(trim(c.act_id)) AS key FROM {_CHECK}"), ("decision", "id AS key FROM decisions"), ("fate", "id AS key FROM amendment_fates"), ("procedure", "procedure_id AS key FROM amendment_fates"),
+    ("procedure", "id AS key FROM procedure_watch_history"), ("text", "doc_id AS key FROM documents"), ("source", "source AS key FROM documents"), ("court", "court AS key FROM decisions"), ("area", "lower(trim(area)) AS key FROM subject_labels"), ("state", f"{_DIGEST} AS key FROM state_observations"),
+    ("paper", "incoming.document_id AS key FROM verified_reconstruction_reviews"), ("watch", "source AS key FROM procedure_watch_history"), ("act", f"{_ACT} AS key FROM state_observations"), ("act", f"{_ACT} AS key FROM verified_reconstruction_reviews"), ("act", f"{_ACT} AS key FROM documents"), ("text", "doc_id AS key FROM subject_labels"),
+]
+_LINKS = [
+    ("cites", "decision", "act", f"id AS a, lower(trim(e.act_id)) AS b FROM {_EFFECT}"), ("affects", "fate", "act", f"id AS a, lower(trim(c.act_id)) AS b FROM {_CHECK}"), ("of", "fate", "procedure", "id AS a, procedure_id AS b FROM amendment_fates"), ("from", "text", "source", "doc_id AS a, source AS b FROM documents"),
+    ("about", "text", "act", f"doc_id AS a, {_ACT} AS b FROM documents"), ("by", "decision", "court", "id AS a, court AS b FROM decisions"), ("deals_with", "text", "area", "doc_id AS a, lower(trim(area)) AS b FROM subject_labels"), ("has_state", "act", "state", f"{_ACT} AS a, {_DIGEST} AS b FROM state_observations"),
+    ("amended_by", "act", "paper", f"{_ACT} AS a, incoming.document_id AS b FROM verified_reconstruction_reviews"), ("watched_at", "procedure", "watch", "id AS a, source AS b FROM procedure_watch_history"),
+]
+_V = (
+    "v AS (SELECT DISTINCT kind, key FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, CAST(key AS VARCHAR) AS key FROM (SELECT {q})" for k, q in _NODES) + ") WHERE key IS NOT NULL), e AS (SELECT a, b, kind, count(*) AS n FROM ("
+    + " UNION ALL ".join(f"SELECT '{x}|' || a AS a, '{y}|' || b AS b, '{k}' AS kind FROM (SELECT {q}) WHERE a IS NOT NULL AND b IS NOT NULL" for k, x, y, q in _LINKS) + ") GROUP BY 1, 2, 3)"
+)
+
+
+@query(
+    f"""WITH m AS (SELECT id, 'court' AS role, 'court|' || court AS member FROM decisions WHERE court IS NOT NULL UNION SELECT id, 'act', 'act|' || lower(trim(e.act_id)) FROM {_EFFECT} WHERE e.act_id IS NOT NULL UNION SELECT id, 'decision', 'decision|' || id FROM decisions)
+SELECT 'h-' || substr(sha256('decision|' || id), 1, 16) AS id, role, 'v-' || substr(sha256(member), 1, 16) AS member FROM m"""
+)
+def graph_hyperedges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One hyperedge per decision: itself, its court and all acts it affects, each in its role."""
+    decisions = table(spark, sf_dir, "decisions")
+    named = lambda d, role, kind: d.dropna().select("id", F.lit(role).alias("role"), typed_id("v-", F.lit(kind), F.col(d.columns[1]), length=16).alias("member"))
+    acts = decisions.select("id", F.explode("effects").alias("e")).select("id", F.lower(F.trim("e.act_id")).alias("act"))
+    members = named(decisions.select("id", "court"), "court", "court").unionByName(named(acts, "act", "act")).unionByName(named(decisions.select("id", F.col("id").alias("own")), "decision", "decision"))
+    return members.select(typed_id("h-", F.lit("decision"), F.col("id"), length=16).alias("id"), "role", "member").distinct()
 
 
 @query(f"WITH {_V} SELECT 'v-' || substr(sha256(kind || '|' || key), 1, 16) AS id, kind, key FROM v")
 def graph_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deterministic vertices of four kinds."""
+    """Deterministic vertices of eleven kinds."""
     return graph_tables(spark, sf_dir)[0]
 
 
@@ -141,7 +180,7 @@ def birth_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o_custkey, round(greatest(t, f), 3) AS confidence, round(b, 3) AS contradiction, round(least(1.0, 0 + b / 2), 3) AS uncertainty FROM c"""
 )
 def beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Derived fields of belief masses."""
+    """Derived fields of belief masses."""
     share = lambda s: F.avg((F.col("o_orderstatus") == s).cast("double"))
     rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(graph.belief(share("F"), share("O"), share("P"), F.lit(0.0)).alias("b"))
     return rows.select("o_custkey", "b.confidence", "b.contradiction", "b.uncertainty")

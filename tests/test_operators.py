@@ -509,3 +509,23 @@ def test_a_capture_run_keeps_both_budgets_and_resumes(spark):
     plan = lambda n, size: [(r.key, r.place) for r in ledger.capture_plan(candidates, tried, "key", n, size).orderBy("place").collect()]
     assert plan(10, 10_000) == [(4, 1), (5, 2), (6, 3), (2, 4), (3, 5)] and plan(2, 10_000) == [(4, 1), (5, 2)] and plan(10, 100) == [(4, 1), (5, 2)]
     assert ledger.capture_plan(candidates.limit(0), tried, "key", 5, 5).collect() == []
+
+
+def test_late_rows_over_several_batches_find_their_place(spark, tmp_path):
+    """Each row in a file of its own, in random order, a few files a batch: the stream is the batch ledger."""
+    from palimpsest.streaming import watch
+
+    r = random.Random(12)
+    kind = "event_id string, id string, observed_at string, to_status string, stage string, terminal boolean, url string"
+    data = [(f"e{i}", r.choice("abc"), f"2024-01-{1 + i // 3:02d} 0{r.randint(0, 9)}:00:00", r.choice(["x", "y", None]), r.choice(["s", None]), r.random() < 0.05, r.choice("uv")) for i in range(60)]
+    frame = spark.createDataFrame(data, kind)
+    r.shuffle(data)
+    folder = str(tmp_path / "in")
+    for i in range(0, 60, 15):
+        spark.createDataFrame(data[i : i + 15], kind).coalesce(1).write.mode("append").parquet(folder)
+    watch.closing_row(spark, frame.schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = watch.ledger_stream(spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(folder), "60 days")
+    streamed = watch.replay(spark, stream, str(tmp_path / "run"))
+    columns = ["id", "observed_at", "kind", "from_status", "to_status", "event_id"]
+    batch = ledger.watch_ledger(frame, "id", "observed_at", "event_id", "to_status", "stage", "terminal", "url")
+    assert sorted(map(tuple, streamed.select(*columns).collect()), key=repr) == sorted(map(tuple, batch.select(*columns).collect()), key=repr)
