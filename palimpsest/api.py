@@ -209,3 +209,12 @@ def blame(spark: SparkSession, sf_dir: str, act: str, at: str) -> DataFrame:
     """The change behind each section of an act on a day."""
     rows = ledgers.changes(spark, sf_dir).where(F.col("act_id") == act.strip().lower())
     return archive.blame(rows, ["act_id", "label"], "day", _day(at))
+
+
+def index() -> list[dict]:
+    """The service index: every endpoint with its parameters, their defaults and its first line of description."""
+    import inspect
+
+    functions = [f for n, f in sorted(globals().items()) if inspect.isfunction(f) and f.__module__ == __name__ and not n.startswith("_") and n != "index"]
+    shown = lambda p: "" if p.default is inspect.Parameter.empty else repr(p.default)
+    return [{"endpoint": f.__name__, "parameters": {n: shown(p) for n, p in inspect.signature(f).parameters.items() if n not in ("spark", "sf_dir")}, "about": (f.__doc__ or "").splitlines()[0]} for f in functions]

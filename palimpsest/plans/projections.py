@@ -49,7 +49,7 @@ def feed_reserved_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, o_custkey, count(*) OVER () AS matched FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 100")
 def page_with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One page and the uncapped number of matches."""
+    """One page and the uncapped number of matches."""
     rows = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey", "o_orderdate")
     return relational.page(rows, [F.desc("o_orderdate"), F.col("o_orderkey")], 50, 100).drop("o_orderdate")
 

@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
+from palimpsest.functions import arena
 from palimpsest.operators import extract
 from palimpsest.plans.found import act_key, decision_day
 from palimpsest.plans.found_sql import DECIDED
+from palimpsest.plans.ledgers import _V, graph_tables
 from palimpsest.plans.registry import Register
 from palimpsest.plans.temporal import _A, _O, assertions, observations
 from palimpsest.plans.texts import texts
@@ -64,7 +66,7 @@ def strict_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'complete' AS fact, CAST(n AS VARCHAR) AS value FROM x UNION ALL SELECT 'newest', newest FROM x UNION ALL SELECT 'quarantined', '0' UNION ALL SELECT 'pruned', oldest FROM x UNION ALL SELECT 'left', CAST(n - 1 AS VARCHAR) FROM x"""
 )
 def snapshot_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complete days, the newest file, a quarantined family, and pruning after proof that all is archived."""
+    """Complete days, the newest file, a quarantined family (secondary sources stay behind that gate), and pruning after proof that all is archived."""
     root = _family(spark, sf_dir)
     days = snapshots.complete_days(spark, root, "gii", ["*.json"])
     newest = snapshots.newest_file(spark, root, "gii", "*.json")
@@ -253,3 +255,31 @@ def dataset_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     sinks.export_dataset({"history": reviewed.select("change_id", "act_id", "new_text")}, path, public=True, reviewed={"history": reviewed.where(F.col("para").isNull())})
     back = snapshots.read_jsonl_strict(spark, f"{path}/history", StructType.fromDDL("change_id bigint, act_id string, new_text string"))
     return back.select("change_id", "act_id", F.sha2("new_text", 256).alias("sha256")).distinct()
+
+
+@query("SELECT DISTINCT change_id, para AS title, CAST(effective_date AS VARCHAR) AS published, md5(new_text) AS md5, true AS verified FROM act_archive WHERE para IS NOT NULL AND effective_date IS NOT NULL AND new_text IS NOT NULL")
+def official_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that advertise a title, a day and the MD5 of their file, which is checked against the file."""
+    rows = table(spark, sf_dir, "act_archive").select("change_id", "para", "effective_date", "new_text").dropna().distinct()
+    head = F.concat(F.lit('<html><meta name="title" content="'), _escaped(F.col("para")), F.lit('"><meta name="date" content="'), F.col("effective_date").cast("string"), F.lit('">'))
+    page = F.concat(head, F.lit("<p>File (PDF), MD5: "), F.upper(F.md5("new_text")), F.lit("</p></html>"))
+    said = rows.select("change_id", "new_text", documents.official_page(page).alias("p"))
+    return said.select("change_id", "p.title", F.col("p.published").cast("string").alias("published"), "p.md5", (F.col("p.md5") == F.md5("new_text")).alias("verified"))
+
+
+@query("SELECT DISTINCT id, coalesce(regexp_replace(trim(stage), '[ \t\n\r]+', ' ', 'g'), '') AS stage, source FROM procedure_watch_history WHERE regexp_full_match(coalesce(stage, ''), '[ -~äöüÄÖÜß]*') AND NOT regexp_matches(coalesce(stage, ''), '[<>&]')")
+def register_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Register pages of terms and descriptions to evidence rows."""
+    rows = table(spark, sf_dir, "procedure_watch_history").select("id", F.coalesce("stage", F.lit("")).alias("stage"), "source").where(F.col("stage").rlike(r"^[ -~äöüÄÖÜß]*$") & ~F.col("stage").rlike("[<>&]"))
+    item = lambda name, c: F.concat(F.lit(f"<dt>{name}</dt>\n<dd class='v'> <b>"), F.col(c), F.lit("</b> </dd>"))
+    page = F.concat(F.lit("<dl><dt>Stage</dt><dd>old</dd>"), item("Number", "id"), item("Stage", "stage"), item("Source", "source"), F.lit("</dl>"))
+    entries = rows.select(documents.register_entries(page).alias("e"))
+    return entries.select(F.col("e")["Number"].alias("id"), F.col("e")["Stage"].alias("stage"), F.col("e")["Source"].alias("source")).distinct()
+
+
+@query(f"WITH {_V} SELECT 'v-' || substr(sha256(a), 1, 16) AS src, 'v-' || substr(sha256(b), 1, 16) AS dst, kind, n FROM e")
+def arena_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph's edges as blobs of aligned binary records, written, read back and unpacked."""
+    path = shared_folder(spark, "arena")
+    arena.blobs(graph_tables(spark, sf_dir)[1]).write.parquet(path)
+    return arena.edges_of(spark.read.parquet(path)).select("src", "dst", "kind", "n")

@@ -540,3 +540,10 @@ SELECT doc_id, round(score, 4) AS score FROM r ORDER BY round(score, 6) DESC, do
 def find_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best 25 texts of a search as the endpoint gives them."""
     return api.find(spark, sf_dir, "Behörde Antrag", 25).select("doc_id", "score")
+
+
+@query()
+def service_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The endpoints of the query surface and their parameters (a list of the program's own functions; tested)."""
+    rows = [(e["endpoint"], ",".join(f"{k}={v}" if v else k for k, v in e["parameters"].items()), e["about"]) for e in api.index()]
+    return spark.createDataFrame(rows, "endpoint string, parameters string, about string")

@@ -89,6 +89,22 @@ def html_rows(page: Column) -> Column:
     return F.transform(rows, lambda r: F.transform(cells(r), plain))
 
 
+def official_page(page: Column) -> Column:
+    """struct<title, published, md5>: what an official document page says of its file; missing parts are null."""
+    meta = lambda name: F.nullif(F.trim(F.regexp_extract(page, rf'(?is)<meta\s+name="{name}"\s+content="([^"]*)"', 1)), F.lit(""))
+    written = F.regexp_extract(page, r"(?is)MD5\b.{0,20}?\b([0-9a-f]{32})\b", 1)
+    return F.struct(meta("title").alias("title"), meta("date").try_cast("date").alias("published"), F.lower(F.nullif(written, F.lit(""))).alias("md5"))
+
+
+def register_entries(page: Column) -> Column:
+    """map<string,string> of the terms and descriptions of a register page; of a term given twice the last counts."""
+    pairs = r"(?is)<dt[^>]*>(.*?)</dt>\s*<dd[^>]*>(.*?)</dd>"
+    plain = lambda i: F.transform(F.regexp_extract_all(page, F.lit(pairs), F.lit(i)), lambda c: squeeze(F.regexp_replace(c, r"<[^<>]*>", " ")))
+    entries = F.arrays_zip(plain(1).alias("k"), plain(2).alias("v"))
+    last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(plain(1), i + 2, F.greatest(F.size(plain(1)), F.lit(1))), e["k"]))
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
+
+
 def union_of_orders(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """The union of two listings of the same things, each once."""
     return first.unionByName(second, allowMissingColumns=True).dropDuplicates([key])

@@ -162,3 +162,33 @@ def test_export_refuses(spark, tmp_path):
         sinks.export_dataset({"t": frame}, str(tmp_path / "e"), public=True, reviewed={"t": frame})
     sinks.export_dataset({"t": frame}, str(tmp_path / "e"), public=True)
     assert spark.read.text(str(tmp_path / "e/t")).first()[0] == '{"k":1,"v":null}'
+
+
+def test_arena_blobs():
+    from palimpsest.functions import arena
+
+    edges = [("v-1", "v-2", "cites", 3, 0.73), ("v-é", "", "", 0, -1.5)]
+    blob = arena.pack(edges)
+    assert arena.unpack(blob) == edges and len(blob) == 3 * arena.ALIGNMENT and arena.unpack(arena.pack([])) == []
+    for bad in (b"", blob[:-1], blob + b"\0", b"XXXX" + blob[4:]):
+        with pytest.raises(ValueError):
+            arena.unpack(bad)
+    with pytest.raises(ValueError):
+        arena.pack([("x" * 19, "", "", 0, 0.0)])
+
+
+def test_pages_and_registers(spark):
+    from palimpsest.sources import documents
+
+    page = '<meta name="title" content="A &amp; B"><meta name="date" content="2024-02-30"> MD5-Hash: ' + "AB" * 16
+    register = "<dl><dt>A</dt><dd>1</dd><dt> B <i>c</i></dt>\n<dd>x <b>y</b></dd><dt>A</dt><dd>2</dd></dl>"
+    got = spark.createDataFrame([(page, register), ("", "<p>none</p>"), (None, None)], "p string, r string").select(documents.official_page(F.col("p")).alias("p"), documents.register_entries(F.col("r")).alias("r")).collect()
+    assert tuple(got[0].p) == ("A &amp; B", None, "ab" * 16) and got[0].r == {"A": "2", "B c": "x y"}
+    assert tuple(got[1].p) == (None, None, None) and got[1].r == {} and got[2].r is None
+
+
+def test_the_index_names_every_endpoint():
+    from palimpsest import api
+
+    found = {e["endpoint"]: e["parameters"] for e in api.index()}
+    assert found["find"] == {"q": "", "limit": "25"} and "index" not in found and {"changes", "diff", "history", "markdown", "citations", "decisions", "blame", "stats"} <= set(found)
