@@ -58,9 +58,9 @@ def _runs(ordered: DataFrame) -> list[tuple[int, int, int, int, int]]:
 
 def _ordered(state: DataFrame, partitions: int) -> DataFrame:
     """The state range-sorted from large to small, gaps first, with the place ``at``."""
-    return cut_lineage(
-        state.repartitionByRange(partitions, F.desc("size"), "kind", "id").sortWithinPartitions(F.desc("size"), "kind", "id").withColumn("at", F.monotonically_increasing_id())
-    )
+    # What one task sorts needs neither samples nor an exchange.
+    ranged = state.repartitionByRange(partitions, F.desc("size"), "kind", "id") if partitions > 1 else state.coalesce(1)
+    return cut_lineage(ranged.sortWithinPartitions(F.desc("size"), "kind", "id").withColumn("at", F.monotonically_increasing_id()))
 
 
 def match_round(state: DataFrame, partitions: int) -> DataFrame:

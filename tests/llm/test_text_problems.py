@@ -150,6 +150,17 @@ def test_small_items_open_no_container_beyond_the_volume(spark, sizes):
     assert len(filled) <= max(sum(s > 1024 for s in sizes), -(-sum(sizes) // 2048)) + 1
 
 
+def test_the_fill_of_mixed_sizes(spark):
+    """Sizes spread as those of texts: at most one container in a hundred beyond the least possible number."""
+    r = random.Random(11)
+    sizes = [max(1, int(r.lognormvariate(5.5, 1.1))) for _ in range(3000)]
+    filled = {}
+    for x in packing.pack(spark.createDataFrame(list(enumerate(sizes)), "item bigint, size bigint"), capacity=2048, partitions=3).collect():
+        filled[x.container] = filled.get(x.container, 0) + x["size"]
+    assert sum(filled.values()) == sum(sizes) and max(filled.values()) <= 2048
+    assert len(filled) <= -(-sum(sizes) // 2048) * 1.01 + 1
+
+
 def test_a_gap_takes_the_run_of_items_inside_it(spark):
     r = random.Random(10)
     state = [(0, i, r.choice([40, 55, 90])) for i in range(20)] + [(1, i, r.randint(1, 12)) for i in range(20, 220)]
