@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.ident import typed_id
+from palimpsest.operators.relational import dense_ordinal
 
 
 def vertex_id(kind: str, key: Column) -> Column:
@@ -37,15 +38,12 @@ def edges(parts: list[tuple[str, str, str, DataFrame]]) -> DataFrame:
     return counted.withColumn("weight", edge_weight(F.col("kind"), F.col("n")))
 
 
-def remap(vertex_rows: DataFrame, edge_rows: DataFrame, groups: str = "kind") -> tuple[DataFrame, DataFrame]:
-    """Vertices with a dense ``index`` and edges between indices.
+def remap(vertex_rows: DataFrame, edge_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices with a dense ``index`` in the order of kind and key, and edges between indices.
 
-    Numbers are given per kind and offset by the kinds before, so that no window spans all vertices.
+    Vertices are numbered by a range sort, so that no task sees all vertices of a kind.
     """
-    per = vertex_rows.groupBy(groups).agg(F.count("*").alias("n"))
-    offset = per.withColumn("offset", F.coalesce(F.sum("n").over(Window.orderBy(groups).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    # One row per kind.
-    numbered = vertex_rows.withColumn("k", F.row_number().over(Window.partitionBy(groups).orderBy("key"))).join(F.broadcast(offset), groups).withColumn("index", F.col("offset") + F.col("k") - 1).drop("k", "offset")
+    numbered = dense_ordinal(vertex_rows, ["kind", "key"], "index")
     ids = numbered.select("id", "index")
     mapped = edge_rows.join(ids.select(F.col("id").alias("src"), F.col("index").alias("a")), "src").join(ids.select(F.col("id").alias("dst"), F.col("index").alias("b")), "dst")
     return numbered, mapped.select("a", "b", "kind", "weight")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.session import cut_lineage
+
 
 def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """One page in stable order with the uncapped ``matched``.
@@ -84,14 +86,18 @@ def exactly_one(candidates: DataFrame, keys: list[str]) -> DataFrame:
     return candidates.join(candidates.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n = 1").drop("_n"), keys, "left_semi")
 
 
-#: A key with more rows than this is hot and joined in parts of about so many rows.
-_HOT = 500
+#: A key with more rows than _HOT may be joined in parts, at most _SALTS of them; so many of the largest keys are.
+_HOT, _SALTS, _HOT_KEYS = 500, 1024, 10_000
 
 
 def spread_join(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
-    """An equi-join on ``key`` whose hot keys are spread: their rows in ``many`` are salted, those in ``few`` repeated for each salt."""
-    # Bounded: at most one key per _HOT rows.
-    hot = F.broadcast(many.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > _HOT).select(key, F.ceil(F.col("_n") / _HOT).cast("int").alias("_salts")))
+    """An equi-join on ``key`` whose hot keys are spread: their rows in ``many`` are salted, those in ``few`` repeated for each salt.
+
+    Only the _HOT_KEYS largest keys are salted, so the table of salts is bounded; any other key holds less than one in
+    _HOT_KEYS of the rows.
+    """
+    largest = many.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > _HOT).orderBy(F.desc("_n"), key).limit(_HOT_KEYS)
+    hot = F.broadcast(largest.select(key, F.least(F.ceil(F.col("_n") / _HOT), F.lit(_SALTS)).cast("int").alias("_salts")))
     salts = F.coalesce("_salts", F.lit(1))
     salted = many.withColumn("_row", F.xxhash64(*many.columns)).join(hot, key, "left").withColumn("_salt", F.pmod("_row", salts).cast("int")).drop("_row", "_salts")
     repeated = few.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
@@ -105,6 +111,25 @@ def token_overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     return spread_join(b, a, "token").groupBy(left_key, right_key).agg(F.count("*").alias("shared"))
 
 
+def dense_ordinal(rows: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
+    """``rows`` numbered from 0 in the given order, without bringing them into one task.
+
+    They are range-sorted and written once with their partition and place; the partitions' offsets, one number each, complete
+    the ordinal.
+    """
+    placed = cut_lineage(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    total, offsets = 0, []
+    for p in sorted(counts):
+        offsets.append((p, total))
+        total += counts[p]
+    # One row per partition.
+    offset = rows.sparkSession.createDataFrame(offsets, "_p bigint, _offset bigint")
+    numbered = placed.withColumn("_p", part).join(F.broadcast(offset), "_p")
+    return numbered.withColumn(name, F.col("_offset") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_p", "_offset", "_at")
+
+
 def natural_order(label: Column) -> list[Column]:
     """O3: number first, then suffix; labels without a number last."""
     number = F.expr("1") * F.nullif(F.regexp_extract(label, r"^(\d+)", 1), F.lit("")).try_cast("bigint")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.operators.relational import dense_ordinal
 from palimpsest.operators.validate import require
 
 
@@ -78,24 +79,8 @@ def write_relational(tables: dict[str, DataFrame], path: str, keys: dict[str, li
 
 
 def write_ordinal(frame: DataFrame, path: str, order: list[str]) -> None:
-    """A table with a dense ``ordinal`` in the given order, without bringing it into one task.
-
-    The rows are range-sorted and written once with their partition and place; the partitions' offsets, one number each,
-    complete the ordinal.
-    """
-    from palimpsest.session import cut_lineage
-
-    placed = cut_lineage(frame.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    total, offsets = 0, []
-    for p in sorted(counts):
-        offsets.append((p, total))
-        total += counts[p]
-    # One row per partition.
-    offset = frame.sparkSession.createDataFrame(offsets, "p bigint, offset bigint")
-    numbered = placed.withColumn("p", part).join(F.broadcast(offset), "p").withColumn("ordinal", F.col("offset") + F.col("_at").bitwiseAND((1 << 33) - 1))
-    write_atomic(numbered.drop("p", "offset", "_at").sortWithinPartitions("ordinal"), path)
+    """A table with a dense ``ordinal`` in the given order, without bringing it into one task."""
+    write_atomic(dense_ordinal(frame, order).sortWithinPartitions("ordinal"), path)
 
 
 def export_dataset(tables: dict[str, DataFrame], path: str, public: bool, reviewed: dict[str, DataFrame] | None = None) -> None:
