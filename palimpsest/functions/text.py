@@ -99,12 +99,17 @@ def roman(n: int) -> str:
 
 
 def book_aliases(name: Column, highest: int = 50) -> Column:
-    """F8: an abbreviation with its spellings: without a closing year, and with a closing or leading book number in Roman letters."""
-    base = F.trim(F.regexp_replace(F.lower(name), r"\s+(?:18|19|20)\d{2}$", ""))
-    table = F.create_map(*[x for n in range(1, highest + 1) for x in (F.lit(str(n)), F.lit(roman(n)))])
-    number = F.regexp_extract(base, r"\b(\d{1,2})$", 1)
-    with_roman = F.when(F.element_at(table, number).isNotNull(), F.regexp_replace(base, r"\d{1,2}$", F.element_at(table, number)))
-    return F.array_distinct(F.array_compact(F.array(F.lower(name), base, with_roman)))
+    """F8: an abbreviation with its spellings: without a closing edition year, and with one book number, at any place, in Roman letters."""
+    whole = F.trim(F.regexp_replace(F.lower(name), r"(?U)\s+", " "))
+    bare = F.regexp_replace(whole, r"(?<=.) (?:1[89]|2[01])\d{2}$| 2200$", "")
+    numerals = F.create_map(*[x for n in range(1, highest + 1) for x in (F.lit(str(n)), F.lit(roman(n)))])
+
+    def variants(text: Column) -> Column:
+        words = F.split(text, " ")
+        changed = F.transform(words, lambda w, i: F.when(F.element_at(numerals, w).isNotNull(), F.array_join(F.transform(words, lambda x, j: F.when(j == i, F.element_at(numerals, x)).otherwise(x)), " ")))
+        return F.array_compact(changed)
+
+    return F.array_distinct(F.concat(F.array(whole, bare), variants(whole), variants(bare)))
 
 
 def name_forms(name: Column) -> Column:
@@ -154,12 +159,22 @@ def german_date(day: Column) -> Column:
 
 
 def snippet(text: Column, terms: list[str], width: int = 260) -> Column:
-    """a window of ``width`` characters around the earliest term (of terms at one place the longest), with ellipses."""
-    low = F.lower(text)
-    at = F.least(*[F.when(F.instr(low, t) > 0, F.instr(low, t)).otherwise(F.lit(1 << 30)) for t in sorted(terms, key=len, reverse=True)]) if len(terms) > 1 else F.when(F.instr(low, terms[0]) > 0, F.instr(low, terms[0])).otherwise(F.lit(1 << 30))
-    start = F.greatest(F.lit(1), F.when(at == 1 << 30, F.lit(1)).otherwise(at) - width // 3)
-    body = F.substring(text, start, F.lit(width))
-    return F.concat(F.when(start > 1, "…").otherwise(""), body, F.when(start + width - 1 < F.length(text), "…").otherwise(""))
+    """``width`` characters of the squeezed text centred on the earliest term (of terms at one place the longest), with ellipses.
+
+    Without a term the beginning; near the end of the text the window moves back so that it stays full.
+    """
+    value = squeeze(text)
+    low = F.lower(value)
+    best = None
+    for t in sorted(terms, key=len, reverse=True):
+        found = F.struct(F.when(F.instr(low, t) > 0, F.instr(low, t)).otherwise(F.lit(1 << 30)).alias("at"), F.lit(-len(t)).alias("n"))
+        best = found if best is None else F.least(best, found)
+    centre = best["at"] - 1 + F.floor(-best["n"] / 2)
+    end = F.least(F.length(value), F.greatest(centre - width // 2, F.lit(0)) + width)
+    start = F.when(best["at"] == 1 << 30, F.lit(0)).otherwise(F.greatest(end - width, F.lit(0)))
+    stop = F.least(F.length(value), start + width)
+    body = F.trim(F.substring(value, start.cast("int") + 1, F.lit(width)))
+    return F.concat(F.when(start > 0, "… ").otherwise(""), body, F.when(stop < F.length(value), " …").otherwise(""))
 
 
 def excerpt(text: Column, start: Column, end: Column, left: int = 100, right: int = 180, most: int = 360) -> Column:

@@ -13,15 +13,13 @@ from palimpsest.plans.found_sql import DECIDED
 from palimpsest.plans.ledgers import _V, changes, graph_tables
 from palimpsest.plans.registry import Register
 from palimpsest.plans.temporal import _A, _O, _SEGMENTS, assertions, observations
-from palimpsest.plans.texts import texts
+from palimpsest.plans.texts import _WHITE, texts
 from palimpsest.session import table
 
 register = Register()
 query = register.query
 
 _C = "c AS (SELECT DISTINCT change_id, lower(trim(act_id)) AS act_id, para AS label, effective_date AS day, old_text, new_text FROM act_archive)"
-# White space as Java's (?U)\s has it.
-_WHITE = r"[\t\n\x{0b}\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
 # -- predicates, ledgers and sets

@@ -14,6 +14,8 @@ from palimpsest.session import table
 register = Register()
 query = register.query
 
+# White space as Java's (?U)\s has it.
+_WHITE = r"[\t\n\x{0b}\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _CITE = extract.CITATION.replace("'", "''")
 
 
@@ -39,8 +41,10 @@ def norm_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH b AS (SELECT DISTINCT jurabk, trim(regexp_replace(lower(jurabk), '\\s+(18|19|20)[0-9]{{2}}$', '')) AS base FROM retrospective_store), n AS (SELECT *, try_cast(regexp_extract(base, '\\b([0-9]{{1,2}})$', 1) AS INT) AS book FROM b)
-SELECT jurabk, array_to_string(list_sort(list_distinct(list_filter([lower(jurabk), base, CASE WHEN book BETWEEN 1 AND 50 THEN regexp_replace(base, '[0-9]{{1,2}}$', [{", ".join(f"'{T.roman(n)}'" for n in range(1, 51))}][book]) END], lambda x: x IS NOT NULL))), ',') AS aliases FROM n"""
+    f"""WITH b AS (SELECT DISTINCT jurabk, trim(regexp_replace(lower(jurabk), '\\s+', ' ', 'g')) AS w FROM retrospective_store), c AS (SELECT jurabk, w, regexp_replace(w, '(.) ((1[89]|2[01])[0-9]{{2}}|2200)$', '\\1') AS bare FROM b),
+r AS (SELECT [{", ".join(f"'{T.roman(n)}'" for n in range(1, 51))}] AS numerals), x AS (SELECT jurabk, numerals, unnest(list_distinct([w, bare])) AS t FROM c, r), y AS (SELECT jurabk, numerals, t, string_split(t, ' ') AS words FROM x),
+z AS (SELECT jurabk, unnest([t] || [array_to_string([CASE WHEN j = i THEN numerals[CAST(words[j] AS INT)] ELSE words[j] END FOR j IN generate_series(1, len(words))], ' ') FOR i IN generate_series(1, len(words)) IF regexp_full_match(words[i], '[1-9]|[1-4][0-9]|50')]) AS alias FROM y)
+SELECT jurabk, string_agg(DISTINCT alias, ',' ORDER BY alias) AS aliases FROM z GROUP BY 1"""
 )
 def book_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed alias expansion of abbreviations."""
@@ -75,8 +79,9 @@ def html_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT doc_id, text, instr(lower(text), 'behörde') AS i FROM documents WHERE text IS NOT NULL), s AS (SELECT *, greatest(1, CASE WHEN i > 0 THEN i ELSE 1 END - 86) AS a FROM t)
-SELECT doc_id, CASE WHEN a > 1 THEN '…' ELSE '' END || substr(text, a, 260) || CASE WHEN a + 259 < length(text) THEN '…' ELSE '' END AS snippet FROM s"""
+    f"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '{_WHITE}', ' ', 'g')) AS v FROM documents WHERE text IS NOT NULL), p AS (SELECT *, instr(lower(v), 'behörde') AS i FROM t), e AS (SELECT *, least(length(v), greatest(0, i - 1 + 3 - 130) + 260) AS z FROM p),
+s AS (SELECT *, CASE WHEN i = 0 THEN 0 ELSE greatest(0, z - 260) END AS a FROM e)
+SELECT doc_id, CASE WHEN a > 0 THEN '… ' ELSE '' END || trim(substr(v, a + 1, 260)) || CASE WHEN least(length(v), a + 260) < length(v) THEN ' …' ELSE '' END AS snippet FROM s"""
 )
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """windows around a term."""
