@@ -43,6 +43,7 @@ def _grammar() -> np.ndarray:
 
 
 _MAY = _grammar()
+_IS_VALUE = np.isin(np.arange(13), (_OBJECT, _ARRAY, _STRING, _SCALAR))
 _SPACE = b" \t\r\n"
 _NUMBER_OR_WORD = re.compile(rb"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null")
 _ESCAPABLE, _HEX = np.zeros(256, bool), np.zeros(256, bool)
@@ -100,7 +101,7 @@ class StructuralIndex:
             ends_open = np.flatnonzero((np.concatenate([[0], counted])[np.searchsorted(at, self.ends)] - before) % 2 == 1)
             self._reject(ends_open)
             closed = np.sort(np.concatenate([closed, self.ends[ends_open].astype(at.dtype)]))
-        escape = at[escaping & odd]
+        escape = self._escapes = at[escaping & odd]
         wrong = ~_ESCAPABLE[b[escape + 1]]
         coded = b[escape + 1] == ord("u")
         for step in range(2, 6):
@@ -195,8 +196,8 @@ class StructuralIndex:
         # The end of a container is that of its closing bracket.
         close = closes[token]
         t1[box[close]] = t1[token[close]]
-        value = as_member & np.isin(kind[token], (_OBJECT, _ARRAY, _STRING, _SCALAR)) & self.well_formed[doc[token]]
-        commas = np.cumsum(np.isin(kind[token], (_COMMA, _OBJECT_COMMA)))
+        value = as_member & _IS_VALUE[kind[token]] & self.well_formed[doc[token]]
+        commas = np.cumsum((kind[token] == _COMMA) | (kind[token] == _OBJECT_COMMA))
         key = np.maximum.accumulate(np.where(kind[token] == _KEY, rank, 0)) if len(rank) else rank
         members = value & ~at_root
         k = token[key[members]]
@@ -227,8 +228,12 @@ class StructuralIndex:
     def keyed(self, members: pd.DataFrame, key: str) -> pd.DataFrame:
         """The entries named ``key``; of one named twice in a container the last, as JSON readers take it."""
         plain = b'"' + key.encode() + b'"'
-        hit = [k == plain or (b"\\" in k and self.text(a, b) == key) for a, b, k in ((a, b, self.buffer[a:b]) for a, b in zip(members.k0, members.k1))]
-        return members[np.array(hit, bool)].drop_duplicates("box", keep="last") if len(members) else members
+        k0, k1 = members["k0"].to_numpy(), members["k1"].to_numpy()
+        escaped = np.searchsorted(self._escapes, k1) > np.searchsorted(self._escapes, k0)
+        hit = (k1 - k0 == len(plain)) & ~escaped
+        hit[hit] = [self.buffer[a:b] == plain for a, b in zip(k0[hit].tolist(), k1[hit].tolist())]
+        hit[escaped] = [self.text(a, b) == key for a, b in zip(k0[escaped].tolist(), k1[escaped].tolist())]
+        return members[hit].drop_duplicates("box", keep="last")
 
 
 def _entries(index: StructuralIndex, holders: pd.DataFrame) -> pd.DataFrame:
