@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.session import cut_lineage
+from palimpsest.session import cut_lineage, local_rows
 
 
 def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
@@ -125,7 +125,7 @@ def dense_ordinal(rows: DataFrame, order: list[str], name: str = "ordinal") -> D
         offsets.append((p, total))
         total += counts[p]
     # One row per partition.
-    offset = rows.sparkSession.createDataFrame(offsets, "_p bigint, _offset bigint")
+    offset = local_rows(rows.sparkSession, offsets, ["_p", "_offset"])
     numbered = placed.withColumn("_p", part).join(F.broadcast(offset), "_p")
     return numbered.withColumn(name, F.col("_offset") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_p", "_offset", "_at")
 

@@ -30,6 +30,14 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     )
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A small table of whole numbers from the driver; as an Arrow table it is part of the plan and needs no job."""
+    import pyarrow as pa
+
+    columns = list(zip(*rows)) or [()] * len(names)
+    return spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], names=names))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory, a single Parquet file or a folder of them."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
