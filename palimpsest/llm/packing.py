@@ -13,11 +13,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from palimpsest.session import cut_lineage
+from palimpsest.operators.relational import dense_ordinal
+from palimpsest.session import cut_lineage, local_rows
 
 CAPACITY = 2048
 _GAP, _ITEM = 0, 1
@@ -73,8 +73,7 @@ def match_round(state: DataFrame, partitions: int) -> DataFrame:
     for p, size, kind, first, n in _runs(ordered):
         starts.append((p, size, kind, first, depth))
         depth = depth + n if kind == _GAP else max(0, depth - n)
-    schema = StructType([StructField(c, LongType()) for c in ("p", "size", "kind", "first", "depth")])
-    runs = state.sparkSession.createDataFrame(starts, schema).withColumn("kind", F.col("kind").cast("int"))
+    runs = local_rows(state.sparkSession, starts, ["p", "size", "kind", "first", "depth"]).withColumn("kind", F.col("kind").cast("int"))
     placed = ordered.withColumn("p", F.floor(F.col("at") / _SPREAD)).join(F.broadcast(runs), ["p", "size", "kind"])
     step = F.col("at") - F.col("first")
     level = F.when(F.col("kind") == _GAP, F.col("depth") + step + 1).otherwise(F.col("depth") - step)
@@ -125,11 +124,10 @@ def fill_round(state: DataFrame, partitions: int) -> DataFrame:
     for p, size, kind, first, n in _runs(ordered):
         starts.append((p, size, kind, first, counts[kind].get(size, 0)))
         counts[kind][size] = counts[kind].get(size, 0) + n
-    long = lambda *names: StructType([StructField(c, LongType()) for c in names])
     spark = state.sparkSession
-    runs = spark.createDataFrame(starts, long("p", "size", "kind", "first", "before")).withColumn("kind", F.col("kind").cast("int"))
+    runs = local_rows(spark, starts, ["p", "size", "kind", "first", "before"]).withColumn("kind", F.col("kind").cast("int"))
     numbered = ordered.withColumn("p", F.floor(F.col("at") / _SPREAD)).join(F.broadcast(runs), ["p", "size", "kind"]).select("kind", "id", "size", (F.col("before") + F.col("at") - F.col("first")).alias("j"))
-    segments = spark.createDataFrame(_segments(*counts), long("size", "gap", "from", "to", "base"))
+    segments = local_rows(spark, _segments(*counts), ["size", "gap", "from", "to", "base"])
     gaps = numbered.where(F.col("kind") == _GAP).select(F.col("id").alias("bin"), F.col("size").alias("gap"), F.col("j").alias("nth"))
     begin = F.col("base") + F.col("j") * F.col("size")
     laid = (
@@ -155,26 +153,17 @@ def _histogram(state: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
     return counts
 
 
-#: Ties at the boundary of the largest items: up to so many are taken by their ids, more are drawn by a hash.
-_TIES, _DRAW = 1000, 1 << 40
-
-
-def _largest(waiting: DataFrame, items: dict[int, int], n: int) -> Column:
-    """The condition of the ``n`` largest items: exactly n, or a little fewer where more than _TIES are drawn from one size."""
+def _largest(waiting: DataFrame, items: dict[int, int], n: int) -> tuple[DataFrame, DataFrame]:
+    """(the ``n`` largest items, the others); of equal ones at the boundary those with the least ids, numbered by a range sort."""
     for size in sorted(items, reverse=True):
         if n <= items[size]:
             break
         n -= items[size]
-    tied = F.col("size") == size
     if n == items[size]:
-        return F.col("size") >= size
-    if n > _TIES:
-        # Four standard deviations below n, so that the draw opens no container too many; the next round opens the rest.
-        drawn = F.pmod(F.xxhash64("id"), F.lit(_DRAW)) < F.lit(int((n - 4 * n**0.5) / items[size] * _DRAW))
-    else:
-        # At most _TIES ids come to the driver.
-        drawn = F.col("id").isin([r["id"] for r in waiting.where(tied).select("id").orderBy("id").limit(n).collect()])
-    return (F.col("size") > size) | (tied & drawn)
+        return waiting.where(F.col("size") >= size), waiting.where(F.col("size") < size)
+    tied = dense_ordinal(waiting.where(F.col("size") == size), ["id"], "nth")
+    pick = lambda wide, drawn: waiting.where(wide).unionByName(tied.where(drawn).drop("nth"))
+    return pick(F.col("size") > size, F.col("nth") < n), pick(F.col("size") < size, F.col("nth") >= n)
 
 
 def _to_open(gaps: dict[int, int], items: dict[int, int], capacity: int) -> int:
@@ -218,11 +207,9 @@ def best_fit(items: DataFrame, capacity: int, partitions: int) -> DataFrame:
             break
         n = _to_open(gap_counts, item_counts, capacity)
         if n:
-            opens = _largest(waiting, item_counts, n)
-            opened = waiting.where(opens)
+            opened, waiting = _largest(waiting, item_counts, n)
             placed.append(opened.select("id", F.col("id").alias("bin")))
             gaps = gaps.unionByName(opened.select("id", (F.lit(capacity) - F.col("size")).cast("bigint").alias("size")))
-            waiting = waiting.where(~opens)
         usable = gaps.where(F.col("size") >= min(item_counts))
         one_round = fill_round if _takes_runs(gap_counts, item_counts, n, capacity) else match_round
         tasks = min(partitions, 1 + (sum(gap_counts.values()) + sum(item_counts.values())) // _ROWS_PER_TASK)
