@@ -71,6 +71,47 @@ def official_states(spark: SparkSession, sf_dir: str, act: str | None = None, li
     return relational.page(rows, [F.desc("observed_at"), F.col("act_id")], _limit(limit, 1000), _offset(offset))
 
 
+def federal_history(spark: SparkSession, sf_dir: str, act: str | None = None, tier: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+    """Public events by act and tier ('exact' or 'correspondence'), newest first, one page with ``matched``."""
+    if tier not in (None, "exact", "correspondence"):
+        raise RequestError("tier is 'exact' or 'correspondence'")
+    from palimpsest.plans import surface
+
+    events = surface.register.queries["public_events"](spark, sf_dir)
+    rows = _act(ledgers.changes(spark, sf_dir).select("change_id", "act_id", "day").distinct().join(events, "change_id"), act)
+    rows = rows.where(F.col("tier") == tier) if tier else rows
+    return relational.page(rows, [F.desc("day"), F.col("change_id")], _limit(limit, 1000), _offset(offset))
+
+
+def reviews(spark: SparkSession, sf_dir: str, act: str | None = None, document: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+    """Reviewed transitions by act and amending document, one page with ``matched``."""
+    columns = ["id", act_key().alias("act_id"), "jurabk", F.col("interval_span.effective_from").alias("effective_from"), F.col("incoming.document_id").alias("document_id")]
+    rows = _act(table(spark, sf_dir, "verified_reconstruction_reviews").select(*columns).distinct(), act)
+    rows = rows.where(F.col("document_id") == document) if document else rows
+    return relational.page(rows, [F.desc_nulls_last("effective_from"), F.col("id")], _limit(limit, 1000), _offset(offset))
+
+
+def reconstructions(spark: SparkSession, sf_dir: str, act: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+    """Verified reconstructions, never those of another verdict, one page with ``matched``."""
+    done = ledgers.register.queries["verified_replay"](spark, sf_dir).where("verdict = 'verified'")
+    rows = _act(ledgers.changes(spark, sf_dir).select("change_id", "act_id", "day").distinct().join(done, "change_id"), act)
+    return relational.page(rows, [F.desc_nulls_last("day"), F.col("change_id")], _limit(limit, 1000), _offset(offset))
+
+
+def acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of acts: id, abbreviation, current intervals, states and events."""
+    from palimpsest.plans import surface
+
+    names = table(spark, sf_dir, "retrospective_store").groupBy(act_key().alias("act_id")).agg(F.min("jurabk").alias("jurabk"))
+    return surface.register.queries["public_manifest"](spark, sf_dir).join(names, "act_id", "left").orderBy("act_id")
+
+
+def git(spark: SparkSession, sf_dir: str, limit: int = 100) -> DataFrame:
+    """The newest commits: each act's changes of one source on one day."""
+    rows = ledgers.changes(spark, sf_dir).where(F.col("day").isNotNull()).groupBy("act_id", "day").agg(F.count_distinct("change_id").alias("changes"), F.slice(F.array_sort(F.collect_set("label")), 1, 8).alias("paras"))
+    return rows.orderBy(F.desc("day"), "act_id").limit(_limit(limit, 1000))
+
+
 def feed(spark: SparkSession, sf_dir: str, limit: int = 100) -> DataFrame:
     """The newest events of all sources."""
     rows = projections.feed_events(spark, sf_dir)

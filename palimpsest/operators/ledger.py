@@ -111,6 +111,17 @@ def final_review(published: Column, reviewed: Column, matches: Column) -> Column
     return F.coalesce(published, F.lit(False)) & F.coalesce(reviewed, F.lit(False)) & F.coalesce(matches, F.lit(False))
 
 
+def due_jobs(jobs: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
+    """(job, due, overdue_hours): the jobs whose last good run is longer ago than they should wait, those never run first.
+
+    ``jobs``: job, every_hours; ``runs``: job, finished_at, ok. A failed run counts as none, so a job that failed is due again
+    at its next check, and what needs it waits.
+    """
+    last = runs.where(F.coalesce("ok", F.lit(False))).groupBy("job").agg(F.max("finished_at").alias("last"))
+    waited = (F.unix_seconds(now) - F.unix_seconds(F.col("last").cast("timestamp"))) / 3600
+    return jobs.join(last, "job", "left").select("job", (F.col("last").isNull() | (waited >= F.col("every_hours"))).alias("due"), F.floor(waited - F.col("every_hours")).alias("overdue_hours"))
+
+
 def active_set(configured: DataFrame, state: DataFrame, key: str) -> DataFrame:
     """Configured keys that are not frozen; keys without state are active."""
     return configured.join(state.where("NOT active").select(key), key, "left_anti")

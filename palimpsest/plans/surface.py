@@ -540,6 +540,74 @@ def find_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.find(spark, sf_dir, "Behörde Antrag", 25).select("doc_id", "score")
 
 
+@query(
+    """WITH w AS (SELECT source AS job, CASE WHEN zone_name = 'Europe/Berlin' THEN 24 ELSE 12 END AS every_hours FROM watch_sources), r AS (SELECT source AS job, max(received_at) AS last FROM procedure_watch_history WHERE to_status IS NOT NULL GROUP BY 1),
+x AS (SELECT job, every_hours, (epoch(TIMESTAMP '2026-01-01 00:00:00') - floor(epoch(last))) / 3600 AS waited FROM w LEFT JOIN r USING (job)) SELECT job, waited IS NULL OR waited >= every_hours AS due, CAST(floor(waited - every_hours) AS BIGINT) AS overdue_hours FROM x"""
+)
+def due_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which sources are to be fetched now, by their daily or twice-daily rhythm and their last good delivery (outages count as failed)."""
+    jobs = table(spark, sf_dir, "watch_sources").select(F.col("source").alias("job"), F.when(F.col("zone_name") == "Europe/Berlin", 24).otherwise(12).alias("every_hours"))
+    runs = table(spark, sf_dir, "procedure_watch_history").select(F.col("source").alias("job"), F.col("received_at").alias("finished_at"), F.col("to_status").isNotNull().alias("ok"))
+    return ledger.due_jobs(jobs, runs, F.lit("2026-01-01 00:00:00").cast("timestamp"))
+
+
+@query(
+    """WITH d AS (SELECT lower(trim(act_id)) AS act_id, arg_max(norm_count, strftime(observed_at, '%Y-%m-%d') || strftime(received_at, '%Y-%m-%d %H:%M:%S.%f') || lpad(CAST(coalesce(norm_count, 0) AS VARCHAR), 9, '0')) AS n FROM state_observations WHERE norm_count IS NOT NULL GROUP BY 1), c AS (SELECT lower(trim(act_id)) AS act_id, count(DISTINCT para) AS n FROM act_archive GROUP BY 1)
+SELECT act_id, d.n AS declared, c.n AS counted FROM d FULL OUTER JOIN c USING (act_id) WHERE d.n IS DISTINCT FROM c.n"""
+)
+def declared_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1, A3: acts whose declared number of sections (last observation) is not the number that the archive knows."""
+    seen = table(spark, sf_dir, "state_observations").where(F.col("norm_count").isNotNull())
+    declared = seen.groupBy(act_key().alias("act_id")).agg(F.max(F.struct("observed_at", "received_at", "norm_count")).alias("r")).select("act_id", F.col("r.norm_count").alias("n"))
+    counted = table(spark, sf_dir, "act_archive").groupBy(act_key().alias("act_id")).agg(F.count_distinct("para").alias("n"))
+    return validate.differing_counts(declared, counted, "act_id")
+
+
+# The ladder of a command by the status of its procedure; any other status is 'proposed'.
+LADDER = {"Verkündet": "published", "Verabschiedet": "adopted", "Abgelehnt": "rejected", "Für erledigt erklärt": "not_merged", "Zurückgezogen": "not_merged"}
+
+
+@query(
+    "SELECT id, CASE trim(to_status) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LADDER.items()) + " ELSE 'proposed' END AS step, count(*) AS n FROM procedure_watch_history GROUP BY 1, 2"
+)
+def patch_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The step of each procedure's events on the ladder of commands, unknown and missing states as proposed."""
+    steps = F.create_map(*[F.lit(x) for pair in LADDER.items() for x in pair])
+    step = F.coalesce(F.element_at(steps, F.trim("to_status")), F.lit("proposed"))
+    return table(spark, sf_dir, "procedure_watch_history").groupBy("id", step.alias("step")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {_C}, h AS (SELECT act_id, label, arg_max(new_text, CAST(day AS VARCHAR) || new_text) AS body FROM c WHERE label IS NOT NULL AND new_text IS NOT NULL AND day IS NOT NULL GROUP BY 1, 2), o AS (SELECT act_id, label, arg_min(old_text, CAST(day AS VARCHAR) || old_text) AS body FROM c WHERE label IS NOT NULL AND old_text IS NOT NULL AND day IS NOT NULL GROUP BY 1, 2)
+SELECT act_id, label, sha256(coalesce(h.body, o.body)) AS sha256, CASE WHEN h.body IS NOT NULL THEN 'head' ELSE 'reconstruction' END AS source, h.body IS NOT NULL AS exact FROM h FULL OUTER JOIN o USING (act_id, label)"""
+)
+def rendered_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The body of each section by precedence of its sources, what is only reconstructed flagged as not exact."""
+    from palimpsest.operators import archive
+
+    rows = changes(spark, sf_dir).where(F.col("label").isNotNull() & F.col("day").isNotNull())
+    pick = lambda f, c: rows.where(F.col(c).isNotNull()).groupBy("act_id", "label").agg(f(c, F.concat(F.col("day").cast("string"), F.col(c))).alias("body"))
+    shown = archive.render({"head": pick(F.max_by, "new_text"), "reconstruction": pick(F.min_by, "old_text")}, ["act_id", "label"])
+    return shown.select("act_id", "label", F.sha2("body", 256).alias("sha256"), "source", "exact")
+
+
+@query(
+    f"""WITH {_C}, {_REVIEWED}, w AS (SELECT act_id, day, min(document_id) AS document_id FROM v GROUP BY 1, 2), e AS (SELECT DISTINCT change_id, act_id, day FROM c WHERE day IS NOT NULL), x AS (SELECT change_id, e.act_id, e.day, w.document_id FROM e JOIN w USING (act_id, day))
+SELECT change_id, CAST(day AS VARCHAR) AS day, count(*) OVER () AS matched FROM x ORDER BY day DESC, change_id LIMIT 50"""
+)
+def federal_history_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of the exact events."""
+    return api.federal_history(spark, sf_dir, None, "exact", 50).select("change_id", F.col("day").cast("string").alias("day"), "matched")
+
+
+@query(
+    """WITH r AS (SELECT DISTINCT id, interval_span.effective_from AS f, incoming.document_id AS document_id, jurabk, lower(trim(act_id)) AS act_id FROM verified_reconstruction_reviews) SELECT id, CAST(f AS VARCHAR) AS effective_from, count(*) OVER () AS matched FROM r ORDER BY f DESC NULLS LAST, id LIMIT 100 OFFSET 50"""
+)
+def reviews_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page of all reviewed transitions."""
+    return api.reviews(spark, sf_dir, limit=100, offset=50).select("id", F.col("effective_from").cast("string").alias("effective_from"), "matched")
+
+
 @query()
 def service_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The endpoints of the query surface and their parameters (a list of the program's own functions; tested)."""

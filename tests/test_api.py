@@ -61,3 +61,13 @@ def test_lookups(spark):
     assert api.amending_source(spark, FOLDER, "gii").count() > 0 and api.changes_atom(spark, FOLDER).count() <= 100
     nodes, links = api.graph(spark, FOLDER)
     assert nodes.count() and links.count()
+
+
+def test_endpoints_of_history(spark):
+    found = api.federal_history(spark, FOLDER, tier="exact", limit=1000).collect()
+    assert all(r.tier == "exact" and r.document_id for r in found)
+    assert api.reconstructions(spark, FOLDER, limit=5).where("verdict <> 'verified'").count() == 0
+    assert api.reviews(spark, FOLDER, limit=3).count() == 3 and api.git(spark, FOLDER, 7).count() == 7 and api.acts(spark, FOLDER).count() > 0
+    for bad in (lambda: api.federal_history(spark, FOLDER, tier="other"), lambda: api.reviews(spark, FOLDER, limit=0), lambda: api.git(spark, FOLDER, 1001), lambda: api.reconstructions(spark, FOLDER, offset=-1)):
+        with pytest.raises(RequestError):
+            bad()

@@ -531,3 +531,10 @@ def test_late_rows_over_several_batches_find_their_place(spark, tmp_path):
     columns = ["id", "observed_at", "kind", "from_status", "to_status", "event_id"]
     batch = ledger.watch_ledger(frame, "id", "observed_at", "event_id", "to_status", "stage", "terminal", "url")
     assert sorted(map(tuple, streamed.select(*columns).collect()), key=repr) == sorted(map(tuple, batch.select(*columns).collect()), key=repr)
+
+
+def test_due_jobs(spark):
+    jobs = spark.createDataFrame([("a", 24), ("b", 12), ("c", 12), ("d", 24)], "job string, every_hours int")
+    runs = spark.createDataFrame([("a", TS(2025, 12, 31, 1), True), ("a", TS(2025, 12, 31, 20), False), ("b", TS(2025, 12, 31, 13), True), ("c", TS(2025, 12, 31, 23), False)], "job string, finished_at timestamp_ntz, ok boolean")
+    got = {r.job: (r.due, r.overdue_hours) for r in ledger.due_jobs(jobs, runs, F.lit("2026-01-01 00:00:00").cast("timestamp")).collect()}
+    assert got == {"a": (False, -1), "b": (False, -1), "c": (True, None), "d": (True, None)}
