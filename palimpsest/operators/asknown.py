@@ -37,14 +37,14 @@ def _cell(day: Column) -> Column:
 _ASSERTION = ["key", "assertion", "effective_from", "effective_to", "knowledge_from", "knowledge_to"]
 
 
-def snapshots_and_log(assertions: DataFrame, periods: tuple[int, int], cells: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """The snapshots (key, period, level, block, assertion, effective_from, effective_to) of the periods first..last, and their log.
+def snapshots_and_log(assertions: DataFrame, periods: list[int], cells: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """The snapshots (key, period, level, block, assertion, effective_from, effective_to) of the given periods, and their log.
 
     ``assertions``: key, assertion, effective_from, effective_to, knowledge_from, knowledge_to; null ends are open, rows
     without key or start and rows that end before they begin are ignored. The log has besides ``at`` and ``change``, +1
     where knowledge of an assertion begins and -1 where it ends. ``cells`` is the range of valid time that is asked for.
     """
-    (first, last), (low, high) = periods, cells
+    low, high = cells
     opened, closed = F.col("knowledge_from"), F.col("knowledge_to")
     usable = F.col("key").isNotNull() & F.col("effective_from").isNotNull() & opened.isNotNull() & F.coalesce(closed > opened, F.lit(True))
     from_cell = F.greatest(_cell(F.col("effective_from")) - low, F.lit(0))
@@ -56,11 +56,11 @@ def snapshots_and_log(assertions: DataFrame, periods: tuple[int, int], cells: tu
         .select(*_ASSERTION, F.col("b.level").alias("level"), F.col("b.idx").alias("block"))
     )
     # Members of a period's snapshot opened in an earlier period and do not close before it.
-    begin, end = F.greatest(_period(opened) + 1, F.lit(first)), F.least(F.coalesce(_period(closed), F.lit(last)), F.lit(last))
+    inside = lambda p: (p > _period(opened)) & F.coalesce(p <= _period(closed), F.lit(True))
     columns = ["key", "period", "level", "block", "assertion", "effective_from", "effective_to"]
-    snapshots = known.where(begin <= end).withColumn("period", F.explode(F.sequence(begin, end))).select(*columns)
+    snapshots = known.withColumn("period", F.explode(F.filter(F.array(*map(F.lit, periods)).cast("array<int>"), inside))).select(*columns)
     entries = F.array(F.struct(opened.alias("at"), F.lit(1).alias("change")), F.struct(closed.alias("at"), F.lit(-1).alias("change")))
-    log = known.select("*", F.inline(entries)).withColumn("period", _period(F.col("at"))).where(F.col("period").between(first, last)).select(*columns, "at", "change")
+    log = known.select("*", F.inline(entries)).withColumn("period", _period(F.col("at"))).where(F.col("period").isin(periods)).select(*columns, "at", "change")
     return snapshots, log
 
 
@@ -72,18 +72,20 @@ def as_known(events: DataFrame, assertions: DataFrame) -> DataFrame:
     """
     columns = ["event", "key", "effective_date", "recorded_at"]
     complete = events.select(*columns).dropna(subset=columns[1:])
-    # Four integers come to the driver: the ranges of the knowledge periods and cells that events fall into.
+    # To the driver come the half-years that events were recorded in, as many as the calendar has at most, and the range of their cells.
+    # Only these get a snapshot, so that a stray date costs one and not all those between.
     period, cell = _period(F.col("recorded_at")), _cell(F.col("effective_date"))
-    first, last, low, high = complete.agg(F.min(period), F.max(period), F.min(cell), F.max(cell)).first()
-    if first is None:
+    met = complete.groupBy(period.alias("period")).agg(F.min(cell).alias("low"), F.max(cell).alias("high")).collect()
+    if not met:
         return complete.limit(0).select("event", F.lit(None).cast(assertions.schema["assertion"].dataType).alias("assertion"))
-    snapshots, log = map(cut_lineage, snapshots_and_log(assertions, (first, last), (low, high)))
+    low, high = min(r["low"] for r in met), max(r["high"] for r in met)
+    snapshots, log = map(cut_lineage, snapshots_and_log(assertions, sorted(r["period"] for r in met), (low, high)))
     blocks = F.transform(F.sequence(F.lit(0), F.lit((high - low).bit_length())), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", cell - low, k).alias("block")))
     probes = complete.select(*columns, period.alias("period"), F.inline(blocks))
     replayed = snapshots.withColumn("at", F.lit(None).cast("timestamp_ntz")).withColumn("change", F.lit(1)).unionByName(log)
-    met = probes.join(replayed, ["key", "period", "level", "block"]).where(
+    covering = probes.join(replayed, ["key", "period", "level", "block"]).where(
         (F.col("effective_from") <= F.col("effective_date"))
         & F.coalesce(F.col("effective_date") < F.col("effective_to"), F.lit(True))
         & F.coalesce(F.col("at") <= F.col("recorded_at"), F.lit(True))
     )
-    return met.groupBy("event", "assertion").agg(F.sum("change").alias("open")).where("open > 0").select("event", "assertion")
+    return covering.groupBy("event", "assertion").agg(F.sum("change").alias("open")).where("open > 0").select("event", "assertion")

@@ -221,7 +221,7 @@ def test_as_known(spark, rows):
         f, k = day(), at()
         known.append((r.choice("ab"), f"x{i}", f, r.choice([None, f + dt.timedelta(r.randint(-3, 3000))]), k, r.choice([None, k + dt.timedelta(days=r.randint(-2, 700))])))
     known += [("a", "null", None, None, at(), None), (None, "key", day(), None, at(), None)] + known[:5]
-    events = [(i, r.choice("abc"), r.choice([None] + [day()] * 9), at()) for i in range(300)] + [(999, None, day(), at()), (998, "a", day(), None), (0, "a", D(2020, 1, 1), at())]
+    events = [(i, r.choice("abc"), r.choice([None] + [day()] * 9), at()) for i in range(300)] + [(999, None, day(), at()), (998, "a", day(), None), (0, "a", D(2020, 1, 1), at()), (997, "a", day(), dt.datetime(9998, 1, 1)), (996, "b", D(1, 1, 2), at()), (995, "b", D(9999, 12, 30), dt.datetime(1600, 1, 1))]
     e = spark.createDataFrame([(*x, 1, "c") for x in events], "event bigint, key string, effective_date date, recorded_at timestamp_ntz, period int, cell string")
     a = spark.createDataFrame([(*x, 2) for x in known], "key string, assertion string, effective_from date, effective_to date, knowledge_from timestamp_ntz, knowledge_to timestamp_ntz, period int")
     expected = {
@@ -232,7 +232,7 @@ def test_as_known(spark, rows):
     }
     got = rows(asknown.as_known(e, a))
     assert len(got) == len(expected) and set(got) == expected
-    snapshots, log = asknown.snapshots_and_log(a, (100, 110), (30, 45))
+    snapshots, log = asknown.snapshots_and_log(a, list(range(100, 111)), (30, 45))
     assert {r.change for r in log.collect()} == {1, -1} and snapshots.where("period < 100 OR period > 110").count() == 0
     assert asknown.as_known(e.limit(0), a).collect() == [] and asknown.as_known(e, a.limit(0)).collect() == []
 
