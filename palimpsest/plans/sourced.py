@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import json
-import os
 import zipfile
 
 import pandas as pd
@@ -140,12 +139,11 @@ def mixed_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT n_nationkey // 5 AS page, n_name AS name FROM nation")
 def paged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A paged interface followed by its cursor; the pages hold the nations, a fixed table of 25 rows."""
-    folder = shared_folder(spark, "pages").removeprefix("file:")
-    os.makedirs(folder)
+    folder = shared_folder(spark, "pages")
     nations = [r.n_name for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
     for i in range(0, len(nations), 5):
-        with open(os.path.join(folder, f"{'start' if i == 0 else f'c{i}'}.json"), "w", encoding="utf-8") as f:
-            json.dump({"documents": [{"name": n} for n in nations[i : i + 5]], "cursor": f"c{i + 5}" if i + 5 < len(nations) else f"c{i}"}, f)
+        page = {"documents": [{"name": n} for n in nations[i : i + 5]], "cursor": f"c{min(i + 5, len(nations) - 5)}"}
+        documents.write_file(f"{folder}/{'start' if i == 0 else f'c{i}'}.json", json.dumps(page).encode())
     spark.dataSource.register(documents.PagedSource)
     return spark.read.format("paged").option("path", folder).load().select("page", F.get_json_object("row", "$.name").alias("name"))
 

@@ -9,12 +9,12 @@ from __future__ import annotations
 import html
 import io
 import json
-import os
 import re
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -166,6 +166,24 @@ def mixed_text(xml: Column, element: str) -> Column:
     return run(xml)
 
 
+def _located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it, on any executor: HDFS, an object store or a shared local folder."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def read_file(path: str) -> bytes:
+    system, inner = _located(path)
+    with system.open_input_stream(inner) as f:
+        return f.read()
+
+
+def write_file(path: str, content: bytes) -> None:
+    system, inner = _located(path)
+    system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(inner) as f:
+        f.write(content)
+
+
 class PagedSource(DataSource):
     """A paged interface as a Spark source: pages follow a cursor until it repeats or is missing.
 
@@ -197,8 +215,7 @@ class _PagedReader(DataSourceReader):
         cursor, seen, number = "start", set(), 0
         while cursor and cursor not in seen:
             seen.add(cursor)
-            with open(os.path.join(self.folder, f"{cursor}.json"), encoding="utf-8") as f:
-                page = json.load(f)
+            page = json.loads(read_file(f"{self.folder}/{cursor}.json"))
             for row in page.get(self.rows) or []:
                 yield number, json.dumps(row, ensure_ascii=False, sort_keys=True)
             cursor, number = page.get(self.next), number + 1
