@@ -386,24 +386,23 @@ def status_masses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("id", graph.belief(*filled).alias("k")).select("id", "k.confidence", "k.contradiction", "k.uncertainty")
 
 
-_CAPTURES = """e AS (SELECT user_id AS key, max(CASE event_type WHEN 'error' THEN 2 WHEN 'view' THEN 3 WHEN 'purchase' THEN 4 ELSE 1 END) AS s, count(*) AS attempts FROM events GROUP BY 1)"""
-
-
 @query(
-    f"""WITH {_CAPTURES}, c AS (SELECT c_custkey AS key, c_mktsegment = 'BUILDING' AS mapped, CAST(length(c_name) * 1000 AS BIGINT) AS bytes FROM customer),
-q AS (SELECT c.*, coalesce(attempts, 0) AS a FROM c LEFT JOIN e USING (key) WHERE coalesce(s, 0) <> 4), k AS (SELECT *, row_number() OVER (ORDER BY mapped DESC, a, key) AS place FROM q), t AS (SELECT *, sum(bytes) OVER (ORDER BY place) AS total FROM k WHERE place <= 64)
-SELECT key, CAST(place AS INT) AS place, bytes FROM t WHERE total <= 1000000"""
+    f"""WITH {_O}, d AS (SELECT DISTINCT observed_at FROM o ORDER BY 1 DESC LIMIT 6), l AS (SELECT act_id, max(digest <> '-' AND observed_at = (SELECT max(observed_at) FROM d)) AS captured, count(*) AS attempts FROM o WHERE observed_at IN (SELECT observed_at FROM d) GROUP BY 1),
+n AS (SELECT lower(trim(act_id)) AS act_id, count(DISTINCT change_id) AS changes FROM act_archive WHERE act_id IS NOT NULL GROUP BY 1), q AS (SELECT n.act_id AS key, starts_with(n.act_id, 'fed_') AS mapped, coalesce(attempts, 0) AS tried, changes * 1000 AS bytes FROM n LEFT JOIN l USING (act_id) WHERE NOT coalesce(captured, false)),
+k AS (SELECT *, row_number() OVER (ORDER BY mapped DESC, tried, key) AS place FROM q), t AS (SELECT *, sum(bytes) OVER (ORDER BY place) AS total FROM k WHERE place <= 64) SELECT key, CAST(place AS INT) AS place, bytes FROM t WHERE total <= 1000000"""
 )
 def capture_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the next run captures within its budgets of 64 downloads and a million bytes, earlier attempts counted."""
-    kinds = {"error": "failed", "view": "metadata", "purchase": "captured"}
-    state = F.lit("pending")
-    for k, v in kinds.items():
-        state = F.when(F.col("event_type") == k, v).otherwise(state)
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), state.alias("state"), F.lit(1).cast("bigint").alias("attempts"))
-    tried = ledger.capture_merge(rows, rows.limit(0), "key")
-    candidates = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), (F.col("c_mktsegment") == "BUILDING").alias("mapped"), (F.length("c_name") * 1000).cast("bigint").alias("bytes"))
-    return ledger.capture_plan(candidates, tried, "key", 64, 1_000_000)
+    """Which acts the next run fetches within its budgets of 64 downloads and a million bytes.
+
+    The last six snapshots are the attempts; an act with a digest in the newest one is captured.
+    """
+    seen = observations(spark, sf_dir)
+    days = [r[0] for r in seen.select("observed_at").distinct().orderBy(F.desc("observed_at")).limit(6).collect()]
+    state = F.when((F.col("digest") != "-") & (F.col("observed_at") == F.lit(days[0] if days else None)), "captured").otherwise("failed")
+    tried = seen.where(F.col("observed_at").isin(days)).select(F.col("act_id").alias("key"), state.alias("state"), F.lit(1).cast("bigint").alias("attempts"))
+    held = ledger.capture_merge(tried, tried.limit(0), "key")
+    acts = table(spark, sf_dir, "act_archive").where(F.col("act_id").isNotNull()).groupBy(act_key().alias("key")).agg((F.count_distinct("change_id") * 1000).alias("bytes"))
+    return ledger.capture_plan(acts.withColumn("mapped", F.col("key").startswith("fed_")), held, "key", 64, 1_000_000)
 
 
 @query(
