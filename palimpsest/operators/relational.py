@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions import fingerprints
 from palimpsest.session import cut_lineage, local_rows
 
 
@@ -104,6 +105,32 @@ def spread_join(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
     return salted.join(repeated, [key, "_salt"]).drop("_salt")
 
 
+def found_once(rows: DataFrame, texts: DataFrame, key: str, wording: str, text: str) -> DataFrame:
+    """The distinct ``rows`` with the ``texts`` of the same ``key`` in which their ``wording`` occurs exactly once.
+
+    A wording has at least :data:`fingerprints.SHORTEST` bytes. Where a key has few rows, all its pairs are compared. Of the largest
+    keys with more than _HOT rows only those pairs are that share a fingerprint; these include every pair in which the wording occurs.
+    """
+    largest = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > _HOT).orderBy(F.desc("_n"), key).limit(_HOT_KEYS)
+    hot = F.broadcast(largest.select(key, F.lit(True).alias("_hot")))
+    split = lambda d, c: d.join(hot, key, "left").where(c).drop("_hot")
+    few, many = F.col("_hot").isNull(), F.col("_hot").isNotNull()
+    # Rows with the same wording are compared once; in a struct nulls are kept.
+    wordings = rows.groupBy(key, wording).agg(F.collect_set(F.struct(*(c for c in rows.columns if c not in (key, wording)))).alias("_rows"))
+    # Most pairs do not contain the wording; only the others are counted.
+    once = F.contains(text, wording) & (F.length(text) - F.length(F.replace(F.col(text), F.col(wording), F.lit(""))) == F.length(wording))
+    plain = spread_join(split(texts, few), split(wordings, few), key).where(once)
+
+    marked = fingerprints.with_fingerprint(split(wordings, many).withColumn("_seed", F.xxhash64(key)), wording).drop("_seed")
+    # Texts of one hash are told apart when they are compared.
+    known = split(texts, many).withColumn("_text", F.xxhash64(*texts.columns))
+    marks = fingerprints.text_fingerprints(known.withColumn("_seed", F.xxhash64(key)), "_text", text)
+    candidates = marked.join(marks, "_mark").drop("_mark").repartition(key, "_text").distinct()
+    compared = candidates.join(known, [key, "_text"]).where(once)
+    found = plain.unionByName(compared.select(*plain.columns))
+    return found.select(key, wording, F.inline("_rows"), *(c for c in texts.columns if c != key))
+
+
 def token_overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_tokens: str, right_tokens: str) -> DataFrame:
     """(left_key, right_key, shared) of rows that share a token: both sides exploded, one equi-join, hot tokens spread."""
     a = left.select(left_key, F.explode(F.array_distinct(left_tokens)).alias("token"))

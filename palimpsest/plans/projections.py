@@ -227,11 +227,9 @@ SELECT change_id, doc_id FROM c JOIN d USING (act_id) WHERE (length(text) - leng
 )
 def substring_count_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A change's new wording of at least 40 characters that occurs exactly once in a text of its act."""
-    changes = table(spark, sf_dir, "act_archive").where(F.length("new_text") >= 40).select("change_id", act_key().alias("act_id"), "new_text").distinct()
+    changes = table(spark, sf_dir, "act_archive").where(F.length("new_text") >= 40).select("change_id", act_key().alias("act_id"), "new_text")
     texts = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", act_key().alias("act_id"), "text")
-    found = F.length("text") - F.length(F.replace(F.col("text"), F.col("new_text"), F.lit("")))
-    # Most pairs do not contain the wording; only the others are counted.
-    return relational.spread_join(changes, texts, "act_id").where(F.contains("text", "new_text") & (found == F.length("new_text"))).select("change_id", "doc_id")
+    return relational.found_once(changes, texts, "act_id", "new_text", "text").select("change_id", "doc_id")
 
 
 @query(
